@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestream.llm.bitpack import op2_bitpack
 from lodestream.llm.bpe import op9_bpe
 from lodestream.llm.packing import op10_packing
+from lodestream.llm.quality import OP1_SQL, op1_quality
+from lodestream.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_bitpack": op2_bitpack,
+    "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_quality": OP1_SQL, "op8_warc": OP8_SQL}
