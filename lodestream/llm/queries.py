@@ -10,12 +10,16 @@ from lodestream.llm.bitpack import op2_bitpack
 from lodestream.llm.bpe import op9_bpe
 from lodestream.llm.packing import op10_packing
 from lodestream.llm.quality import OP1_SQL, op1_quality
+from lodestream.llm.suffix_array import op6_suffix_array
+from lodestream.llm.suffix_tree import op3_suffix_tree
 from lodestream.llm.toxicity import op7_toxicity
 from lodestream.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bitpack": op2_bitpack,
+    "op3_suffix_tree": op3_suffix_tree,
+    "op6_suffix_array": op6_suffix_array,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
