@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestream.llm.bagminhash import OP5_SQL, op5_bagminhash
 from lodestream.llm.bitpack import op2_bitpack
 from lodestream.llm.bpe import op9_bpe
 from lodestream.llm.packing import op10_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bitpack": op2_bitpack,
     "op3_suffix_tree": op3_suffix_tree,
+    "op5_bagminhash": op5_bagminhash,
     "op6_suffix_array": op6_suffix_array,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {"op1_quality": OP1_SQL, "op8_warc": OP8_SQL}
+ORACLE: dict[str, str] = {"op1_quality": OP1_SQL, "op5_bagminhash": OP5_SQL, "op8_warc": OP8_SQL}
