@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestream.llm.bagminhash import OP5_SQL, op5_bagminhash
 from lodestream.llm.bitpack import op2_bitpack
 from lodestream.llm.bpe import op9_bpe
+from lodestream.llm.media import op4_media
 from lodestream.llm.packing import op10_packing
 from lodestream.llm.quality import OP1_SQL, op1_quality
 from lodestream.llm.suffix_array import op6_suffix_array
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bitpack": op2_bitpack,
     "op3_suffix_tree": op3_suffix_tree,
+    "op4_media": op4_media,
     "op5_bagminhash": op5_bagminhash,
     "op6_suffix_array": op6_suffix_array,
     "op7_toxicity": op7_toxicity,
