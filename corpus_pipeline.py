@@ -1,8 +1,61 @@
-"""Five stages from documents to packed sequences (under construction)."""
+"""Documents to packed training sequences, in five stages.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of the table; the last one
+returns the pieces of packed sequences. Rows with null doc_ids, null texts or repeated ids are handled as the operators
+say; the toxicity model is fitted on the stage's own documents and the labels of `sf_dir`.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestream.llm import bagminhash, packing, quality, suffix_array, toxicity
+from lodestream.llm._shared import scratch, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.rejected_removed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy rejects go."""
+    return quality.filtered(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return bagminhash.first_of_each(docs)
+
+
+def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that a document with a smaller doc_id has too go."""
+    return suffix_array.deduplicated(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_spans),
+    ("packing", pack),
+]
+
+#: Model scores, signatures and tokenizers have no SQL; tests/llm compares the stages with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what one returns is a Parquet table before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
