@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +50,13 @@ def get_file(uri: str) -> bytes:
         return source.read()
 
 
+def trim() -> None:
+    """Give memory that arrays have freed back to the system; workers live on and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table at `path`, read again."""
     df.write.parquet(path)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches
+from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, trim
 
 CHUNK = 1 << 20
 #: More surroundings than this of one gram make it hot.
@@ -279,7 +279,10 @@ def _blocks(spec: Spec, folder: str, buckets: int) -> Callable[[Iterator[pa.Reco
             bounds = _bounds(bucket_of(keys, buckets), buckets)
             prints = keys >> U(16)
             parts = [(i, 0, squeeze(np.diff(prints[a:b], prepend=U(0)).tobytes() + counts[a:b].tobytes())) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-            yield _rows(name, parts or [(xxhash.xxh32_intdigest(name) % buckets, 0, squeeze(b""))])
+            out = _rows(name, parts or [(xxhash.xxh32_intdigest(name) % buckets, 0, squeeze(b""))])
+            del block, at, key, around, ids, order, table
+            trim()
+            yield out
 
     return run
 
@@ -479,8 +482,17 @@ def repeats(docs: DataFrame, spec: Spec, finish: Callable[[pa.Table, Block, np.n
     small_batches(spark)
     folder = scratch(spark, spec.name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def trimmed(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            out = work(table)
+            trim()
+            return out
+
+        return run
+
     first = docs.mapInArrow(_blocks(spec, folder, n), ROWS)
-    told = first.repartition(n, "bucket").groupBy("bucket").applyInArrow(_repeated, ROWS)
-    sent = told.repartition(n, "block").groupBy("block").applyInArrow(_surroundings(spec, folder, n), ROWS)
-    resolved = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_resolved(spec), ROWS)
-    return resolved.repartition(n, "block").groupBy("block").applyInArrow(_applied(spec, folder, finish), schema)
+    told = first.repartition(n, "bucket").groupBy("bucket").applyInArrow(trimmed(_repeated), ROWS)
+    sent = told.repartition(n, "block").groupBy("block").applyInArrow(trimmed(_surroundings(spec, folder, n)), ROWS)
+    resolved = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(trimmed(_resolved(spec)), ROWS)
+    return resolved.repartition(n, "block").groupBy("block").applyInArrow(trimmed(_applied(spec, folder, finish)), schema)

@@ -25,7 +25,7 @@ from lodestream.llm.repeats import Block, Spec, U, _tables, mix, repeats
 
 LENGTH = 50
 #: Bytes of surroundings that are looked at together; their shared stretches make one suffix array.
-TEXT = 4 << 20
+TEXT = 1 << 19
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -183,7 +183,7 @@ def shared_windows(groups: np.ndarray, sequences: list[np.ndarray], length: int
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def spec(length: int = LENGTH, gram: int = 24, block_bytes: int = 24 << 20) -> Spec:
+def spec(length: int = LENGTH, gram: int = 24, block_bytes: int = 8 << 20) -> Spec:
     if not 0 < gram <= length or length - gram + 1 > 63:
         raise ValueError("gram: at most length, and at least length - 62")
     return Spec("suffix-array", False, length, gram, block_bytes, lambda groups, sequences: shared_windows(groups, sequences, length))

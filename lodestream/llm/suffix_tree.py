@@ -22,7 +22,7 @@ from lodestream.llm.repeats import Block, Spec, U, mix, repeats
 
 LENGTH, STEP = 50, 8
 #: Suffixes of one set of trees.
-SUFFIXES = 1 << 20
+SUFFIXES = 1 << 18
 
 
 def _edges(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def deep_nodes(groups: np.ndarray, sequences: list[np.ndarray], length: int = LE
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def spec(length: int = LENGTH, gram: int = 8, block_bytes: int = 24 << 20) -> Spec:
+def spec(length: int = LENGTH, gram: int = 8, block_bytes: int = 8 << 20) -> Spec:
     if not 0 < gram <= length or length - gram + 1 > 63:
         raise ValueError("gram: at most length, and at least length - 62")
     return Spec("suffix-tree", True, length, gram, block_bytes, lambda groups, sequences: deep_nodes(groups, sequences, length))

@@ -2,15 +2,422 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from lodestream.functions import extract, records
+from lodestream.operators import chunking, cohort, entities, metrics, search, store
+from lodestream.operators.chunking import ChunkOptions
+from lodestream.operators.enrich import chunk_id, context
+from lodestream.plans import oracle
+from lodestream.sources import links, mime
+from lodestream.streaming import ingest
 
+Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.SQL
+OPTIONS = ChunkOptions(least=400, most=1200)
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), "text")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for the written tables of one run, where all executors see it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/lodestream-{name}-{uuid.uuid4().hex}"
+
+
+# Text structure
+
+
+@query
+def paragraph_explode(spark, d):
+    return chunking.lines(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("line").cast("long").alias("n_chars"))
+
+
+@query
+def sentence_split_stats(spark, d):
+    parts = F.split("text", r"(?<=[.!?])[ \t\n\f\r]+")
+    return table(spark, d, "documents").select("doc_id", F.size(parts).cast("long").alias("n_sentences"), F.array_max(F.transform(parts, lambda x: F.length(x).cast("long"))).alias("longest"))
+
+
+@query
+def line_classify(spark, d):
+    return chunking.line_classes(table(spark, d, "documents"), "doc_id").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def merge_blocks_islands(spark, d):
+    return chunking.merged_lines(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("block").cast("long").alias("block"), "kind", "n_lines", F.col("first_pos").cast("long").alias("first_pos"))
+
+
+@query
+def markdown_sections(spark, d):
+    own = F.concat(F.lit("# "), F.replace("text", F.lit("."), F.lit("\n#")))
+    return table(spark, d, "documents").select("doc_id", F.size(chunking.sections(own, F.lit("markdown"))).cast("long").alias("n_sections"))
+
+
+@query
+def naive_windows(spark, d):
+    return chunking.token_windows(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("window").cast("long").alias("window"), F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("content").alias("digest"))
+
+
+@query
+def chunk_documents(spark, d):
+    return chunking.chunk(named(spark, d), OPTIONS).select("document_name", "chunk_index", "section", "breadcrumb", "content", "block_type", "source_offset", "source_length")
+
+
+@query
+def chunk_size_histogram(spark, d):
+    chunks = chunking.chunk(named(spark, d), OPTIONS)
+    return chunks.groupBy((F.length("body") / 200).cast("int").alias("size_class"), "block_type").agg(F.count("*").alias("n"), F.sum("source_length").alias("bytes"))
+
+
+def _context(spark, d, strategy):
+    return table(spark, d, "documents").select("doc_id", F.md5(F.concat(context(F.col("source"), F.when(F.col("lang") != "en", F.col("lang")), strategy), F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+@query
+def enrich_prefix(spark, d):
+    return _context(spark, d, "prefix")
+
+
+@query
+def enrich_inline(spark, d):
+    return _context(spark, d, "inline")
+
+
+@query
+def chunk_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", chunk_id(F.col("source"), F.col("doc_id"), F.lit(None).cast("string"), F.col("text")).alias("chunk_id"))
+
+
+# Types, pages and records
+
+
+@query
+def mime_detect(spark, d):
+    pages = table(spark, d, "pages").withColumn("mime", F.when(F.col("page_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 1, "application/vnd.x+json"))
+    return pages.select("page_id", mime.detected(F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit(".PDF?x=1"))).otherwise(F.col("url")), F.col("mime")).alias("doc_type"))
+
+
+@query
+def url_normalize(spark, d):
+    return table(spark, d, "pages").select("page_id", links.normalized(F.concat("url", F.when(F.col("page_id") % 2 == 0, "/?q=1#top").otherwise("#end"))).alias("url"))
+
+
+@query
+def html_links(spark, d):
+    return links.hrefs(table(spark, d, "pages"), "page_id").groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query
+def html_to_markdown(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.lit("html").alias("doc_type"), F.encode("html", "UTF-8").alias("data"))
+    return extract.extracted(pages).select("page_id", "text", "error")
+
+
+@query
+def html_chunks(spark, d):
+    pages = table(spark, d, "pages").select(F.col("url").alias("path"), F.lit("html").alias("doc_type"), F.encode("html", "UTF-8").alias("data"))
+    return chunking.chunk(extract.extracted(pages).withColumnRenamed("path", "name"), OPTIONS).select("document_name", "chunk_index", "section", "content")
+
+
+@query
+def table_to_markdown(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return records.table_markdown(rows, ["n_nationkey", "n_name", "r_name"], by=["r_regionkey"], order=["n_nationkey"])
+
+
+@query
+def conversation_documents(spark, d):
+    return records.conversations(table(spark, d, "conversations")).select("conv_id", "n_turns", F.md5("text").alias("digest"))
+
+
+def _page_edges(spark, d):
+    """Pages that are linked through a shared target: page -> target -> page."""
+    found = links.hrefs(table(spark, d, "pages"), "page_id").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("p"), F.concat(F.lit("h"), F.col("href")).alias("h")).distinct()
+    return found.selectExpr("p as source", "h as target").unionByName(found.selectExpr("h as source", "p as target"))
+
+
+@query
+def link_bfs(spark, d):
+    roots = spark.range(1).select(F.lit("p0").alias("url"))
+    return links.reached(_page_edges(spark, d), roots, 4, folder=folder(spark, "bfs")).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+# Search
+
+
+@query
+def vector_topk(spark, d):
+    rows = table(spark, d, "embeddings")
+    found = search.nearest(rows, rows.where("vec_id % 50 = 0"), 10, key="vec_id", query_key="vec_id")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_topk(spark, d):
+    found = search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), 5, key="doc_id", query_key="item_id")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query
+def tfidf_topk(spark, d):
+    found = search.tfidf(table(spark, d, "documents"), table(spark, d, "benchmark"), 5, key="doc_id", query_key="item_id")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query
+def rrf_hybrid(spark, d):
+    rows, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
+    lists = [f(rows, queries, 15, key="doc_id", query_key="item_id") for f in (search.bm25, search.tfidf)]
+    return search.fused(*lists, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 9).alias("score"))
+
+
+@query
+def federated_search(spark, d):
+    rows, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
+    english, others = rows.where("lang = 'en'"), rows.where("lang <> 'en'")
+    lists = {"english": search.bm25(english, queries, 5, key="doc_id", query_key="item_id"), "others": search.bm25(others, queries, 5, key="doc_id", query_key="item_id")}
+    return search.federated(lists, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "library", "id", F.round("score", 9).alias("score"))
+
+
+# Store
+
+
+@query
+def store_upsert_first_wins(spark, d):
+    rows = table(spark, d, "documents").select(F.md5("text").alias("chunk_id"), "doc_id")
+    return store.upserted(rows.where("doc_id % 3 = 0").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id")), rows, order="doc_id")
+
+
+@query
+def delete_by_document(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source")
+    gone = rows.where("doc_id % 7 = 0").select("source")
+    return store.without(rows, gone.where("source in ('src1', 'src2')"), "source")
+
+
+@query
+def breadcrumb_migration(spark, d):
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("["), F.col("source"), F.lit(" > a]\n\n"), F.col("text"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("[TABLE:start]\n\n"), F.col("text"))).otherwise(F.col("text"))
+    rows = table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("breadcrumb"), own.alias("content"))
+    return store.with_breadcrumbs(rows).select("doc_id", "breadcrumb", F.md5("content").alias("digest"))
+
+
+# Entities. The vocabulary of the tests: the most frequent words of six letters and more.
+
+
+def vocabulary(spark, d):
+    words = search.terms(table(spark, d, "documents"), "doc_id").where(F.length("term") >= 6).groupBy("term").agg(F.count("*").alias("df"))
+    return words.orderBy(F.desc("df"), "term").limit(60).select(F.col("term").alias("surface"), F.concat(F.lit("ent_"), "term").alias("entity_id"))
+
+
+def matched(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    return entities.match(rows, vocabulary(spark, d))
+
+
+def _kept(spark, df, name):
+    """Used more than once: written, so that it is made once."""
+    path = folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query
+def vocab_match(spark, d):
+    return matched(spark, d).select("chunk_id", "entity_id", F.col("frequency").cast("long").alias("frequency"), F.element_at("positions", 1).cast("long").alias("first"), F.element_at("positions", -1).cast("long").alias("last"))
+
+
+def _associated(spark, d):
+    return entities.associations(_kept(spark, matched(spark, d), "matches"), table(spark, d, "documents").count())
+
+
+@query
+def entity_scores(spark, d):
+    return _associated(spark, d).select("chunk_id", "entity_id", "df", F.round("score", 6).alias("score"))
+
+
+@query
+def entity_topn(spark, d):
+    return entities.top_chunks(_associated(spark, d), 3).select("entity_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def merge_matches_overlap(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    own = matched(spark, d).select("chunk_id", "entity_id", F.inline("spans"))
+    short = vocabulary(spark, d).select(F.col("surface"), F.concat(F.lit("gen_"), "surface").alias("entity_id")).where("length(surface) <= 7 or surface like 't%'")
+    generic = entities.match(rows, short).select("chunk_id", "entity_id", F.inline("spans"))
+    return entities.merged(own.where("entity_id < 'ent_n'"), generic).select("chunk_id", "entity_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+
+
+def _pairs(spark, d):
+    return entities.cooccurrence(_kept(spark, matched(spark, d), "matches"), table(spark, d, "documents").count())
+
+
+@query
+def cooccurrence(spark, d):
+    return _pairs(spark, d).select("a", "b", "n", "df_a", "df_b", F.round("jaccard", 6).alias("jaccard"), F.round("pmi", 6).alias("pmi"))
+
+
+def _clustered(spark, d):
+    pairs = _kept(spark, _pairs(spark, d), "pairs")
+    nodes = vocabulary(spark, d).select("entity_id")
+    return pairs, _kept(spark, entities.dbscan(entities.distances(pairs, "jaccard"), nodes, 0.6, folder=folder(spark, "dbscan")), "clusters")
+
+
+@query
+def cluster_dbscan(spark, d):
+    return entities.numbered(_clustered(spark, d)[1])
+
+
+@query
+def cluster_cohesion(spark, d):
+    pairs, labels = _clustered(spark, d)
+    return entities.cohesion(labels, pairs, "jaccard")
+
+
+@query
+def cluster_agglomerative(spark, d):
+    return entities.average_linkage(entities.distances(_pairs(spark, d), "jaccard"), vocabulary(spark, d).select("entity_id"), 0.7, folder=folder(spark, "linkage"))
+
+
+@query
+def cluster_modularity(spark, d):
+    return entities.modularity(_pairs(spark, d), vocabulary(spark, d).select("entity_id"), folder=folder(spark, "modularity"))
+
+
+# Cohorts: chunks of all documents; the queries are the first chunks of every fiftieth document.
+
+
+def _prepared(spark, d):
+    chunks = chunking.chunk(named(spark, d), OPTIONS).select("document_name", "chunk_index", "content", F.concat_ws("_", "document_name", F.col("chunk_index").cast("string")).alias("chunk_id"))
+    chunks = _kept(spark, chunks, "chunks")
+    vectors = _kept(spark, search.hashed_vectors(chunks, "chunk_id", "content"), "vectors")
+    number = F.regexp_extract("chunk_id", r"^doc_(-?\d+)_0$", 1)
+    queries = vectors.where(number != "").select(number.cast("long").alias("query_id"), "embedding").where("query_id % 50 = 0")
+    matches = _kept(spark, entities.match(chunks, vocabulary(spark, d)), "matches")
+    scored = _kept(spark, entities.associations(matches, chunks.count()), "scored")
+    pairs = _kept(spark, entities.cooccurrence(matches, chunks.count()), "pairs")
+    clusters = _kept(spark, entities.dbscan(entities.distances(pairs, "jaccard"), vocabulary(spark, d).select("entity_id"), 0.6, folder=folder(spark, "dbscan")), "clusters")
+    ids = chunks.select("chunk_id", F.xxhash64("chunk_id").alias("n"))
+    found = search.nearest(vectors.join(ids, "chunk_id").select("n", "embedding"), queries, 15, key="n", query_key="query_id")
+    seeds = _kept(spark, found.join(ids, found.id == ids.n).select("query_id", "rank", F.col("chunk_id").alias("id"), "score"), "seeds")
+    return chunks, vectors, queries, scored, clusters, seeds
+
+
+@query
+def cohort_mmr(spark, d):
+    chunks, vectors, queries, scored, clusters, seeds = _prepared(spark, d)
+    return cohort.cohorts(cohort.pool(seeds, chunks, scored, clusters), vectors, queries).withColumn("score", F.round("score", 6))
+
+
+@query
+def cohort_ablations(spark, d):
+    chunks, vectors, queries, scored, clusters, seeds = _prepared(spark, d)
+    out = None
+    for name, o in cohort.ablations(cohort.CohortOptions()).items():
+        own = cohort.cohorts(cohort.pool(seeds, chunks, scored, clusters, o), vectors, queries, o).groupBy("provenance").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score")).withColumn("variant", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query
+def structural_neighbors(spark, d):
+    rows = table(spark, d, "conversations").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), F.col("conv_id").cast("string").alias("document_name"), F.col("turn").alias("chunk_index"))
+    found = rows.where("chunk_index % 3 = 0").select(F.lit(0).cast("long").alias("query_id"), F.lit(1).alias("place"), "chunk_id")
+    return cohort.structural_neighbours(found, rows).select("query_id", "chunk_id")
+
+
+def _found(spark, d):
+    return table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("place"), F.col("doc_id").cast("string").alias("chunk_id"))
+
+
+@query
+def entity_expand(spark, d):
+    return cohort.entity_neighbours(_found(spark, d), _kept(spark, _associated(spark, d), "scored"), 3).select("query_id", F.col("place").cast("long").alias("place"), "chunk_id", "entity_id")
+
+
+@query
+def cluster_expand(spark, d):
+    return cohort.cluster_neighbours(_found(spark, d), _kept(spark, _associated(spark, d), "scored"), _clustered(spark, d)[1], 10).select("query_id", F.col("place").cast("long").alias("place"), "chunk_id", "entity_id", "label")
+
+
+# Metrics
+
+
+def _results(spark, d):
+    rows = table(spark, d, "embeddings")
+    found = search.nearest(rows, rows.where("vec_id % 50 = 0"), 10, key="vec_id", query_key="vec_id")
+    own = rows.select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("l"))
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    return found.join(own, "id").join(asked, "query_id").withColumn("relevance", F.when(F.col("l") == F.col("ql"), 2).when(F.abs(F.col("l") - F.col("ql")) == 1, 1).otherwise(0)).withColumn("n_chars", F.col("id") % 97)
+
+
+@query
+def ndcg_scope_efficiency(spark, d):
+    own = _kept(spark, _results(spark, d), "results")
+    joined = metrics.ndcg(own).join(metrics.scope(own), "query_id")
+    return joined.select("query_id", *[F.round(c, 6).alias(c) for c in ("ndcg", "scope", "efficiency")])
+
+
+@query
+def marginal_relevance(spark, d):
+    return metrics.marginal_relevance(_results(spark, d)).select("query_id", *[F.round(c, 6).alias(c) for c in ("mean_score", "redundancy", "marginal")])
+
+
+@query
+def cluster_quality(spark, d):
+    return metrics.cluster_quality(table(spark, d, "embeddings"), label="label", vector="embedding", width=64).select(F.round("intra", 6).alias("intra"), F.round("inter", 6).alias("inter"))
+
+
+@query
+def rqi_rollup(spark, d):
+    own = _kept(spark, _results(spark, d), "results")
+    scores = metrics.ndcg(own).join(metrics.coherence(own), "query_id").join(metrics.scope(own), "query_id").withColumn("category", F.when(F.col("query_id") % 3 == 0, "scoped").when(F.col("query_id") % 3 == 1, "synthesis").otherwise("broad"))
+    return metrics.quality_index(scores).select("category", "n", F.round("rqi", 6).alias("rqi"))
+
+
+@query
+def first_hit(spark, d):
+    return metrics.first_hit(_results(spark, d)).select("query_id", "precision_at_1", F.round("margin", 6).alias("margin"))
+
+
+@query
+def stratified_sample(spark, d):
+    return metrics.stratified(table(spark, d, "documents"), 100, stratum="source", key="doc_id").select("doc_id", "source")
+
+
+# Events
+
+
+@query
+def event_windows(spark, d):
+    return ingest.windowed(table(spark, d, "events"), width="6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def event_sessions(spark, d):
+    own = ingest.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), gap="12 hours")
+    return own.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["cohort_mmr"](spark, sf_dir)
+    return cohort_mmr(spark, sf_dir)
