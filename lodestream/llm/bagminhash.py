@@ -1,6 +1,6 @@
 """Near-duplicate documents: multisets of word shingles, BagMinHash signatures, banding, verified overlap.
 
-The similarity of two documents is the weighted Jaccard index of the multisets of their `shingle`-word sequences: the
+The similarity of two documents is the weighted Jaccard index of the multisets of their `SHINGLE`-word sequences: the
 sum of the smaller counts over the sum of the larger. A document with fewer words has one shingle, all its words; one
 without words has none and is like no other. Words are runs of anything but space, tab, newline, vertical tab, form
 feed and return.
@@ -13,14 +13,16 @@ are made in order of time, round by round, until a document's components are all
 1. Equal texts are one node, named by their smallest doc_id.
 2. Nodes with an equal band are candidates. Of each band the first node is compared with every other (a star, not all
    pairs); verified pairs give components.
-3. Bands that still hold several components are looked at pair by pair across components, in blocks of at most `CELL`
-   nodes a side, by one byte a component; pairs that may reach the threshold are verified too.
-4. Components of all verified pairs are the classes; their name is the smallest doc_id.
+3. Members of bands that still hold several components meet in cells of about `CELL` nodes or `CELL_BYTES` of text a
+   side. A cell compares its nodes exactly wherever their components differ, and returns one link for each two
+   components that it joins, never all pairs.
+4. Components of all links are the classes; their name is the smallest doc_id.
 
-With 40 bands of 6 rows a pair at similarity 0.8 is missed with probability 5e-6, and step 3 sets one aside with 1e-10.
+With 30 bands of 5 rows a pair at similarity 0.8 shares no band with probability 7e-6; every pair that shares one is
+decided by its exact overlap.
 
-Rows with a null doc_id are in no class but their own (null). Rows with equal doc_ids are one document. Null texts count
-as empty. Other columns are ignored.
+Rows with a null doc_id are in no class but their own (null). Rows with equal doc_ids are one document, whatever their
+texts; those of them without words are named by their doc_id. Null texts count as empty. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,99 +36,174 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm._shared import gathered, scratch, small_batches, written
-from lodestream.llm.repeats import Block, Spec, U, mix
-
-BANDS, ROWS, SHINGLE = 40, 6, 5
-CELL = 1024
-_WORDS = Spec("words", True, 1, 1, 0, lambda *_: None)
+from lodestream.llm.repeats import U, mix
+
+BANDS, ROWS, SHINGLE = 30, 5, 5
+CELL, CELL_BYTES = 2048, 8 << 20
+#: Texts that are cut into shingles together: 12 bits of a sort key name the text, 52 the shingle.
+TOGETHER = 4096
+#: Points that are made at once.
+POINTS = 200_000
+GOLDEN = U(0x9E3779B97F4A7C15)
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code for each word of all texts, and where the words of each text start (one entry more than texts)."""
+    flat = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    data = flat.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    heads = ends[:-1][ends[:-1] < len(raw)]
+    tails = ends[1:][ends[1:] > 0] - 1
+    first[heads], last[tails] = inside[heads], inside[tails]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(7, np.uint8)]), 8)
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    code = size.astype(np.uint64)
+    left, k = np.arange(len(start)), 0
+    while len(left):
+        part = np.ascontiguousarray(eights[start[left] + k]).view("<u8").reshape(-1) & masks[np.minimum(size[left] - k, 8)]
+        code[left] = mix(code[left] * GOLDEN + part)
+        k += 8
+        left = left[size[left] > k]
+    return code, np.searchsorted(start, ends)
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every shingle, repeats included, by text."""
-    block = Block(_WORDS, texts, pa.array([0] * len(texts), pa.int64()))
-    counts = np.diff(block.starts)
+    code, starts = words(texts)
+    counts = np.diff(starts)
     n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     of = np.repeat(np.arange(len(counts)), n)
-    at = block.starts[of] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = starts[of] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     out = np.minimum(counts, size).astype(np.uint64)[of]
-    last = block.starts[1:][of]
-    code = np.append(block.codes, U(0))
+    last = starts[1:][of]
+    code = np.append(code, U(0))
     for i in range(size):
         inside = at + i < last
-        out = np.where(inside, mix(out * U(0x9E3779B97F4A7C15) + code[np.minimum(at + i, block.n)]), out)
+        out = np.where(inside, mix(out * GOLDEN + code[np.minimum(at + i, len(code) - 1)]), out)
     return of, out
 
 
 def multisets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, count), sorted by text and shingle."""
-    of, hashed = shingles(texts)
-    order = np.lexsort((hashed, of))
-    of, hashed = of[order], hashed[order]
-    first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (hashed[1:] != hashed[:-1]))[: len(of)])
-    return of[first], hashed[first], np.diff(np.append(first, len(of)))
-
-
-def _uniform(seed: np.ndarray, k: int, salt: int) -> np.ndarray:
-    return ((mix(seed ^ U((k << 8 | salt) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
+    """(text, shingle, count), sorted by text and shingle; a shingle has 52 bits."""
+    parts = []
+    for c in range(0, max(1, len(texts)), TOGETHER):
+        of, hashed = shingles(texts.slice(c, TOGETHER))
+        key = np.sort(of.astype(np.uint64) << U(52) | hashed >> U(12))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        parts.append(((key[first] >> U(52)).astype(np.int64) + c, key[first] & U((1 << 52) - 1), np.diff(np.append(first, len(key)))))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def signatures(of: np.ndarray, hashed: np.ndarray, count: np.ndarray, n: int, m: int) -> np.ndarray:
-    """An n x m array of the bits of the earliest point of each component; rows without shingles stay infinite."""
-    sig = np.full(n * m, np.inf)
+    """An n x m array of the earliest point of each component; rows without shingles stay infinite."""
+    sig = np.full((n, m), np.inf)
     level = 0
-    docs, seeds, lows, lengths, weights = [], [], [], [], []
+    parts = []
     while True:  # the intervals (0, 1], (1, 2], (2, 4], ...
         low, length = (0, 1) if level == 0 else (1 << level - 1, 1 << level - 1)
-        own = count > low
-        if not own.any():
+        own = np.flatnonzero(count > low)
+        if not len(own):
             break
-        docs.append(of[own])
-        seeds.append(mix(hashed[own] + U(level * 0xD1B54A32D192ED03 & (1 << 64) - 1)))
-        lows.append(np.full(int(own.sum()), low, np.float64))
-        lengths.append(np.full(int(own.sum()), length, np.float64))
-        weights.append(count[own].astype(np.float64))
+        parts.append((of[own], mix(hashed[own] + U(level * 0xD1B54A32D192ED03 & (1 << 64) - 1)), np.full(len(own), low), np.full(len(own), length), count[own]))
         level += 1
-    if not docs:
-        return sig.reshape(n, m)
-    doc, seed, low, length, weight = (np.concatenate(x) for x in (docs, seeds, lows, lengths, weights))
+    if not parts:
+        return sig
+    doc, seed, low, length, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     time = np.zeros(len(doc))
+    flat = sig.reshape(-1)
+    worst = np.full(n, np.inf)
     k = 0
     while len(doc):
-        time = time - np.log(_uniform(seed, k, 1)) / length
-        place = doc * m + np.minimum((_uniform(seed, k, 2) * m).astype(np.int64), m - 1)
-        # A point belongs to a weight of the interval; above the count it is not there.
-        there = (low + 1 + np.floor(_uniform(seed, k, 3) * length) <= weight) & (time < sig[place])
-        np.minimum.at(sig, place[there], time[there])
-        worst = sig.reshape(n, m).max(axis=1)
+        # Several points of each process at once where few processes go on; the sums are the same as one by one.
+        step = int(np.clip(POINTS // len(doc), 1, 64))
+        for c in range(0, len(doc), POINTS):
+            own = slice(c, c + POINTS)
+            salt = mix((np.arange(k, k + step, dtype=np.uint64) + U(1)) * GOLDEN)
+            draw = mix(seed[own, None] ^ salt)
+            wait = -np.log(((draw >> U(11)).astype(np.float64) + 0.5) / (1 << 53)) / length[own, None]
+            at = np.cumsum(np.concatenate([time[own, None], wait], axis=1), axis=1)[:, 1:]
+            time[own] = at[:, -1]
+            row, col = np.nonzero(at < worst[doc[own]][:, None])
+            at, more = at[row, col], mix(draw[row, col] + GOLDEN)
+            row = row + c
+            wide = np.flatnonzero(length[row] > 1)
+            if len(wide):  # A point belongs to a weight of the interval; above the count it is not there.
+                r = row[wide]
+                gone = low[r] + 1 + ((more[wide] & U(0xFFFFFFFF)).astype(np.float64) / (1 << 32) * length[r]).astype(np.int64) > weight[r]
+                keep = np.ones(len(row), bool)
+                keep[wide[gone]] = False
+                row, at, more = row[keep], at[keep], more[keep]
+            place = doc[row] * m + ((more >> U(32)) * U(m) >> U(32)).astype(np.int64)
+            np.minimum.at(flat, place, at)
+        live = np.zeros(n, bool)
+        live[doc] = True
+        live = np.flatnonzero(live)
+        worst[live] = sig[live].max(axis=1)
         going = time < worst[doc]
         doc, seed, low, length, weight, time = (x[going] for x in (doc, seed, low, length, weight, time))
-        k += 1
-    return sig.reshape(n, m)
+        k += step
+    return sig
+
+
+def bands(sig: np.ndarray) -> np.ndarray:
+    """BANDS hashes of ROWS components each."""
+    bits = sig.view(np.uint64)
+    out = np.zeros((len(sig), BANDS), np.uint64)
+    for b in range(BANDS):
+        h = np.full(len(sig), b + 1, np.uint64)
+        for r in range(ROWS):
+            h = mix(h * GOLDEN + bits[:, b * ROWS + r])
+        out[:, b] = h
+    return out
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in gathered(batches, "text", 8 << 20):
         table = table.combine_chunks()
-        coded = table["digest"].combine_chunks().dictionary_encode()
-        place = coded.indices.to_numpy()
-        values, first = np.unique(place, return_index=True)
-        texts = table["text"].combine_chunks().take(pa.array(first))
-        of, hashed, count = multisets(texts)
+        place = table["digest"].combine_chunks().dictionary_encode().indices.to_numpy()
+        _, first = np.unique(place, return_index=True)  # the codes are 0, 1, 2, ...
+        of, hashed, count = multisets(table["text"].combine_chunks().take(pa.array(first)))
         sig = signatures(of, hashed, count, len(first), BANDS * ROWS)
-        has = np.isfinite(sig).all(axis=1)
-        bits = sig.view(np.uint64)
-        bands = np.zeros((len(first), BANDS), np.uint64)
-        for b in range(BANDS):
-            h = np.full(len(first), b + 1, np.uint64)
-            for r in range(ROWS):
-                h = mix(h * U(0x9E3779B97F4A7C15) + bits[:, b * ROWS + r])
-            bands[:, b] = h
-        sketch = (mix(bits) & U(255)).astype(np.uint8)
-        listed = [bands[i].view(np.int64).tolist() if has[i] else None for i in range(len(first))]
-        take = pa.array(place)  # `values` are 0, 1, 2, ...
-        yield pa.RecordBatch.from_arrays(
-            [table["doc_id"].combine_chunks(), table["digest"].combine_chunks(), pa.array(listed, pa.list_(pa.int64())).take(take), pa.array([s.tobytes() for s in sketch], pa.binary()).take(take)], ["doc_id", "digest", "bands", "sketch"]
-        )
+        none = ~np.isfinite(sig).all(axis=1)
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * BANDS, pa.int32()), pa.array(bands(sig).reshape(-1).view(np.int64)), mask=pa.array(none))
+        yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), table["digest"].combine_chunks(), listed.take(pa.array(place))], ["doc_id", "digest", "bands"])
+
+
+class Overlaps:
+    """The multisets of distinct texts, to count what one shares with many."""
+
+    def __init__(self, texts: pa.Array):
+        of, hashed, self.count = multisets(texts)
+        values, self.shingle = np.unique(hashed, return_inverse=True)
+        self.bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+        self.total = np.bincount(of, self.count, minlength=len(texts)).astype(np.int64)
+        self.mark = np.zeros(len(values), np.int64)
+
+    def shared(self, one: int, others: np.ndarray) -> np.ndarray:
+        """The sum of the smaller counts of text `one` and of each of `others`."""
+        a, b = self.bounds[one], self.bounds[one + 1]
+        self.mark[self.shingle[a:b]] = self.count[a:b]
+        n = self.bounds[others + 1] - self.bounds[others]
+        ends = np.cumsum(n)
+        at = np.repeat(self.bounds[others] - (ends - n), n) + np.arange(int(ends[-1]))
+        both = np.concatenate(([0], np.cumsum(np.minimum(self.mark[self.shingle[at]], self.count[at]))))
+        self.mark[self.shingle[a:b]] = 0
+        return both[ends] - both[ends - n]
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of `others` reach 0.8."""
+        same = self.shared(one, others)
+        return (same > 0) & (5 * same >= 4 * (self.total[one] + self.total[others] - same))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,25 +211,72 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in gathered(batches, "text_b", 8 << 20):
         table = table.combine_chunks()
         joined = pa.concat_arrays([table["text_a"].combine_chunks(), table["text_b"].combine_chunks()]).dictionary_encode()
-        of, hashed, count = multisets(joined.dictionary)
-        bounds = np.searchsorted(of, np.arange(len(joined.dictionary) + 1))
+        own = Overlaps(joined.dictionary)
         code = joined.indices.to_numpy()
-        n = table.num_rows
-        good = np.zeros(n, bool)
-        for i, (x, y) in enumerate(zip(code[:n].tolist(), code[n:].tolist(), strict=True)):
-            ha, hb = hashed[bounds[x] : bounds[x + 1]], hashed[bounds[y] : bounds[y + 1]]
-            ca, cb = count[bounds[x] : bounds[x + 1]], count[bounds[y] : bounds[y + 1]]
-            if not len(ha) or not len(hb):
-                continue
-            at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
-            same = int(np.minimum(ca, cb[at])[hb[at] == ha].sum())
-            good[i] = 5 * same >= 4 * (int(ca.sum()) + int(cb.sum()) - same)
+        a, b = code[: table.num_rows], code[table.num_rows :]
+        order = np.argsort(a, kind="stable")
+        good = np.zeros(table.num_rows, bool)
+        for rows in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+            good[rows] = own.near(int(a[rows[0]]), b[rows])
         yield from table.select(["a", "b"]).filter(pa.array(good)).to_batches()
 
 
+def _links(own: Overlaps, side: np.ndarray, node: np.ndarray, label: np.ndarray, code: np.ndarray) -> list[tuple[int, int]]:
+    """Of one cell: links that join its components wherever nodes of two of them are near."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one_side = not len(right)
+    right = left if one_side else right
+    right = right[np.argsort(own.total[code[right]], kind="stable")]
+    left = right if one_side else left
+    sizes = own.total[code[right]]
+    part = np.unique(label, return_inverse=True)[1]
+    found = []
+    for k, i in enumerate(left.tolist()):
+        total = int(own.total[code[i]])
+        low = k + 1 if one_side else int(np.searchsorted(sizes, -(-4 * total // 5)))
+        other = right[low : int(np.searchsorted(sizes, 5 * total // 4, "right"))]
+        other = other[part[other] != part[i]]
+        if len(other):
+            for j in other[own.near(int(code[i]), code[other])].tolist():
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    found.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+    return found
+
+
+def _linked_cells(table: pa.Table) -> pa.Table:
+    """Links (a, b) of the cells (equal slots, neighbours in `table`) of side, node, label and text."""
+    slot, side, node, label = (table[c].to_numpy() for c in ("slot", "side", "node", "label"))
+    coded = table["text"].combine_chunks().dictionary_encode()
+    own, code = Overlaps(coded.dictionary), coded.indices.to_numpy()
+    found = []
+    if len(slot):
+        cuts = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            found += _links(own, side[a:b], node[a:b], label[a:b], code[a:b])
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_linked_cells` of whole cells, about `CELL_BYTES` of text at a time; rows come sorted by slot."""
+    held: pa.Table | None = None
+    for batch in batches:
+        own = pa.Table.from_batches([batch])
+        held = own if held is None else pa.concat_tables([held, own])
+        if held["text"].nbytes >= CELL_BYTES:
+            slot = held["slot"].to_numpy()
+            whole = int(np.searchsorted(slot, slot[-1]))  # the last cell may go on
+            if whole:
+                yield from _linked_cells(held.slice(0, whole).combine_chunks()).to_batches()
+                held = held.slice(whole)
+    if held is not None and held.num_rows:
+        yield from _linked_cells(held.combine_chunks()).to_batches()
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, label) of all nodes of the undirected edges (a, b): the smallest node that each is linked to."""
-    both = written(edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).unionByName(edges.selectExpr("a", "a as b")).unionByName(edges.selectExpr("b as a", "b")).distinct(), f"{folder}/both")
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b")))
+    both = written(edges.select(ends.alias("e")).select("e.*").distinct(), f"{folder}/both")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), f"{folder}/labels-0")
     k = 0
     while True:
@@ -167,28 +291,6 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
-def _cells(table: pa.Table) -> pa.Table:
-    """Of one cell of a band: pairs of different components whose sketches may stand for 0.8."""
-    m = BANDS * ROWS
-    least = 0.8 * m - 6.5 * (0.16 * m) ** 0.5
-    side = table["side"].to_numpy()
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, m)
-    node, label = table["node"].to_numpy(), table["label"].to_numpy()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a, b = [], []
-    same_side = not len(right)
-    right = left if same_side else right
-    for i in left:
-        other = right[(label[right] != label[i]) & ((node[right] > node[i]) if same_side else True)]
-        for c in range(0, len(other), 65536):
-            own = other[c : c + 65536]
-            close = own[(sketch[own] == sketch[i]).sum(axis=1) >= least]
-            a += [node[i]] * len(close)
-            b += node[close].tolist()
-    low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-    return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -196,42 +298,49 @@ def classes(docs: DataFrame) -> DataFrame:
     folder = scratch(spark, "bagminhash")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("digest", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    signed = written(own.mapInArrow(_signed, "doc_id long, digest binary, bands array<long>, sketch binary"), f"{folder}/signed")
-    nodes = signed.where("doc_id is not null and bands is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
-    nodes = written(nodes, f"{folder}/nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    signed = written(own.mapInArrow(_signed, "doc_id long, digest binary, bands array<long>"), f"{folder}/signed")
+    named = signed.where("doc_id is not null and bands is not null")
+    nodes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), f"{folder}/nodes")
+    banded = nodes.select("node", "digest", F.explode("bands").alias("band"))
     several = banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     members = written(banded.join(several, "band"), f"{folder}/members")
-    # Texts of nodes that have candidates; the text itself is the same in all rows of a digest.
-    wanted = members.select("node").distinct()
-    texts = own.join(wanted, own.doc_id == wanted.node, "left_semi").select("doc_id", "digest", "text")
-    of_node = nodes.select(F.col("node").alias("_n"), F.col("digest").alias("_d"))
-    texts = written(texts.join(of_node, (texts.doc_id == of_node._n) & (texts.digest == of_node._d), "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), f"{folder}/texts")
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), f"{folder}/{name}")
-
-    star = members.where("node <> first").selectExpr("first as a", "node as b").distinct()
-    linked = verify(star, "linked")
+    # Texts of nodes that have candidates. An id whose rows have several texts may have several here.
+    wanted = members.select(F.col("node").alias("_n"), F.col("digest").alias("_d")).distinct()
+    texts = own.join(wanted, (own.doc_id == wanted._n) & (own.digest == wanted._d), "left_semi").dropDuplicates(["doc_id", "digest"])
+    texts = written(texts.select(F.col("doc_id").alias("node"), "text", "digest"), f"{folder}/texts")
+
+    # The first node of a large band has many partners: its text goes to as many places as hold about CELL of them.
+    star = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    star = written(star, f"{folder}/star")
+    centres = star.groupBy("a").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cuts"))
+    spread = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(centres, "a").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    dealt = star.join(centres, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int").alias("cut"))
+    pairs = dealt.join(spread, ["a", "cut"]).join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    linked = written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), f"{folder}/linked")
     labels = components(linked, f"{folder}/first")
-    marked = members.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
-    split = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    cut = F.ceil(F.col("size") / CELL).cast("int")
+
+    marked = members.join(labels, "node", "left").select("band", "node", "digest", "size", F.coalesce("label", "node").alias("label"))
+    sizes = texts.select("node", "digest", F.octet_length("text").alias("bytes"))
+    marked = written(marked.join(sizes, ["node", "digest"]), f"{folder}/marked")
+    split = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("bytes").alias("bytes")).where("lo <> hi").select("band", F.greatest(F.ceil(F.col("bytes") / CELL_BYTES), F.lit(1)).alias("most"))
     crossed = (
-        marked.join(split, "band", "left_semi")
-        .withColumn("cuts", cut)
+        marked.drop("bytes")
+        .join(split, "band")
+        .withColumn("cuts", F.greatest(F.ceil(F.col("size") / CELL), "most").cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select("band", "node", "label", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-        .join(nodes.select("node", "sketch"), "node")
+        .select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("slot"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "digest", "label")
+        .join(texts, ["node", "digest"])
+        .select("slot", "side", "node", "label", "text")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = crossed.repartition(n, "band", "row", "column").groupBy("band", "row", "column").applyInArrow(_cells, "a long, b long").distinct().join(linked, ["a", "b"], "left_anti")
-    every = linked.unionByName(verify(more, "more"))
-    found = components(every, f"{folder}/all")
-    named = nodes.select("digest", "node").join(found, "node", "left").select(F.col("digest").alias("_d"), F.coalesce("label", "node").alias("class_id"))
-    rows = signed.select("doc_id", "digest").join(named, F.col("digest") == F.col("_d"), "left")
+    more = crossed.repartition(n, "slot").sortWithinPartitions("slot", "side", "node").mapInArrow(_crossed, "a long, b long")
+    # Rows of one id with several texts are one document.
+    mixed = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    same = named.join(mixed, "doc_id", "left_semi").join(nodes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    found = components(linked.unionByName(more).unionByName(same), f"{folder}/all")
+    final = nodes.select(F.col("digest").alias("_d"), "node").join(found, "node", "left").select("_d", F.coalesce("label", "node").alias("class_id"))
+    rows = signed.select("doc_id", "digest").join(final, F.col("digest") == F.col("_d"), "left")
     return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 

@@ -55,8 +55,9 @@ def made(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_classes(spark, seed):
+@pytest.mark.parametrize(("seed", "cell"), [(0, 2048), (1, 2048), (2, 3)])
+def test_classes(spark, seed, cell, monkeypatch):
+    monkeypatch.setattr(near, "CELL", cell)
     docs = made(seed)
     frame = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, digest string").repartition(4)
     got = near.classes(frame).collect()
@@ -72,6 +73,22 @@ def test_classes(spark, seed):
         assert sum(r.doc_id is None for r in rows) == 2
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = ("w%d " * 30 % tuple(range(k, k + 30)) for k in (0, 100, 200))
+    docs = [(5, a), (5, b), (9, b), (7, a), (8, c), (5, a)]
+    got = near.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 8), (9, 5)]
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["", "  "], ["a b  c\t", "\n\x0bé x" + "y" * 20, None, "z", " "]])
+def test_words(texts):
+    code, starts = near.words(pa.array(texts, pa.string()))
+    expected = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert np.diff(starts).tolist() == [len(w) for w in expected]
+    assert len(set(code.tolist())) == len({w for ws in expected for w in ws})
+    assert near.words(pa.array(["q", *texts], pa.string()).slice(1))[0].tolist() == code.tolist()
+
+
 def test_cells_give_few_links():
     text = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2
     n = 40
