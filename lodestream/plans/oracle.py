@@ -101,10 +101,10 @@ SELECT doc_id, md5('Document: ' || source || chr(10) || CASE WHEN lang <> 'en' T
     "enrich_inline": f"SELECT doc_id, md5('[' || source || CASE WHEN lang <> 'en' THEN ' > ' || lang ELSE '' END || '] ' || {_CONTEXT}) AS digest FROM documents",
     "chunk_ids": "SELECT doc_id, source || '_' || doc_id || '_' || substr(sha256(source || ':' || doc_id || ':' || substr(text, 1, 100)), 1, 16) AS chunk_id FROM documents",
     "mime_detect": r"""
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'html' WHEN page_id % 3 = 1 THEN 'json' WHEN page_id % 5 = 0 THEN 'pdf'
-  ELSE CASE regexp_extract(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '')), '\.([^.]*)$', 1)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'html' WHEN page_id % 3 = 1 THEN 'json'
+  ELSE CASE regexp_extract(lower(regexp_replace(regexp_replace(path, '[?#].*$', ''), '^.*/', '')), '\.([^.]*)$', 1)
     WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'pdf' THEN 'pdf' WHEN 'json' THEN 'json' WHEN 'xml' THEN 'xml' WHEN 'md' THEN 'markdown' WHEN 'csv' THEN 'csv' ELSE 'text' END END AS doc_type
-FROM pages""",
+FROM (SELECT page_id, url || CASE WHEN page_id % 5 = 0 THEN '.PDF?x=1' ELSE '' END AS path FROM pages)""",
     "url_normalize": r"""
 SELECT page_id, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$') THEN u || '/' ELSE u END AS url
 FROM (SELECT page_id, regexp_replace(regexp_replace(url || CASE WHEN page_id % 2 = 0 THEN '/' ELSE '' END, '[?#].*$', ''), '/+$', '') AS u FROM pages)""",
