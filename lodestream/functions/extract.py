@@ -53,77 +53,56 @@ def without_chrome(text: str) -> str:
 
 
 class _Markdown(HTMLParser):
+    """Headings, paragraphs, lists, emphasis, links, code and table rows; the text of all other tags as it stands."""
+
+    AROUND = {"p": ("\n\n", "\n"), "pre": ("\n\n```\n", "\n```\n\n"), "br": ("\n", ""), "strong": ("**", "**"), "b": ("**", "**"), "em": ("*", "*"), "i": ("*", "*"), "tr": ("\n|", ""), "td": (" ", " |"), "th": (" ", " |"), "thead": ("", "\n|---|"), "ul": ("", "\n"), "ol": ("", "\n")}
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.lists: list[list] = []
-        self.links: list[tuple[str, int]] = []
-        self.silent = 0
-
-    def put(self, text: str) -> None:
-        self.out.append(text)
+        self.numbers: list[int | None] = []  # of the lists that are open: the last item's number, None in plain ones
+        self.opened: list[tuple[str, int]] = []  # links and headings: what they are, and where their text starts
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("title", "script", "style"):
-            self.silent += 1
-        elif re.fullmatch("h[1-6]", tag):
-            self.put(f"\n\n{'#' * int(tag[1])} ")
-        elif tag in ("p", "div", "section", "article", "pre"):
-            self.put("\n\n")
-        elif tag == "br":
-            self.put("\n")
-        elif tag in ("ul", "ol"):
-            self.put("\n" if self.lists else "\n\n")
-            self.lists.append([tag, 0])
-        elif tag == "li":
-            depth = max(0, len(self.lists) - 1)
-            mark = "- "
-            if self.lists:
-                self.lists[-1][1] += 1
-                mark = f"{self.lists[-1][1]}. " if self.lists[-1][0] == "ol" else mark
-            self.put("\n" + "  " * depth + mark)
-        elif tag in ("strong", "b"):
-            self.put("**")
-        elif tag in ("em", "i"):
-            self.put("*")
+        if re.fullmatch("h[1-6]", tag):
+            self.out.append("\n\n")
+            self.opened.append((tag, len(self.out)))
         elif tag == "a":
-            self.links.append((dict(attrs).get("href") or "", len(self.out)))
-        elif tag == "tr":
-            self.put("\n|")
+            self.opened.append((dict(attrs).get("href") or "", len(self.out)))
+        elif tag == "li":
+            mark = "-"
+            if self.numbers and self.numbers[-1] is not None:
+                self.numbers[-1] += 1
+                mark = f"{self.numbers[-1]}."
+            self.out.append(f"\n{'  ' * (len(self.numbers) - 1)}{mark} ")
+        else:
+            if tag in ("ul", "ol"):
+                self.numbers.append(0 if tag == "ol" else None)
+            self.out.append(self.AROUND.get(tag, ("", ""))[0])
 
     def handle_endtag(self, tag):
-        if tag in ("title", "script", "style"):
-            self.silent = max(0, self.silent - 1)
-        elif re.fullmatch("h[1-6]", tag) or tag in ("p", "pre", "table"):
-            self.put("\n\n")
-        elif tag in ("ul", "ol"):
-            if self.lists:
-                self.lists.pop()
-            self.put("" if self.lists else "\n\n")
-        elif tag in ("strong", "b"):
-            self.put("**")
-        elif tag in ("em", "i"):
-            self.put("*")
-        elif tag == "a" and self.links:
-            href, at = self.links.pop()
-            label = "".join(self.out[at:]).strip()
+        if (tag == "a" or re.fullmatch("h[1-6]", tag)) and self.opened:
+            what, at = self.opened.pop()
+            inner = "".join(self.out[at:]).strip()
             del self.out[at:]
-            self.put(f"[{label}]({href})" if href and label else label)
-        elif tag in ("td", "th"):
-            self.put(" |")
-        elif tag == "thead":
-            self.put("\n|---|")
+            if tag == "a":
+                self.out.append(f"[{inner}]({what})" if what and inner else inner)
+            else:
+                self.out.append(f"{'#' * int(tag[1])} {inner}\n\n")
+        else:
+            if tag in ("ul", "ol") and self.numbers:
+                self.numbers.pop()
+            self.out.append(self.AROUND.get(tag, ("", ""))[1])
 
     def handle_data(self, data):
-        if not self.silent:
-            self.put(data)
+        self.out.append(data)
 
 
 def html_text(text: str) -> str:
     parser = _Markdown()
     parser.feed(without_chrome(text))
     parser.close()
-    return re.sub(r"\n[ \t]*\n(?:[ \t]*\n)+", "\n\n", "".join(parser.out)).strip()
+    return re.sub(r"\n{3,}", "\n\n", "".join(parser.out)).strip()
 
 
 def html_page(data: bytes, path: str | None = None) -> str:

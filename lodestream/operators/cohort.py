@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators import search
+
 STAGES = ("seed", "structural", "entity_adjacent", "cluster_adjacent")
 PRIORITY = (1.0, 0.9, 0.7, 0.5)
 POOL = "query_id long, stage int, place int, chunk_id string, linked_by string, cluster string"
@@ -140,3 +142,16 @@ def ablations(o: CohortOptions) -> dict[str, CohortOptions]:
     """Variants that leave one expansion out, or all."""
     off = {"no_structural": ("structural",), "no_entity": ("entity",), "no_cluster": ("cluster",), "seeds_only": ("structural", "entity", "cluster")}
     return {"full": o} | {name: reduce(lambda x, f: type(x)(**(vars(x) | {f: False})), fields, o) for name, fields in off.items()}
+
+
+def expand(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, scored: DataFrame, clusters: DataFrame, o: CohortOptions = CohortOptions(), *, text: bool = False) -> DataFrame:
+    """COHORT of `queries` (query_id, embedding, and text if `text`) from the seeds on: vector order, or with text fused with BM25.
+
+    `vectors` is (chunk_id, embedding), `chunks` (chunk_id, document_name, chunk_index, content).
+    """
+    n = o.k * o.seed_factor
+    ids = vectors.select("chunk_id", F.xxhash64("chunk_id").alias("_n"))
+    near = search.nearest(vectors.join(ids, "chunk_id"), queries, 3 * n if text else n, key="_n", query_key="query_id").join(ids, F.col("id") == F.col("_n")).select("query_id", "rank", F.col("chunk_id").alias("id"), "score")
+    if text:
+        near = search.fused(near, search.bm25(chunks, queries, 3 * n, key="chunk_id", query_key="query_id", text="content", query_text="text", stemmed=True), n)
+    return cohorts(pool(near, chunks, scored, clusters, o), vectors, queries, o)

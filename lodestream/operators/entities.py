@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MATCHES = "chunk_id string, entity_id string, frequency int, positions array<int>, spans array<struct<s:int,e:int>>, chunk_length int"
@@ -169,7 +169,8 @@ def average_linkage(dist: DataFrame, nodes: DataFrame, threshold: float, *, fold
     Up to a threshold of 1 components of d < 1 cannot merge, so each is clustered on its own; above it all are one group.
     """
     parts = linked(dist.where("d < 1"), nodes, folder=folder) if threshold <= 1 else nodes.select("entity_id").distinct().withColumn("label", F.lit(""))
-    edges = dist.join(parts.toDF("a", "part"), "a").select("part", "a", "b", "d")
+    inside = dist.where("d < 1") if threshold <= 1 else dist
+    edges = inside.join(parts.toDF("a", "part"), "a").select("part", "a", "b", "d")
     alone = parts.select(F.col("label").alias("part"), F.col("entity_id").alias("a"), F.col("entity_id").alias("b"), F.lit(0.0).alias("d"))
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
@@ -244,3 +245,118 @@ def neighbours(clusters: DataFrame) -> DataFrame:
     """(entity_id, members): the cluster of each entity as one array a cluster, not as pairs."""
     members = clusters.groupBy("label").agg(F.sort_array(F.collect_list("entity_id")).alias("members"))
     return clusters.join(members, "label").select("entity_id", F.array_remove("members", F.col("entity_id")).alias("members"))
+
+
+def cluster(pairs: DataFrame, nodes: DataFrame, method: str, *, score: str = "jaccard", threshold: float = 0.7, eps: float = 0.6, resolution: float = 1.0, folder: str) -> DataFrame:
+    """(entity_id, label) of `nodes` (entity_id) by `agglomerative`, `dbscan` or `leiden` over co-occurrence `pairs`."""
+    if method == "agglomerative":
+        return average_linkage(distances(pairs, score), nodes, threshold, folder=folder)
+    if method == "dbscan":
+        return dbscan(distances(pairs, score), nodes, eps, folder=folder)
+    if method == "leiden":
+        return modularity(pairs, nodes, resolution=resolution, folder=folder)
+    raise ValueError(f"unknown cluster method: {method}")
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """Entities (entity_id, name, display_name, type, aliases) of a JSON array, JSON lines, or a text file of names; in text, blank lines and those with # are left out.
+
+    Entities without an id get one made of their name.
+    """
+    fields = "id string, name string, display_name string, type string, aliases array<string>"
+    if path.lower().endswith((".json", ".jsonl", ".ndjson")):
+        own = spark.read.schema(fields).json(path, multiLine=path.lower().endswith(".json"))
+    else:
+        own = spark.read.text(path).select(F.trim("value").alias("name")).where("name <> '' and not startswith(name, '#')")
+        own = own.select(F.lit(None).cast("string").alias("id"), "name", F.lit(None).cast("string").alias("display_name"), F.lit(None).cast("string").alias("type"), F.array().cast("array<string>").alias("aliases"))
+    return own.select(F.coalesce("id", slug(F.col("name"))).alias("entity_id"), "name", F.coalesce("display_name", "name").alias("display_name"), "type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def found_by(chunks: DataFrame, find: Callable[[str], list[tuple[int, int, str]]], *, labels: frozenset[str] | None = None, numeric: bool = False, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """Spans (chunk_id, entity_id, surface, label, s, e) of a recogniser: a function of a text that gives (start, end, label).
+
+    Ends are stripped of punctuation; spans without letters are left out unless `numeric`; equal slugs are one entity.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(cid, t[a:b], label, a) for cid, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if t for a, b, label in find(t) if labels is None or label in labels]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], ["chunk_id", "surface", "label", "s"])
+
+    spans = chunks.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(work, "chunk_id string, surface string, label string, s int")
+    bare = stripped(spans.withColumn("e", F.lit(0)), "surface")
+    if not numeric:
+        bare = bare.where(F.col("surface").rlike(r"\p{L}"))
+    return bare.select("chunk_id", slug(F.col("surface")).alias("entity_id"), "surface", "label", "s", F.col("e").cast("int").alias("e"))
+
+
+class EntityIndex:
+    """Matches with their association scores, as a table."""
+
+    def __init__(self, scored: DataFrame):
+        self.scored = scored
+
+    @classmethod
+    def build(cls, chunks: DataFrame, vocabulary: DataFrame, *, key: str = "chunk_id", text: str = "content", exact: bool = False) -> EntityIndex:
+        """The number of chunks counts those without any entity too."""
+        return cls(associations(match(chunks, vocabulary, exact=exact, key=key, text=text), chunks.count()))
+
+    def chunks_of(self, entity: str, n: int | None = None) -> DataFrame:
+        own = self.scored.where(F.col("entity_id") == entity).orderBy(F.desc(F.round("score", 9)), "chunk_id")
+        return own if n is None else own.limit(n)
+
+    def entities_of(self, chunk: str) -> DataFrame:
+        return self.scored.where(F.col("chunk_id") == chunk).orderBy(F.desc(F.round("score", 9)), "entity_id")
+
+    def association(self, chunk: str, entity: str) -> DataFrame:
+        return self.scored.where((F.col("chunk_id") == chunk) & (F.col("entity_id") == entity))
+
+    def frequencies(self) -> DataFrame:
+        """(entity_id, df)."""
+        return self.scored.groupBy("entity_id").agg(F.count("*").alias("df"))
+
+    def without(self, gone: DataFrame, n_chunks: int) -> EntityIndex:
+        """The index of what stays after `gone` (chunk_id), with scores made anew for `n_chunks` chunks."""
+        return EntityIndex(associations(without_chunks(self.scored.drop("df", "score"), gone), n_chunks))
+
+    def save(self, path: str) -> None:
+        self.scored.write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> EntityIndex:
+        return cls(spark.read.parquet(path))
+
+    def as_json(self) -> DataFrame:
+        """One JSON object for each match."""
+        return self.scored.select(F.to_json(F.struct(*self.scored.columns)).alias("value"))
+
+
+class ClusterMap:
+    """(entity_id, label) of all entities, and the pairs that they came from."""
+
+    def __init__(self, labels: DataFrame, pairs: DataFrame, score: str = "jaccard"):
+        self.labels, self.pairs, self.score = labels, pairs, score
+
+    def cluster_of(self, entity: str) -> DataFrame:
+        return self.labels.where(F.col("entity_id") == entity)
+
+    def neighbours(self) -> DataFrame:
+        return neighbours(self.labels)
+
+    def records(self) -> DataFrame:
+        """(cluster_id, size, cohesion, members): one row a cluster."""
+        members = self.labels.groupBy("label").agg(F.sort_array(F.collect_list("entity_id")).alias("members"))
+        names = numbered(self.labels).join(self.labels, "entity_id").select("label", "cluster_id").distinct()
+        return cohesion(self.labels, self.pairs, self.score).join(members, "label").join(names, "label").select("cluster_id", "size", "cohesion", "members")
+
+    def count(self) -> int:
+        return self.labels.select("label").distinct().count()
+
+    def save(self, path: str) -> None:
+        self.labels.write.parquet(f"{path}/labels")
+        self.pairs.write.parquet(f"{path}/pairs")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, score: str = "jaccard") -> ClusterMap:
+        return cls(spark.read.parquet(f"{path}/labels"), spark.read.parquet(f"{path}/pairs"), score)

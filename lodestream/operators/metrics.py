@@ -111,3 +111,16 @@ def advantage(scores: DataFrame, *, strategy: str = "strategy", value: str = "rq
     """(size, best_naive, contextual, percent): contextual against the best other strategy at each size."""
     sides = scores.groupBy("size").agg(F.max(F.when(F.col(strategy) == contextual, F.col(value))).alias("contextual"), F.max(F.when(F.col(strategy) != contextual, F.col(value))).alias("best_naive"), F.max_by(strategy, F.when(F.col(strategy) != contextual, F.col(value))).alias("naive"))
     return sides.withColumn("percent", F.when(F.col("best_naive") > 0, 100 * (F.col("contextual") / F.col("best_naive") - 1)))
+
+
+def activated(results: DataFrame, *, by: str = "query_id", vector: str = "embedding", context: str = "document_name", least: float = 0.75) -> DataFrame:
+    """(query, activated): pairs of a query's results from different contexts that are closer than `least`."""
+    a, b = results.select(by, F.col("rank").alias("r1"), F.col(vector).alias("v1"), F.col(context).alias("c1")), results.select(by, F.col("rank").alias("r2"), F.col(vector).alias("v2"), F.col(context).alias("c2"))
+    close = (cosine(F.col("v1"), F.col("v2")) > least) & ~F.col("c1").eqNullSafe(F.col("c2"))
+    return a.join(b, by).where("r1 < r2").groupBy(by).agg(F.count_if(close).alias("activated"))
+
+
+def evidence(records: DataFrame, *, key: str = "id", passages: str = "evidence") -> DataFrame:
+    """(evidence_id, passage, records): distinct passages of all records, numbered by their text, with the records that cite each."""
+    cited = records.select(key, F.explode(passages).alias("passage")).where("trim(passage) <> ''").distinct()
+    return cited.groupBy("passage").agg(F.sort_array(F.collect_list(key)).alias("records")).select(F.left(F.sha2("passage", 256), F.lit(16)).alias("evidence_id"), "passage", "records")
