@@ -121,6 +121,6 @@ def activated(results: DataFrame, *, by: str = "query_id", vector: str = "embedd
 
 
 def evidence(records: DataFrame, *, key: str = "id", passages: str = "evidence") -> DataFrame:
-    """(evidence_id, passage, records): distinct passages of all records, numbered by their text, with the records that cite each."""
+    """(evidence_id, passage, n_records): distinct passages of all records under an id made of their text, and how many records cite each."""
     cited = records.select(key, F.explode(passages).alias("passage")).where("trim(passage) <> ''").distinct()
-    return cited.groupBy("passage").agg(F.sort_array(F.collect_list(key)).alias("records")).select(F.left(F.sha2("passage", 256), F.lit(16)).alias("evidence_id"), "passage", "records")
+    return cited.groupBy("passage").agg(F.count("*").alias("n_records")).select(F.left(F.sha2("passage", 256), F.lit(16)).alias("evidence_id"), "passage", "n_records")

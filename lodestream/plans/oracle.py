@@ -195,4 +195,30 @@ SELECT doc_id, source FROM p JOIN u USING (source) WHERE place <= n""",
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS starts FROM events),
 s AS (SELECT user_id, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k)
 SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM c GROUP BY user_id""",
+    "marker_strip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "url_visitable": "SELECT page_id, regexp_matches(url, '/(en|de)/') AND NOT regexp_matches(url, '[?]utm_') AND NOT regexp_matches(url, '#top$') AS keep FROM pages",
+    "record_sections": """
+SELECT p_partkey, md5('# ' || p_name || chr(10) || chr(10) || '## Brand' || chr(10) || chr(10) || p_brand || chr(10) || chr(10) || '## Kind' || chr(10) || chr(10)
+  || replace(p_type, ' ', chr(10) || chr(10))) AS digest FROM part""",
+    "latest_of_form": """
+SELECT o_custkey, CAST(max_by(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) FILTER (o_orderstatus = 'F') AS VARCHAR) AS newest FROM orders GROUP BY o_custkey""",
+    "embedding_cache_missing": "SELECT doc_id, lang AS model FROM documents WHERE doc_id % 2 <> 0",
+    "entity_scores_after_removal": f"""
+WITH {_MATCH}, left_docs AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, length(text) AS n FROM documents WHERE source <> 'src1' OR source IS NULL),
+l AS (SELECT m.*, n FROM m JOIN left_docs USING (chunk_id)), f AS (SELECT entity_id, count(*) AS df FROM l GROUP BY entity_id)
+SELECT chunk_id, entity_id, df, round(0.4 * ln(1 + frequency) + 0.3 * (1 - first / greatest(n, 1)) + 0.3 * ln((SELECT count(*) FROM left_docs) / df), 6) AS score FROM l JOIN f USING (entity_id)""",
+    "cluster_neighbors": f"WITH RECURSIVE {_MATCH}, {_PAIRS}, {_CLUSTERS} SELECT a.entity_id, b.entity_id AS neighbor FROM cl a JOIN cl b ON a.label = b.label AND a.entity_id <> b.entity_id",
+    "cross_context_pairs": f"""
+WITH {_RESULTS} SELECT a.query_id, count(*) FILTER (list_cosine_similarity(a.v, b.v) > 0.1 AND a.l IS DISTINCT FROM b.l) AS activated
+FROM top a JOIN top b ON a.query_id = b.query_id AND a.rank < b.rank GROUP BY a.query_id""",
+    "graded_relevance": """
+WITH g AS (SELECT doc_id, contains(lower(coalesce(source, '')), 'src1') OR contains(lower(coalesce(source, '')), 'src2') AS ind,
+  doc_id % 2 = 0 AND (contains(lower(coalesce(lang, '')), 'en') OR contains(lower(coalesce(text, '')), 'en') OR contains(lower(coalesce(lang, '')), 'the ') OR contains(lower(coalesce(text, '')), 'the ')) AS ins FROM documents)
+SELECT doc_id, CAST(CASE WHEN ind AND (ins OR doc_id % 2 <> 0) THEN 2 WHEN ind OR ins THEN 1 ELSE 0 END AS BIGINT) AS grade FROM g""",
+    "answers_by_type": "SELECT event_type, count(*) AS n, round(avg(value) FILTER (event_id % 10 <> 0), 6) AS value FROM events GROUP BY event_type",
+    "strategy_advantage": """
+WITH a AS (SELECT month(ts) AS size, CASE WHEN event_type = 'view' THEN 'contextual' ELSE event_type END AS strategy, avg(value) AS rqi FROM events GROUP BY ALL),
+b AS (SELECT size, max(rqi) FILTER (strategy <> 'contextual') AS bn, max(rqi) FILTER (strategy = 'contextual') AS c, max_by(strategy, rqi) FILTER (strategy <> 'contextual') AS naive FROM a GROUP BY size)
+SELECT size, round(bn, 6) AS best_naive, round(c, 6) AS contextual, naive, round(CASE WHEN bn > 0 THEN 100 * (c / bn - 1) END, 6) AS percent FROM b""",
+    "evidence_passages": "SELECT substr(sha256(text), 1, 16) AS evidence_id, count(DISTINCT conv_id) AS n_records FROM conversations WHERE trim(text) <> '' GROUP BY text",
 }

@@ -106,6 +106,29 @@ def chunk_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", chunk_id(F.col("source"), F.col("doc_id"), F.lit(None).cast("string"), F.col("text")).alias("chunk_id"))
 
 
+@query
+def marker_strip(spark, d):
+    kind = F.element_at(F.array(F.lit("TABLE"), F.lit("LIST"), F.lit("PARA")), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+    wrapped = F.concat(F.lit("["), kind, F.lit(":start]\n"), F.coalesce("text", F.lit("")), F.lit("\n["), kind, F.lit(":cont]"))
+    return table(spark, d, "documents").select("doc_id", F.md5(chunking.without_markers(wrapped)).alias("digest"))
+
+
+#: The chunking configurations that are compared: sizes, and whether chunks carry their context.
+STRATEGIES = {
+    "naive_small": ChunkOptions(least=150, most=300, breadcrumb=False), "naive_medium": ChunkOptions(least=400, most=800, breadcrumb=False), "naive_large": ChunkOptions(least=800, most=1600, breadcrumb=False),
+    "context_small": ChunkOptions(least=150, most=300), "context_medium": ChunkOptions(least=400, most=800), "context_large": ChunkOptions(least=800, most=1600), "context_wide": ChunkOptions(least=400, most=1200),
+}
+
+
+@query
+def strategy_matrix(spark, d):
+    out = None
+    for name, options in STRATEGIES.items():
+        own = chunking.chunk(named(spark, d), options).agg(F.count("*").alias("n_chunks"), F.sum("source_length").alias("bytes"), F.max(F.length("body").cast("long")).alias("longest")).withColumn("strategy", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 # Types, pages and records
 
 
@@ -125,6 +148,17 @@ def html_links(spark, d):
     return links.hrefs(table(spark, d, "pages"), "page_id").groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
+@query
+def url_visitable(spark, d):
+    keep = links.visitable(F.col("url"), include=r"/(en|de)/", exclude=(r"[?]utm_", r"#top$"))
+    return table(spark, d, "pages").select("page_id", keep.alias("keep"))
+
+
+@query
+def page_links(spark, d):
+    return links.links(table(spark, d, "pages"), "page_id").select("page_id", "target")
+
+
 @query
 def html_to_markdown(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.lit("html").alias("doc_type"), F.encode("html", "UTF-8").alias("data"))
@@ -143,6 +177,25 @@ def table_to_markdown(spark, d):
     return records.table_markdown(rows, ["n_nationkey", "n_name", "r_name"], by=["r_regionkey"], order=["n_nationkey"])
 
 
+@query
+def json_outline(spark, d):
+    files = table(spark, d, "events").select("event_id", F.lit("e.json").alias("path"), F.lit("json").alias("doc_type"), F.encode("props", "UTF-8").alias("data"))
+    return extract.extracted(files).select("event_id", F.md5("text").alias("digest"), "error")
+
+
+@query
+def record_sections(spark, d):
+    own = records.drug_markdown(F.col("p_name"), {"Brand": F.array("p_brand"), "Kind": F.split("p_type", " ")})
+    return table(spark, d, "part").select("p_partkey", F.md5(own).alias("digest"))
+
+
+@query
+def latest_of_form(spark, d):
+    own = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus"))).alias("os"))
+    column = lambda c: F.transform("os", lambda o: o[c].cast("string"))
+    return own.select("o_custkey", records.latest(column("o_orderstatus"), F.transform("os", lambda o: F.struct(o["o_orderdate"], o["o_orderkey"])), column("o_orderkey"), "F").alias("newest"))
+
+
 @query
 def conversation_documents(spark, d):
     return records.conversations(table(spark, d, "conversations")).select("conv_id", "n_turns", F.md5("text").alias("digest"))
@@ -197,9 +250,36 @@ def federated_search(spark, d):
     return search.federated(lists, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "library", "id", F.round("score", 9).alias("score"))
 
 
+@query
+def bm25_stemmed_topk(spark, d):
+    found = search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), 5, key="doc_id", query_key="item_id", stemmed=True)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+def _shared_words(queries, contents):
+    """A stand-in for a reranking model: the share of the query's words that the text has."""
+    import pandas as pd
+
+    return pd.Series([len(set((q or "").lower().split()) & set((c or "").lower().split())) / max(1, len(set((q or "").split()))) for q, c in zip(queries, contents, strict=True)])
+
+
+@query
+def rerank_topk(spark, d):
+    rows, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
+    found = search.bm25(rows, queries, 20, key="doc_id", query_key="item_id")
+    joined = found.select("query_id", "id").join(rows.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    return search.reranked(joined, _shared_words, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
 # Store
 
 
+@query
+def embedding_cache_missing(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("model"))
+    return store.missing(rows, rows.where("doc_id % 2 = 0"), ["doc_id", "model"])
+
+
 @query
 def store_upsert_first_wins(spark, d):
     rows = table(spark, d, "documents").select(F.md5("text").alias("chunk_id"), "doc_id")
@@ -268,6 +348,13 @@ def merge_matches_overlap(spark, d):
     return entities.merged(own.where("entity_id < 'ent_n'"), generic).select("chunk_id", "entity_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
 
 
+@query
+def entity_scores_after_removal(spark, d):
+    own = entities.EntityIndex(_kept(spark, _associated(spark, d), "scored"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "source")
+    return own.without(docs.where("source = 'src1'"), docs.where("source <> 'src1' or source is null").count()).scored.select("chunk_id", "entity_id", "df", F.round("score", 6).alias("score"))
+
+
 def _pairs(spark, d):
     return entities.cooccurrence(_kept(spark, matched(spark, d), "matches"), table(spark, d, "documents").count())
 
@@ -294,6 +381,11 @@ def cluster_cohesion(spark, d):
     return entities.cohesion(labels, pairs, "jaccard")
 
 
+@query
+def cluster_neighbors(spark, d):
+    return entities.neighbours(_clustered(spark, d)[1]).select("entity_id", F.explode("members").alias("neighbor"))
+
+
 @query
 def cluster_agglomerative(spark, d):
     return entities.average_linkage(entities.distances(_pairs(spark, d), "jaccard"), vocabulary(spark, d).select("entity_id"), 0.7, folder=folder(spark, "linkage"))
@@ -395,6 +487,36 @@ def rqi_rollup(spark, d):
     return metrics.quality_index(scores).select("category", "n", F.round("rqi", 6).alias("rqi"))
 
 
+@query
+def cross_context_pairs(spark, d):
+    return metrics.activated(_results(spark, d), context="l", least=0.1)
+
+
+@query
+def graded_relevance(spark, d):
+    none = F.array().cast("array<string>")
+    grade = metrics.graded(F.col("source"), F.col("lang"), F.col("text"), F.array(F.lit("SRC1"), F.lit("src2")), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("EN"), F.lit("the "))).otherwise(none))
+    return table(spark, d, "documents").select("doc_id", grade.cast("long").alias("grade"))
+
+
+@query
+def answers_by_type(spark, d):
+    own = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return metrics.by_type(own, "event_type", ["value"]).withColumn("value", F.round("value", 6))
+
+
+@query
+def strategy_advantage(spark, d):
+    own = table(spark, d, "events").groupBy(F.month("ts").alias("size"), F.when(F.col("event_type") == "view", "contextual").otherwise(F.col("event_type")).alias("strategy")).agg(F.avg("value").alias("rqi"))
+    return metrics.advantage(own).select("size", F.round("best_naive", 6).alias("best_naive"), F.round("contextual", 6).alias("contextual"), "naive", F.round("percent", 6).alias("percent"))
+
+
+@query
+def evidence_passages(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", F.array("text").alias("evidence"))
+    return metrics.evidence(turns, key="conv_id").select("evidence_id", "n_records")
+
+
 @query
 def first_hit(spark, d):
     return metrics.first_hit(_results(spark, d)).select("query_id", "precision_at_1", F.round("margin", 6).alias("margin"))
