@@ -6,8 +6,9 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -101,3 +102,34 @@ def per_table(work: Callable[[pa.Table], pa.Table], column: str, limit: int) ->
             yield from work(table).to_batches()
 
     return run
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, column: str, limit: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, about `limit` bytes of `column` each; rows come sorted by the integer column `key`."""
+    held: pa.Table | None = None
+    for batch in batches:
+        own = pa.Table.from_batches([batch])
+        held = own if held is None else pa.concat_tables([held, own])
+        if held[column].nbytes >= limit:
+            keys = held[key].to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+            if whole:
+                yield held.slice(0, whole).combine_chunks()
+                held = held.slice(whole)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def linked(label: np.ndarray, lefts: Iterable[int], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of places that join the components in `label`: `near` gives, of other places that it may look at, those near one.
+
+    `near` gets each left place and a mask of the places of other components.
+    """
+    part = np.unique(label, return_inverse=True)[1]
+    found = []
+    for i in lefts:
+        for j in near(i, part != part[i]).tolist():
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                found.append((i, j))
+    return found

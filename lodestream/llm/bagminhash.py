@@ -31,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm._shared import gathered, scratch, small_batches, written
-from lodestream.llm.repeats import U, mix
+from lodestream.llm._shared import gathered, linked, scratch, small_batches, whole_groups, written
+from lodestream.llm.repeats import GOLDEN, U, flattened, mix, words
 
 BANDS, ROWS, SHINGLE = 30, 5, 5
 CELL, CELL_BYTES = 2048, 8 << 20
@@ -44,42 +43,11 @@ CELL, CELL_BYTES = 2048, 8 << 20
 TOGETHER = 4096
 #: Points that are made at once.
 POINTS = 200_000
-GOLDEN = U(0x9E3779B97F4A7C15)
-
-
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit code for each word of all texts, and where the words of each text start (one entry more than texts)."""
-    flat = pc.fill_null(texts, "").cast(pa.large_string())
-    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-    data = flat.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
-    ends = ends - ends[0]
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    inside = (raw != 32) & ((raw < 9) | (raw > 13))
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    heads = ends[:-1][ends[:-1] < len(raw)]
-    tails = ends[1:][ends[1:] > 0] - 1
-    first[heads], last[tails] = inside[heads], inside[tails]
-    start = np.flatnonzero(first)
-    size = np.flatnonzero(last) + 1 - start
-    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(7, np.uint8)]), 8)
-    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-    code = size.astype(np.uint64)
-    left, k = np.arange(len(start)), 0
-    while len(left):
-        part = np.ascontiguousarray(eights[start[left] + k]).view("<u8").reshape(-1) & masks[np.minimum(size[left] - k, 8)]
-        code[left] = mix(code[left] * GOLDEN + part)
-        k += 8
-        left = left[size[left] > k]
-    return code, np.searchsorted(start, ends)
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every shingle, repeats included, by text."""
-    code, starts = words(texts)
+    code, _, _, starts = words(*flattened(texts))
     counts = np.diff(starts)
     n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     of = np.repeat(np.arange(len(counts)), n)
@@ -229,19 +197,16 @@ def _links(own: Overlaps, side: np.ndarray, node: np.ndarray, label: np.ndarray,
     right = right[np.argsort(own.total[code[right]], kind="stable")]
     left = right if one_side else left
     sizes = own.total[code[right]]
-    part = np.unique(label, return_inverse=True)[1]
-    found = []
-    for k, i in enumerate(left.tolist()):
+    order = {i: k for k, i in enumerate(left.tolist())}
+
+    def near(i: int, elsewhere: np.ndarray) -> np.ndarray:
         total = int(own.total[code[i]])
-        low = k + 1 if one_side else int(np.searchsorted(sizes, -(-4 * total // 5)))
+        low = order[i] + 1 if one_side else int(np.searchsorted(sizes, -(-4 * total // 5)))
         other = right[low : int(np.searchsorted(sizes, 5 * total // 4, "right"))]
-        other = other[part[other] != part[i]]
-        if len(other):
-            for j in other[own.near(int(code[i]), code[other])].tolist():
-                if part[j] != part[i]:
-                    part[part == part[j]] = part[i]
-                    found.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
-    return found
+        other = other[elsewhere[other]]
+        return other[own.near(int(code[i]), code[other])] if len(other) else other
+
+    return [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for i, j in linked(label, order, near)]
 
 
 def _linked_cells(table: pa.Table) -> pa.Table:
@@ -259,18 +224,8 @@ def _linked_cells(table: pa.Table) -> pa.Table:
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """`_linked_cells` of whole cells, about `CELL_BYTES` of text at a time; rows come sorted by slot."""
-    held: pa.Table | None = None
-    for batch in batches:
-        own = pa.Table.from_batches([batch])
-        held = own if held is None else pa.concat_tables([held, own])
-        if held["text"].nbytes >= CELL_BYTES:
-            slot = held["slot"].to_numpy()
-            whole = int(np.searchsorted(slot, slot[-1]))  # the last cell may go on
-            if whole:
-                yield from _linked_cells(held.slice(0, whole).combine_chunks()).to_batches()
-                held = held.slice(whole)
-    if held is not None and held.num_rows:
-        yield from _linked_cells(held.combine_chunks()).to_batches()
+    for table in whole_groups(batches, "slot", "text", CELL_BYTES):
+        yield from _linked_cells(table).to_batches()
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -291,6 +246,12 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
+def same_ids(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Links (a, b) between the nodes of rows (`key`, digest) that have one id and several contents."""
+    mixed = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(key)
+    return rows.join(mixed, key, "left_semi").join(nodes, "digest").select(F.col(key).alias("a"), F.col("node").alias("b")).where("a <> b")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -316,8 +277,8 @@ def classes(docs: DataFrame) -> DataFrame:
     spread = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(centres, "a").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
     dealt = star.join(centres, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int").alias("cut"))
     pairs = dealt.join(spread, ["a", "cut"]).join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    linked = written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), f"{folder}/linked")
-    labels = components(linked, f"{folder}/first")
+    verified = written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), f"{folder}/verified")
+    labels = components(verified, f"{folder}/first")
 
     marked = members.join(labels, "node", "left").select("band", "node", "digest", "size", F.coalesce("label", "node").alias("label"))
     sizes = texts.select("node", "digest", F.octet_length("text").alias("bytes"))
@@ -335,10 +296,8 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = crossed.repartition(n, "slot").sortWithinPartitions("slot", "side", "node").mapInArrow(_crossed, "a long, b long")
-    # Rows of one id with several texts are one document.
-    mixed = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
-    same = named.join(mixed, "doc_id", "left_semi").join(nodes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    found = components(linked.unionByName(more).unionByName(same), f"{folder}/all")
+    same = same_ids(named, nodes, "doc_id")
+    found = components(verified.unionByName(more).unionByName(same), f"{folder}/all")
     final = nodes.select(F.col("digest").alias("_d"), "node").join(found, "node", "left").select("_d", F.coalesce("label", "node").alias("class_id"))
     rows = signed.select("doc_id", "digest").join(final, F.col("digest") == F.col("_d"), "left")
     return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -2,11 +2,12 @@
 
 Images are binary PGM (P5, 8 bits). Each level of a pyramid gives its strongest Harris corners; the intensity centroid
 of the surrounding disc is the orientation; `BITS` comparisons of smoothed pixels, turned by it, are the descriptor.
-Each of the `TABLES` 32-bit parts of a descriptor is a key of a Hamming table: descriptors that differ in fewer than
-`TABLES` bits share one at least, those that differ in more do with falling odds. Images that share keys are candidates
-(the first of a key with every other, and neighbours by id; then, where a key still joins several components, all pairs
-across components, in cells). A candidate pair counts as a copy if at least `CONSENSUS` matched corners agree on one
-scale, turn and shift.
+Each of the `TABLES` 64-bit parts of a descriptor is a key of a Hamming table: descriptors that differ in fewer than
+`TABLES` bits share one at least, those that differ in more do with falling odds, and an image has many descriptors.
+Images that share a key are candidates, and a candidate pair is a copy if at least `CONSENSUS` matched corners agree on
+one scale, turn and shift. Of each key the first image is compared with every other; where images of a key are
+then still in several components, they meet in cells of about `CELL` a side, which look at all pairs of different
+components and return one link for each two that they join.
 
 Equal files are one node, named by the smallest image_id. Null, empty, damaged or tiny images have no corners and are
 alone unless another file is equal; null images are alone. Rows with a null image_id have a null class. Rows with equal
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm._shared import gathered, scratch, small_batches, written
-from lodestream.llm.bagminhash import components
+from lodestream.llm._shared import gathered, linked, scratch, small_batches, whole_groups, written
+from lodestream.llm.bagminhash import components, same_ids
+from lodestream.llm.repeats import GOLDEN, mix
 
-BITS, TABLES, RADIUS = 256, 8, 8
+BITS, TABLES, RADIUS = 256, 4, 8
 CORNERS = 24  # of each level of the pyramid, the strongest first
 HAMMING, CONSENSUS = 48, 5
 TURNS = 32
@@ -141,9 +143,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j, k in enumerate(part):
                     a, b = bounds[j], bounds[j + 1]
                     if b > a:
-                        words = np.ascontiguousarray(bits[a:b]).view("<u4").astype(np.int64)
-                        keys = np.unique(words + (np.arange(TABLES, dtype=np.int64) << 32))
-                        out[k] = (keys.tolist(), geometry[a:b].astype("<f4").tobytes() + bits[a:b].tobytes())
+                        words = np.ascontiguousarray(bits[a:b]).view("<u8")
+                        keys = np.unique(mix(words * GOLDEN + np.arange(TABLES, dtype=np.uint64)))
+                        out[k] = (keys.view(np.int64).tolist(), geometry[a:b].astype("<f4").tobytes() + bits[a:b].tobytes())
         yield pa.RecordBatch.from_arrays(
             [table["image_id"].combine_chunks(), table["digest"].combine_chunks(), pa.array([o and o[0] for o in out], pa.list_(pa.int64())), pa.array([o and o[1] for o in out], pa.binary())], ["image_id", "digest", "keys", "features"]
         )
@@ -154,10 +156,9 @@ def _parts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<f4", 4 * n).reshape(n, 4).astype(np.float64), np.frombuffer(data, np.uint8, offset=16 * n).reshape(n, BITS // 8)
 
 
-def agree(a: bytes, b: bytes) -> int:
-    """The most matched corners that one similarity transform explains."""
-    ga, da = _parts(a)
-    gb, db = _parts(b)
+def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The most matched corners that one similarity transform explains; each side is (geometry, descriptors)."""
+    (ga, da), (gb, db) = a, b
     distance = np.bitwise_count(da[:, None, :] ^ db[None, :, :]).sum(axis=2, dtype=np.int64)
     best = distance.argmin(axis=1)
     mutual = (distance.argmin(axis=0)[best] == np.arange(len(da))) & (distance[np.arange(len(da)), best] <= HAMMING)
@@ -177,19 +178,29 @@ def agree(a: bytes, b: bytes) -> int:
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [agree(a, b) >= CONSENSUS for a, b in zip(batch["features_a"].to_pylist(), batch["features_b"].to_pylist(), strict=True)]
+        good = [agree(_parts(a), _parts(b)) >= CONSENSUS for a, b in zip(batch["features_a"].to_pylist(), batch["features_b"].to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _across(table: pa.Table) -> pa.Table:
-    side, node, label = (table[c].to_numpy() for c in ("side", "node", "label"))
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    right = right if len(right) else left
-    a, b = np.meshgrid(left, right, indexing="ij")
-    keep = (label[a] != label[b]) & (node[a] != node[b])
-    x, y = node[a[keep]], node[b[keep]]
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def _linked_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of cells, as rows sorted by slot."""
+    for table in whole_groups(batches, "slot", "features", 4 << 20):
+        slot, side, node, label = (table[c].to_numpy() for c in ("slot", "side", "node", "label"))
+        parts = [_parts(f) for f in table["features"].to_pylist()]
+        found: list[tuple[int, int]] = []
+        cuts = np.flatnonzero(np.diff(slot, prepend=slot[0] ^ 1, append=slot[-1] ^ 1)).tolist()
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            lefts, rights = (np.flatnonzero(side[low:high] == k) for k in (0, 1))
+            one_side = not len(rights)
+            others = lefts if one_side else rights
+
+            def near(i: int, elsewhere: np.ndarray, low: int = low, others: np.ndarray = others, one_side: bool = one_side) -> np.ndarray:
+                other = others[elsewhere[others] & (others > i if one_side else True)]
+                ordered = [(i, j) if node[low + i] <= node[low + j] else (j, i) for j in other.tolist()]
+                return other[np.array([agree(parts[low + p], parts[low + q]) >= CONSENSUS for p, q in ordered], bool)]
+
+            found += [(int(node[low + i]), int(node[low + j])) for i, j in linked(label[low:high], lefts.tolist(), near)]
+        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
 
 def classes(images: DataFrame) -> DataFrame:
@@ -205,26 +216,25 @@ def classes(images: DataFrame) -> DataFrame:
     members = written(keyed.join(several, "key"), f"{folder}/members")
     left, right = nodes.select(F.col("node").alias("a"), F.col("features").alias("features_a")), nodes.select(F.col("node").alias("b"), F.col("features").alias("features_b"))
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "features_a", "features_b").mapInArrow(_consensus, "a long, b long"), f"{folder}/{name}")
+    def verify(pairs: DataFrame) -> DataFrame:
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "features_a", "features_b").mapInArrow(_consensus, "a long, b long"), f"{folder}/verified")
 
-    before = F.lag("node").over(Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CELL))).orderBy("node"))
-    near = members.withColumn("before", before).where("node <> first").select(F.explode(F.array("first", F.coalesce("before", "first"))).alias("a"), F.col("node").alias("b"))
-    linked = verify(near.where("a <> b").distinct(), "linked")
-    labels = components(linked, f"{folder}/first")
-    marked = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    verified = verify(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    labels = components(verified, f"{folder}/first")
+    marked = written(members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), f"{folder}/marked")
     split = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     crossed = (
         marked.join(split, "key", "left_semi")
         .withColumn("cuts", F.ceil(F.col("size") / CELL).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select("key", "node", "label", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("slot"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "label")
+        .join(nodes.select("node", "features"), "node")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = crossed.repartition(n, "key", "row", "column").groupBy("key", "row", "column").applyInArrow(_across, "a long, b long").distinct().join(near.where("a <> b").distinct(), ["a", "b"], "left_anti")
-    every = linked.unionByName(verify(more, "more"))
-    found = components(every, f"{folder}/all")
+    more = crossed.repartition(n, "slot").sortWithinPartitions("slot", "side", "node").mapInArrow(_linked_cells, "a long, b long")
+    same = same_ids(described.where("keys is not null"), nodes, "image_id")
+    found = components(verified.unionByName(more).unionByName(same), f"{folder}/all")
     named = nodes.select("digest", "node", F.coalesce(F.length("features") / (16 + BITS // 8), F.lit(0)).cast("long").alias("n_corners")).join(found, "node", "left").select(F.col("digest").alias("_d"), F.coalesce("label", "node").alias("class_id"), "n_corners")
     rows = described.select("image_id", "digest").join(named, F.col("digest") == F.col("_d"), "left")
     return rows.select("image_id", F.when(F.col("image_id").isNotNull(), F.coalesce("class_id", "image_id")).alias("class_id"), F.coalesce("n_corners", F.lit(0).cast("long")).alias("n_corners"))

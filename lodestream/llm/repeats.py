@@ -36,11 +36,12 @@ from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_
 CHUNK = 1 << 20
 #: More surroundings than this of one gram make it hot.
 HOT = 2_000
+#: Words or bytes of surroundings that `resolve` gets at once.
+UNITS = 1 << 20
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03))
-WHITE = " \t\n\x0b\x0c\r"
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -65,6 +66,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+GOLDEN = _BASES[0]
+
+
+def flattened(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts one after the other, and where each starts (one entry more than texts)."""
+    flat = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(flat) or flat.buffers()[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(len(flat) + 1, np.int64)
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    return np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of flattened texts: a 64-bit code, the first byte and the size of each, and where those of each text start."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    heads = ends[:-1][ends[:-1] < len(raw)]
+    tails = ends[1:][ends[1:] > 0] - 1
+    first[heads], last[tails] = inside[heads], inside[tails]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(7, np.uint8)]), 8)
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    code = size.astype(np.uint64)
+    left, k = np.arange(len(start)), 0
+    while len(left):
+        part = np.ascontiguousarray(eights[start[left] + k]).view("<u8").reshape(-1) & masks[np.minimum(size[left] - k, 8)]
+        code[left] = mix(code[left] * GOLDEN + part)
+        k += 8
+        left = left[size[left] > k]
+    return code, start, size, np.searchsorted(start, ends)
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(1).compress(data)
 
@@ -94,28 +132,11 @@ class Block:
 
     def __init__(self, spec: Spec, texts: pa.Array, doc_ids: pa.Array):
         self.spec = spec
-        flat = pc.fill_null(texts, "").cast(pa.large_string())
+        self.raw, self.ends = flattened(texts)
         if spec.words:
-            bare = pc.utf8_trim(flat, characters=WHITE)
-            lists = pc.split_pattern_regex(bare, r"[\x20\x09-\x0D]+")
-            counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
-            empty = pc.equal(bare, "").to_numpy(zero_copy_only=False)
-            all_words = lists.flatten()
-            if empty.any():
-                counts_all = counts.copy()
-                counts[empty] = 0
-                all_words = all_words.filter(pa.array(np.repeat(~empty, counts_all)))
-            coded = all_words.dictionary_encode()
-            self.values = coded.dictionary.to_pylist()
-            self.word = coded.indices.to_numpy()
-            table = np.fromiter((xxhash.xxh3_64_intdigest(v) for v in self.values), np.uint64, len(self.values))
-            self.codes = table[self.word] if len(self.word) else np.zeros(0, np.uint64)
-            self.starts = np.concatenate(([0], np.cumsum(counts)))
+            self.codes, self.first, self.size, self.starts = words(self.raw, self.ends)
         else:
-            offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-            data = flat.buffers()[2]
-            self.raw = (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]]
-            self.starts = offsets - offsets[0]
+            self.starts = self.ends
             self.codes = None  # by chunk: eight bytes a byte are too many to hold
         self.n = int(self.starts[-1])
         self.ids = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -141,10 +162,13 @@ class Block:
         return out
 
     def hashes(self, at: np.ndarray, sums, a: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the gram, and of the surroundings with the place of the anchor in them."""
+        """Hash of the gram, and of the surroundings with the place of the anchor in them.
+
+        Anchors are the grams of least hash, so that hash lies near zero; the key is another one, spread evenly over buckets.
+        """
         (s1, i1), (s2, i2) = sums
         low, high = self.around(at)
-        key = mix((s1[at - a + self.spec.gram] - s1[at - a]) * i1[at - a])
+        key = mix(mix((s1[at - a + self.spec.gram] - s1[at - a]) * i1[at - a]) + _BASES[0])
         span = (s2[high - a] - s2[low - a]) * i2[low - a]
         return key, mix(span ^ mix((at - low).astype(np.uint64) << U(16) ^ (high - at).astype(np.uint64)))
 
@@ -209,11 +233,11 @@ class Block:
         return of, out
 
     def content(self, low: np.ndarray, high: np.ndarray) -> list[bytes]:
-        if self.spec.words:
-            value = self.values
-            return [" ".join([value[c] for c in self.word[a:b].tolist()]).encode() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         raw = self.raw.tobytes()
-        return [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        if not self.spec.words:
+            return [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        last = self.first[high - 1] + self.size[high - 1]
+        return [b" ".join(raw[a:b].split()) for a, b in zip(self.first[low].tolist(), last.tolist(), strict=True)]
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -368,11 +392,9 @@ def _surroundings(spec: Spec, folder: str, buckets: int) -> Callable[[pa.Table],
 def _variants(spec: Spec, content: list[bytes]) -> list[np.ndarray]:
     if not spec.words:
         return [np.frombuffer(c, np.uint8) for c in content]
-    table: dict[bytes, int] = {}
-    out = []
-    for c in content:
-        out.append(np.fromiter((table.get(w) or table.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in c.split(b" ")), np.uint64))
-    return out
+    raw = np.frombuffer(b"".join(content), np.uint8)
+    code, _, _, starts = words(raw, np.cumsum([0, *map(len, content)]))
+    return np.split(code, starts[1:-1])
 
 
 def _resolved(spec: Spec) -> Callable[[pa.Table], pa.Table]:
@@ -409,15 +431,21 @@ def _resolved(spec: Spec) -> Callable[[pa.Table], pa.Table]:
             full = (U(1) << n_windows.astype(np.uint64)) - U(1)
             mask = np.zeros(len(first), np.uint64)
             several = np.flatnonzero(np.bincount(group)[group] > 1)
-            if len(several):
-                pick = order[first[several]]
+            used = np.cumsum(unit[order][first[several]], dtype=np.int64)
+            low = 0
+            while low < len(several):  # whole groups, about UNITS at a time
+                high = int(np.searchsorted(used, (used[low - 1] if low else 0) + UNITS))
+                high = int(np.searchsorted(group[several], group[several[min(high, len(several) - 1)]], "right"))
+                own_part = several[low:high]
+                low = high
+                pick = order[first[own_part]]
                 texts = [contents[s][0][contents[s][1][w] : contents[s][2][w]] for s, w in zip(source[pick].tolist(), within[pick].tolist(), strict=True)]
-                v, offset, cls = spec.resolve(group[several], _variants(spec, texts))
+                v, offset, cls = spec.resolve(group[own_part], _variants(spec, texts))
                 if len(v):
                     best = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
-                    np.minimum.at(best, cls, least[several[v]])
-                    covered = best[cls] < least[several[v]]
-                    np.bitwise_or.at(mask, several[v[covered]], U(1) << offset[covered].astype(np.uint64))
+                    np.minimum.at(best, cls, least[own_part[v]])
+                    covered = best[cls] < least[own_part[v]]
+                    np.bitwise_or.at(mask, own_part[v[covered]], U(1) << offset[covered].astype(np.uint64))
             verdict = np.empty(len(key), np.uint64)
             verdict[order] = np.where(d > least[variant], full[variant], mask[variant])
             at = np.cumsum([0, *sizes])

@@ -79,15 +79,23 @@ def spec(length: int = LENGTH, gram: int = 8, block_bytes: int = 8 << 20) -> Spe
     return Spec("suffix-tree", True, length, gram, block_bytes, lambda groups, sequences: deep_nodes(groups, sequences, length))
 
 
-def _kept(block: Block, covered: np.ndarray) -> list[str]:
-    value, left = block.values, block.word[~covered].tolist()
-    ends = block.starts - np.concatenate(([0], np.cumsum(covered)))[block.starts]
-    return [" ".join([value[c] for c in left[a:b]]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+def _kept(block: Block, covered: np.ndarray) -> list[bytes]:
+    """What is left of each text. Words between two that go are cut from the text in one piece."""
+    raw = block.raw.tobytes()
+    edge = np.diff(covered.astype(np.int8), prepend=1, append=1)
+    low, high = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # runs of kept words
+    inner = np.setdiff1d(block.starts, np.append(low, high))  # texts that start within one
+    inner = inner[(inner > 0) & (inner < block.n)]
+    inner = inner[~covered[inner]]
+    low, high = np.sort(np.append(low, inner)), np.sort(np.append(high, inner))
+    first, last = block.first[low].tolist(), (block.first[high - 1] + block.size[high - 1]).tolist()
+    bounds = np.searchsorted(low, block.starts).tolist()
+    return [b" ".join([w for a, b in zip(first[i:j], last[i:j], strict=True) for w in raw[a:b].split()]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _digests(rows: pa.Table, block: Block, covered: np.ndarray) -> pa.Table:
     gone = np.concatenate(([0], np.cumsum(covered)))[block.starts]
-    sums = [hashlib.sha256(t.encode()).hexdigest() for t in _kept(block, covered)]
+    sums = [hashlib.sha256(t).hexdigest() for t in _kept(block, covered)]
     return pa.Table.from_arrays([rows["doc_id"], pa.array(np.diff(block.starts)), pa.array(np.diff(gone)), pa.array(sums, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
@@ -100,7 +108,7 @@ def dedup(docs: DataFrame, own: Spec | None = None) -> DataFrame:
 def kept_words(docs: DataFrame, own: Spec | None = None) -> DataFrame:
     """doc_id and the words that are left, joined by one space."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return repeats(rows, own or spec(), lambda r, block, covered: pa.table({"doc_id": r["doc_id"], "text": pa.array(_kept(block, covered), pa.string())}), "doc_id long, text string")
+    return repeats(rows, own or spec(), lambda r, block, covered: pa.table({"doc_id": r["doc_id"], "text": pa.array([t.decode() for t in _kept(block, covered)], pa.string())}), "doc_id long, text string")
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,11 +82,11 @@ def test_ids_with_several_texts(spark):
 
 @pytest.mark.parametrize("texts", [[], [None], ["", "  "], ["a b  c\t", "\n\x0bé x" + "y" * 20, None, "z", " "]])
 def test_words(texts):
-    code, starts = near.words(pa.array(texts, pa.string()))
+    code, first, size, starts = near.words(*near.flattened(pa.array(texts, pa.string())))
     expected = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     assert np.diff(starts).tolist() == [len(w) for w in expected]
     assert len(set(code.tolist())) == len({w for ws in expected for w in ws})
-    assert near.words(pa.array(["q", *texts], pa.string()).slice(1))[0].tolist() == code.tolist()
+    assert near.words(*near.flattened(pa.array(["q", *texts], pa.string()).slice(1)))[0].tolist() == code.tolist()
 
 
 def test_cells_give_few_links():
