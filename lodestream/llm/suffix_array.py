@@ -125,6 +125,36 @@ def _window_hashes(flat: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def holders(texts: list[bytes]) -> list[tuple[bytes, int]]:
+    """For each text one of the texts that it begins or ends, or itself, and where it stands in that."""
+    whole: dict[bytes, tuple[bytes, int]] = {}
+    last = b""
+    for t in sorted(set(texts), reverse=True):
+        last = last if last.startswith(t) else t
+        whole[t] = (last, 0)
+    last = b""
+    ends: dict[bytes, tuple[bytes, int]] = {}
+    for r in sorted({t[::-1] for t, _ in whole.values()}, reverse=True):
+        last = last if last.startswith(r) else r
+        ends[r[::-1]] = (last[::-1], len(last) - len(r))
+    return [ends[whole[t][0]] for t in texts]
+
+
+def window_classes(texts: list[bytes], length: int) -> np.ndarray:
+    """Equal numbers for equal windows, by the places where they start in the texts, one after the other with a gap of one."""
+    places = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    symbols = np.zeros(int(places[-1]), np.int64)
+    for at, t in zip(places[:-1].tolist(), texts, strict=True):
+        symbols[at : at + len(t)] = np.frombuffer(t, np.uint8) + np.int64(1)
+    sa = np.array(suffix_array(symbols.tolist()), np.int64)
+    sa = sa[sa + length < places[np.searchsorted(places, sa, "right")]]
+    rows = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.int16), length)[sa]
+    new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1)) if len(sa) else np.zeros(0, bool)
+    out = np.full(int(places[-1]), -1)
+    out[sa] = np.cumsum(new) - 1
+    return out
+
+
 def shared_windows(groups: np.ndarray, sequences: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that stand in more than one sequence, or more than once: (sequence, offset, class of equal windows).
 
@@ -163,18 +193,22 @@ def shared_windows(groups: np.ndarray, sequences: list[np.ndarray], length: int
         known = [stretches.setdefault(raw[a:b], len(stretches)) for a, b in zip((starts[of[first]] + offset[first]).tolist(), (starts[of[first]] + offset[last] + length).tolist(), strict=True)]
         texts = list(stretches)
         places = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        symbols = np.zeros(int(places[-1]), np.int64)
-        for at, t in zip(places[:-1].tolist(), texts, strict=True):
-            symbols[at : at + len(t)] = np.frombuffer(t, np.uint8) + 1
-        sa = np.array(suffix_array(symbols.tolist()), np.int64)
-        text_of = np.searchsorted(places, sa, "right") - 1
-        fits = sa + length < places[text_of + 1]
-        sa, text_of = sa[fits], text_of[fits]
-        rows = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.uint8 if symbols.max(initial=0) < 256 else np.int16), length)[sa]
-        new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1)) if len(sa) else np.zeros(0, bool)
-        cls = np.full(int(places[-1]), -1)
-        cls[sa] = np.cumsum(new) - 1 + classes
-        classes += int(new.sum())
+        # Windows of a group that has one stretch are equal where they stand at one offset; the others are compared.
+        group = groups[own[of[first]]]
+        pairs = np.unique(np.stack([group, np.array(known)], 1), axis=0)
+        several = np.bincount(np.unique(pairs[:, 0], return_inverse=True)[1])
+        compared = np.unique(pairs[np.repeat(several > 1, several), 1])
+        cls = np.arange(int(places[-1])) + classes
+        classes += int(places[-1])
+        if len(compared):
+            within = holders([texts[k] for k in compared])
+            held = list(dict.fromkeys(t for t, _ in within))
+            at_of = dict(zip(held, np.cumsum([0, *(len(t) + 1 for t in held[:-1])]).tolist(), strict=True))
+            new = window_classes(held, length) + classes
+            classes += len(new)
+            for k, (t, shift_in) in zip(compared.tolist(), within, strict=True):
+                n_own, at = len(texts[k]) - length + 1, at_of[t] + shift_in
+                cls[places[k] : places[k] + n_own] = new[at : at + n_own]
         shift = np.zeros(len(own), np.int64)
         shift[of[first]] = places[np.array(known)] - offset[first]
         out.append((own[of], offset, cls[shift[of] + offset]))

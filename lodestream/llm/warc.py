@@ -133,7 +133,10 @@ def marked(pages: DataFrame, min_bytes: int) -> DataFrame:
 def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_bytes: int = 32 << 20) -> DataFrame:
     """Archives under `folder` of `pages` (page_id, url, html); returns their manifest (file, n_records)."""
     small_batches(pages.sparkSession)
-    picked = pages.select("page_id", "html").where(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE)
+    # Every task would send its SAMPLE best pages to the driver, so a hash leaves about twice SAMPLE of all of them first.
+    share = min(1.0, 2 * SAMPLE / max(1, pages.count()))
+    small = pages.select("page_id", "html").where(F.octet_length("html") <= SAMPLE_BYTES)
+    picked = small.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000_007)) < int(share * 1_000_000_007)).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE)
     dictionary = train([record(r.page_id, None, (r.html or "").encode(), None, False) for r in picked.collect()])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

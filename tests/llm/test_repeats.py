@@ -132,3 +132,23 @@ def test_resolvers(resolve):
         assert seen.setdefault(c, tuple(sequences[s][a : a + 50])) == tuple(sequences[s][a : a + 50])
     assert set(v.tolist()) == {0, 1, 2}
     assert len(v) == 11 + 16 + 26 and len(seen) == 26
+
+
+def test_holders():
+    texts = [b"abc", b"ab", b"bc", b"xabc", b"q", b"abc", b"c"]
+    got = suffix_array.holders(texts)
+    assert all(t == w[k : k + len(t)] for t, (w, k) in zip(texts, got, strict=True))
+    assert {w for w, _ in got} == {b"xabc", b"q"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_window_classes(seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(3, 20))).encode() for _ in range(12)]
+    cls = suffix_array.window_classes(texts, 3)
+    seen, at = {}, 0
+    for t in texts:
+        for i in range(len(t) - 2):
+            assert seen.setdefault(int(cls[at + i]), t[i : i + 3]) == t[i : i + 3]
+        at += len(t) + 1
+    assert len(seen) == len({t[i : i + 3] for t in texts for i in range(len(t) - 2)})
