@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm._shared import gathered, linked, scratch, small_batches, whole_groups, written
+from lodestream.llm._shared import gathered, linked, scratch, small_batches, trim, whole_groups, written
 from lodestream.llm.repeats import GOLDEN, U, flattened, mix, words
 
 BANDS, ROWS, SHINGLE = 30, 5, 5
-CELL, CELL_BYTES = 2048, 8 << 20
+CELL, CELL_BYTES = 2048, 4 << 20
+#: Bytes of text that a worker holds at once, many times over in arrays.
+BATCH = 4 << 20
 #: Texts that are cut into shingles together: 12 bits of a sort key name the text, 52 the shingle.
 TOGETHER = 4096
 #: Points that are made at once.
@@ -136,7 +138,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in gathered(batches, "text", 8 << 20):
+    for table in gathered(batches, "text", BATCH):
         table = table.combine_chunks()
         place = table["digest"].combine_chunks().dictionary_encode().indices.to_numpy()
         _, first = np.unique(place, return_index=True)  # the codes are 0, 1, 2, ...
@@ -145,6 +147,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = ~np.isfinite(sig).all(axis=1)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * BANDS, pa.int32()), pa.array(bands(sig).reshape(-1).view(np.int64)), mask=pa.array(none))
         yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), table["digest"].combine_chunks(), listed.take(pa.array(place))], ["doc_id", "digest", "bands"])
+        del table, of, hashed, count, sig
+        trim()
 
 
 class Overlaps:
@@ -176,7 +180,7 @@ class Overlaps:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose texts reach 0.8."""
-    for table in gathered(batches, "text_b", 8 << 20):
+    for table in gathered(batches, "text_b", BATCH):
         table = table.combine_chunks()
         joined = pa.concat_arrays([table["text_a"].combine_chunks(), table["text_b"].combine_chunks()]).dictionary_encode()
         own = Overlaps(joined.dictionary)
@@ -187,6 +191,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
             good[rows] = own.near(int(a[rows[0]]), b[rows])
         yield from table.select(["a", "b"]).filter(pa.array(good)).to_batches()
+        del table, own
+        trim()
 
 
 def _links(own: Overlaps, side: np.ndarray, node: np.ndarray, label: np.ndarray, code: np.ndarray) -> list[tuple[int, int]]:
@@ -226,6 +232,7 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """`_linked_cells` of whole cells, about `CELL_BYTES` of text at a time; rows come sorted by slot."""
     for table in whole_groups(batches, "slot", "text", CELL_BYTES):
         yield from _linked_cells(table).to_batches()
+        trim()
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
