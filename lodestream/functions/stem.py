@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+_LONGEST2, _LONGEST3 = (tuple(sorted(x, key=lambda p: -len(p[0]))) for x in (STEP2, STEP3))
+_LONGEST4 = tuple(sorted(STEP4, key=len, reverse=True))
+
+
 def _shape(word: str) -> str:
     """c and v for each letter; y is a vowel after a consonant."""
     out = ""
@@ -41,7 +46,7 @@ def _short(word: str) -> bool:
 
 
 def _swap(word: str, pairs: tuple[tuple[str, str], ...], least: int) -> str:
-    for suffix, new in sorted(pairs, key=lambda p: -len(p[0])):
+    for suffix, new in pairs:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             return stem + new if _measure(stem) > least else word
@@ -69,7 +74,7 @@ def _past(word: str) -> str:
 
 
 def _residue(word: str) -> str:
-    for suffix in sorted(STEP4, key=len, reverse=True):
+    for suffix in _LONGEST4:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             fits = _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t")))
@@ -77,6 +82,7 @@ def _residue(word: str) -> str:
     return word
 
 
+@lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     """The stem of a lower-case word of letters; words of one or two letters and words with digits stay."""
     if len(word) < 3 or not word.isalpha() or not word.isascii():
@@ -84,7 +90,7 @@ def stem(word: str) -> str:
     word = _past(_plural(word))
     if word.endswith("y") and _has_vowel(word[:-1]):
         word = word[:-1] + "i"
-    word = _residue(_swap(_swap(word, STEP2, 0), STEP3, 0))
+    word = _residue(_swap(_swap(word, _LONGEST2, 0), _LONGEST3, 0))
     if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not _short(word[:-1])):
         word = word[:-1]
     return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word

@@ -91,7 +91,8 @@ def stratified(rows: DataFrame, n: int, *, stratum: str, key: str) -> DataFrame:
     largest = F.row_number().over(Window.orderBy(F.desc("size"), stratum)) == 1
     share = share.withColumn("take", F.when(largest, F.least("size", F.col("take") + F.greatest(rest, F.lit(0)))).otherwise(F.col("take")))
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(key))
-    return rows.withColumn("_place", place).join(share.select(stratum, "take"), stratum).where("_place <= take").drop("_place", "take")
+    # No stratum takes more than n rows, so each task passes on its first n of a stratum.
+    return rows.withColumn("_place", place).where(F.col("_place") <= max(n, 1)).join(share.select(stratum, "take"), stratum).where("_place <= take").drop("_place", "take")
 
 
 def first_hit(results: DataFrame, *, by: str = "query_id", win: float = 0.01) -> DataFrame:
