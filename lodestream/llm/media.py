@@ -2,12 +2,12 @@
 
 Images are binary PGM (P5, 8 bits). Each level of a pyramid gives its strongest Harris corners; the intensity centroid
 of the surrounding disc is the orientation; `BITS` comparisons of smoothed pixels, turned by it, are the descriptor.
-Each of the `TABLES` 64-bit parts of a descriptor is a key of a Hamming table: descriptors that differ in fewer than
-`TABLES` bits share one at least, those that differ in more do with falling odds, and an image has many descriptors.
-Images that share a key are candidates, and a candidate pair is a copy if at least `CONSENSUS` matched corners agree on
-one scale, turn and shift. Of each key the first image is compared with every other; where images of a key are
-then still in several components, they meet in cells of about `CELL` a side, which look at all pairs of different
-components and return one link for each two that they join.
+Each of the first `TABLES` 24-bit parts of a descriptor is a key of a Hamming table. Two corners that share a key and differ
+in at most `HAMMING` bits are a vote for their images; images with `VOTES` votes of about one turn are candidates, and a
+candidate pair is a copy if at least `CONSENSUS` matched corners agree on one scale, turn and shift. Images lie in blocks
+of about `CELL`, as files in the shared folder, and every two blocks meet in one task, which keeps the tables in memory
+and returns one link for each two components that it joins: no pair is shuffled, but the number of tasks grows with
+the square of the number of images.
 
 Equal files are one node, named by the smallest image_id. Null, empty, damaged or tiny images have no corners and are
 alone unless another file is equal; null images are alone. Rows with a null image_id have a null class. Rows with equal
@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm._shared import gathered, linked, scratch, small_batches, whole_groups, written
+from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, whole_groups, written
 from lodestream.llm.bagminhash import components, same_ids
-from lodestream.llm.repeats import GOLDEN, mix
 
-BITS, TABLES, RADIUS = 256, 4, 8
+BITS, TABLES, RADIUS = 256, 10, 8
 CORNERS = 24  # of each level of the pyramid, the strongest first
-HAMMING, CONSENSUS = 48, 5
+HAMMING, CONSENSUS, VOTES = 48, 5, 3
 TURNS = 32
-CELL = 512
+#: Images and bytes of features of a block.
+CELL, CELL_BYTES = 4096, 8 << 20
 _RNG = np.random.default_rng(7)
 _TESTS = np.clip(_RNG.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
 _DISC = np.array([(y, x) for y in range(-RADIUS + 1, RADIUS) for x in range(-RADIUS + 1, RADIUS) if x * x + y * y < RADIUS * RADIUS])
@@ -129,7 +129,7 @@ def features(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in gathered(batches, "image", 4 << 20):
         pixels = [decode(d) for d in table["image"].to_pylist()]
-        out: list[tuple[list[int], bytes] | None] = [None] * len(pixels)
+        out: list[bytes | None] = [None] * len(pixels)
         shapes: dict[tuple[int, int], list[int]] = {}
         for k, p in enumerate(pixels):
             if p is not None:
@@ -143,12 +143,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j, k in enumerate(part):
                     a, b = bounds[j], bounds[j + 1]
                     if b > a:
-                        words = np.ascontiguousarray(bits[a:b]).view("<u8")
-                        keys = np.unique(mix(words * GOLDEN + np.arange(TABLES, dtype=np.uint64)))
-                        out[k] = (keys.view(np.int64).tolist(), geometry[a:b].astype("<f4").tobytes() + bits[a:b].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [table["image_id"].combine_chunks(), table["digest"].combine_chunks(), pa.array([o and o[0] for o in out], pa.list_(pa.int64())), pa.array([o and o[1] for o in out], pa.binary())], ["image_id", "digest", "keys", "features"]
-        )
+                        out[k] = geometry[a:b].astype("<f4").tobytes() + bits[a:b].tobytes()
+        yield pa.RecordBatch.from_arrays([table["image_id"].combine_chunks(), table["digest"].combine_chunks(), pa.array(out, pa.binary())], ["image_id", "digest", "features"])
 
 
 def _parts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +152,27 @@ def _parts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<f4", 4 * n).reshape(n, 4).astype(np.float64), np.frombuffer(data, np.uint8, offset=16 * n).reshape(n, BITS // 8)
 
 
+def _nearest(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each descriptor in `da` the nearest in `db` and its distance, and of each in `db` the nearest in `da`; the first of equal ones."""
+    wa, wb = (np.ascontiguousarray(d).view("<u8") for d in (da, db))
+    best, distance = np.empty(len(wa), np.int64), np.empty(len(wa), np.int64)
+    back, least = np.zeros(len(wb), np.int64), np.full(len(wb), BITS + 1)
+    step = max(1, (1 << 20) // len(wb))
+    for k in range(0, len(wa), step):
+        part = sum(np.bitwise_count(wa[k : k + step, None, i] ^ wb[None, :, i]).astype(np.int16) for i in range(BITS // 64))
+        best[k : k + step] = part.argmin(axis=1)
+        distance[k : k + step] = part.min(axis=1)
+        nearer = part.min(axis=0) < least
+        back[nearer] = k + part.argmin(axis=0)[nearer]
+        least = np.minimum(least, part.min(axis=0))
+    return best, distance, back
+
+
 def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
     """The most matched corners that one similarity transform explains; each side is (geometry, descriptors)."""
     (ga, da), (gb, db) = a, b
-    distance = np.bitwise_count(da[:, None, :] ^ db[None, :, :]).sum(axis=2, dtype=np.int64)
-    best = distance.argmin(axis=1)
-    mutual = (distance.argmin(axis=0)[best] == np.arange(len(da))) & (distance[np.arange(len(da)), best] <= HAMMING)
+    best, distance, back = _nearest(da, db)
+    mutual = (back[best] == np.arange(len(da))) & (distance <= HAMMING)
     if mutual.sum() < CONSENSUS:
         return 0
     ga, gb = ga[mutual], gb[best[mutual]]
@@ -170,37 +181,118 @@ def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     c, s = ratio * np.cos(turn), ratio * np.sin(turn)
     # Each match proposes a transform; a corner agrees that it carries to within a few pixels.
     tx, ty = gb[:, 0] - (c * ga[:, 0] - s * ga[:, 1]), gb[:, 1] - (s * ga[:, 0] + c * ga[:, 1])
-    x = c[:, None] * ga[:, 0] - s[:, None] * ga[:, 1] + tx[:, None]
-    y = s[:, None] * ga[:, 0] + c[:, None] * ga[:, 1] + ty[:, None]
-    near = (x - gb[:, 0]) ** 2 + (y - gb[:, 1]) ** 2 <= 9 * np.maximum(1, gb[:, 2]) ** 2
-    return int(near.sum(axis=1).max())
-
-
-def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = [agree(_parts(a), _parts(b)) >= CONSENSUS for a, b in zip(batch["features_a"].to_pylist(), batch["features_b"].to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def _linked_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of cells, as rows sorted by slot."""
-    for table in whole_groups(batches, "slot", "features", 4 << 20):
-        slot, side, node, label = (table[c].to_numpy() for c in ("slot", "side", "node", "label"))
-        parts = [_parts(f) for f in table["features"].to_pylist()]
-        found: list[tuple[int, int]] = []
-        cuts = np.flatnonzero(np.diff(slot, prepend=slot[0] ^ 1, append=slot[-1] ^ 1)).tolist()
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            lefts, rights = (np.flatnonzero(side[low:high] == k) for k in (0, 1))
-            one_side = not len(rights)
-            others = lefts if one_side else rights
-
-            def near(i: int, elsewhere: np.ndarray, low: int = low, others: np.ndarray = others, one_side: bool = one_side) -> np.ndarray:
-                other = others[elsewhere[others] & (others > i if one_side else True)]
-                ordered = [(i, j) if node[low + i] <= node[low + j] else (j, i) for j in other.tolist()]
-                return other[np.array([agree(parts[low + p], parts[low + q]) >= CONSENSUS for p, q in ordered], bool)]
-
-            found += [(int(node[low + i]), int(node[low + j])) for i, j in linked(label[low:high], lefts.tolist(), near)]
-        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+    most, step = 0, max(1, (1 << 20) // len(ga))
+    for k in range(0, len(ga), step):
+        own = np.s_[k : k + step, None]
+        x = c[own] * ga[:, 0] - s[own] * ga[:, 1] + tx[own]
+        y = s[own] * ga[:, 0] + c[own] * ga[:, 1] + ty[own]
+        near = (x - gb[:, 0]) ** 2 + (y - gb[:, 1]) ** 2 <= 9 * np.maximum(1, gb[:, 2]) ** 2
+        most = max(most, int(near.sum(axis=1).max()))
+    return most
+
+
+class Block:
+    """Images of one file: nodes in ascending order, and their corners one behind the other."""
+
+    def __init__(self, data: bytes):
+        table = pa.ipc.open_stream(data).read_all()
+        self.nodes = table["node"].to_numpy()
+        self.parts = [_parts(f) for f in table["features"].to_pylist()]
+        self.starts = np.cumsum([0, *(len(d) for _, d in self.parts)])
+        self.image = np.repeat(np.arange(len(self.nodes)), np.diff(self.starts))
+        self.angle = np.concatenate([g[:, 3] for g, _ in self.parts])
+        bits = np.concatenate([d for _, d in self.parts])
+        self.words = np.ascontiguousarray(bits).view("<u8")
+        self.keys = (bits[:, : 3 * TABLES].reshape(-1, TABLES, 3).astype(np.int32) << np.array([0, 8, 16], np.int32)).sum(axis=2, dtype=np.int32)
+
+
+def candidates(left: Block, right: Block) -> Iterator[tuple[int, int]]:
+    """Places (in `left`, in `right`) of images with enough votes; of one block with itself, each two once."""
+    orders = [np.argsort(right.keys[:, t], kind="stable") for t in range(TABLES)]
+    sorts = [right.keys[o, t] for t, o in enumerate(orders)]
+    n = len(right.nodes)
+    step = max(1, (1 << 20) // n)
+    for first in range(0, len(left.nodes), step):
+        last = min(first + step, len(left.nodes))
+        total = np.zeros((last - first) * n, np.int64)
+        votes: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in range(TABLES):
+            own = np.arange(left.starts[first], left.starts[last])
+            low, high = (np.searchsorted(sorts[t], left.keys[own, t], side) for side in ("left", "right"))
+            sums = np.cumsum(high - low)
+            cuts = np.unique(np.searchsorted(sums, np.arange(0, int(sums[-1]) + (1 << 20), 1 << 20), "left").clip(0, len(own)))
+            for p, q in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                size = (high - low)[p:q]
+                a = np.repeat(own[p:q], size)
+                b = orders[t][np.repeat(low[p:q] - (np.cumsum(size) - size), size) + np.arange(len(a))]
+                keep = left.image[a] < right.image[b] if left is right else np.ones(len(a), bool)
+                for i in range(t):  # two corners vote once
+                    keep &= left.keys[a, i] != right.keys[b, i]
+                a, b = a[keep], b[keep]
+                near = sum(np.bitwise_count(left.words[a, i] ^ right.words[b, i]).astype(np.int16) for i in range(BITS // 64)) <= HAMMING
+                a, b = a[near], b[near]
+                pair = (left.image[a] - first) * n + right.image[b]
+                np.add(total, np.bincount(pair, minlength=len(total)), out=total)
+                votes.append((pair, ((right.angle[b] - left.angle[a]) * (8 / np.pi)).astype(np.int64) % 16))
+        pair, turn = (np.concatenate(v) for v in zip(*votes, strict=True))
+        many = total[pair] >= VOTES
+        pair, turn = pair[many], turn[many]
+        seen, count = np.unique(np.concatenate([pair * 16 + turn, pair * 16 + (turn + 1) % 16]), return_counts=True)
+        for k in np.unique(seen[count >= VOTES] // 16).tolist():
+            yield first + k // n, k % n
+
+
+def _stored(folder: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "block", "features", 1):
+            blocks = table["block"].to_numpy()
+            for block in np.unique(blocks).tolist():
+                own = table.filter(pa.array(blocks == block)).select(["node", "features"]).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_table(own)
+                put_file(folder, f"block-{block}", sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], ["block"])
+
+    return work
+
+
+def _met(folder: str, blocks: list[int]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch["id"].to_pylist():
+                h = int((np.sqrt(8 * cell + 1) - 1) / 2)
+                h += (h + 1) * (h + 2) // 2 <= cell
+                g = cell - h * (h + 1) // 2
+                left = Block(get_file(f"{folder}/block-{blocks[g]}"))
+                right = left if g == h else Block(get_file(f"{folder}/block-{blocks[h]}"))
+                part = np.arange(len(left.nodes) + (0 if g == h else len(right.nodes)))
+                shift = 0 if g == h else len(left.nodes)
+                found: list[tuple[int, int]] = []
+                for i, j in candidates(left, right):
+                    if part[i] == part[shift + j]:
+                        continue
+                    a, b = int(left.nodes[i]), int(right.nodes[j])
+                    sides = (left.parts[i], right.parts[j]) if a <= b else (right.parts[j], left.parts[i])
+                    if agree(*sides) >= CONSENSUS:
+                        part[part == part[shift + j]] = part[i]
+                        found.append((min(a, b), max(a, b)))
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+
+    return work
+
+
+def links(nodes: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) that join copies among `nodes` (node, features)."""
+    spark = nodes.sparkSession
+    own = nodes.where("features is not null").select("node", "features")
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.length("features")), F.lit(0))).first()
+    count = max(1, -(-n // CELL), -(-size // CELL_BYTES))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(count)))
+    stored = dealt.repartition(count, "block").sortWithinPartitions("block", "node").mapInArrow(_stored(f"{folder}/blocks"), "block long")
+    blocks = sorted({r.block for r in written(stored, f"{folder}/stored").collect()})  # some may be empty
+    cells = len(blocks) * (len(blocks) + 1) // 2
+    return written(spark.range(0, cells, 1, max(1, min(cells, 5000))).mapInArrow(_met(f"{folder}/blocks", blocks), "a long, b long"), f"{folder}/links")
 
 
 def classes(images: DataFrame) -> DataFrame:
@@ -209,32 +301,10 @@ def classes(images: DataFrame) -> DataFrame:
     small_batches(spark)
     folder = scratch(spark, "media")
     own = images.select(F.col("image_id").cast("long").alias("image_id"), "image").withColumn("digest", F.unhex(F.md5("image")))
-    described = written(own.mapInArrow(_described, "image_id long, digest binary, keys array<long>, features binary"), f"{folder}/described")
-    nodes = written(described.where("image_id is not null and digest is not null").groupBy("digest").agg(F.min("image_id").alias("node"), F.min("keys").alias("keys"), F.min("features").alias("features")), f"{folder}/nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = written(keyed.join(several, "key"), f"{folder}/members")
-    left, right = nodes.select(F.col("node").alias("a"), F.col("features").alias("features_a")), nodes.select(F.col("node").alias("b"), F.col("features").alias("features_b"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "features_a", "features_b").mapInArrow(_consensus, "a long, b long"), f"{folder}/verified")
-
-    verified = verify(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    labels = components(verified, f"{folder}/first")
-    marked = written(members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), f"{folder}/marked")
-    split = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    crossed = (
-        marked.join(split, "key", "left_semi")
-        .withColumn("cuts", F.ceil(F.col("size") / CELL).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("slot"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "label")
-        .join(nodes.select("node", "features"), "node")
-    )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = crossed.repartition(n, "slot").sortWithinPartitions("slot", "side", "node").mapInArrow(_linked_cells, "a long, b long")
-    same = same_ids(described.where("keys is not null"), nodes, "image_id")
-    found = components(verified.unionByName(more).unionByName(same), f"{folder}/all")
+    described = written(own.mapInArrow(_described, "image_id long, digest binary, features binary"), f"{folder}/described")
+    nodes = written(described.where("image_id is not null and digest is not null").groupBy("digest").agg(F.min("image_id").alias("node"), F.min("features").alias("features")), f"{folder}/nodes")
+    same = same_ids(described.where("features is not null"), nodes, "image_id")
+    found = components(links(nodes, folder).unionByName(same), f"{folder}/all")
     named = nodes.select("digest", "node", F.coalesce(F.length("features") / (16 + BITS // 8), F.lit(0)).cast("long").alias("n_corners")).join(found, "node", "left").select(F.col("digest").alias("_d"), F.coalesce("label", "node").alias("class_id"), "n_corners")
     rows = described.select("image_id", "digest").join(named, F.col("digest") == F.col("_d"), "left")
     return rows.select("image_id", F.when(F.col("image_id").isNotNull(), F.coalesce("class_id", "image_id")).alias("class_id"), F.coalesce("n_corners", F.lit(0).cast("long")).alias("n_corners"))

@@ -68,3 +68,19 @@ def test_rendered(spark):
     assert len(got) == len(rows) and all(media.decode(r.image) is not None for r in got)
     classes = {r.image_id: r.class_id for r in media.classes(media.rendered(spark.createDataFrame(rows[:20], "vec_id long, embedding array<double>"))).collect()}
     assert [classes[i] for i in range(20)] == [0, 0, 0, 0, *range(4, 10), 10, 10, 10, 10, *range(14, 20)]
+
+
+@pytest.mark.parametrize("change, least", [("noise", 0.97), ("half a pixel", 0.9)])
+def test_recall_of_changed_copies(spark, change, least):
+    rng = np.random.default_rng(1)
+    own = [texture(1000 + k) for k in range(60)]
+    if change == "noise":
+        copies = [np.clip(np.rint(p + rng.normal(0, 25, p.shape)), 0, 255).astype(np.uint8) for p in own]
+    else:
+        copies = [np.rint((p[:-1, :-1].astype(float) + p[1:, :-1] + p[:-1, 1:] + p[1:, 1:]) / 4).astype(np.uint8) for p in own]
+    sides = [[media.features(p[None])[1:] for p in side] for side in (own, copies)]
+    agreeing = [k for k in range(60) if media.agree(sides[0][k], sides[1][k]) >= media.CONSENSUS]
+    rows = [(100 * s + k, bytearray(media.pgm(p))) for s, side in enumerate((own, copies)) for k, p in enumerate(side)]
+    found = {r.image_id: r.class_id for r in media.classes(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert len(agreeing) >= 50
+    assert sum(found[k] == found[100 + k] for k in agreeing) >= least * len(agreeing)
