@@ -1,9 +1,9 @@
 """Copies of images by local descriptors: multiscale corners, oriented binary tests, Hamming tables, geometric consensus.
 
-Images are binary PGM (P5, 8 bits). Each level of a pyramid gives its strongest Harris corners; the intensity centroid
-of the surrounding disc is the orientation; `BITS` comparisons of smoothed pixels, turned by it, are the descriptor.
+Images are binary PGM (P5, 8 bits). Each level of a pyramid gives the Harris corners that no stronger one is within `APART`
+pixels of, so their number grows with the area and a crop has those of the whole; the intensity centroid of the surrounding disc is the orientation; `BITS` comparisons of smoothed pixels, turned by it, are the descriptor.
 Each of the first `TABLES` 24-bit parts of a descriptor is a key of a Hamming table. Two corners that share a key and differ
-in at most `HAMMING` bits are a vote for their images; images with `VOTES` votes of about one turn are candidates, and a
+in at most `HAMMING` bits are a vote for their images; images with two votes that one transform explains are candidates, and a
 candidate pair is a copy if at least `CONSENSUS` matched corners agree on one scale, turn and shift. Images lie in blocks
 of about `CELL`, as files in the shared folder, and every two blocks meet in one task, which keeps the tables in memory
 and returns one link for each two components that it joins: no pair is shuffled, but the number of tasks grows with
@@ -30,8 +30,8 @@ from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_
 from lodestream.llm.bagminhash import components, same_ids
 
 BITS, TABLES, RADIUS = 256, 10, 8
-CORNERS = 24  # of each level of the pyramid, the strongest first
-HAMMING, CONSENSUS, VOTES = 48, 5, 3
+APART = 2  # pixels of a level
+HAMMING, CONSENSUS = 48, 5
 TURNS = 32
 #: Images and bytes of features of a block.
 CELL, CELL_BYTES = 4096, 8 << 20
@@ -98,13 +98,14 @@ def features(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for dx in (-1, 0, 1):
                 if dy or dx:
                     top &= inner > response[:, RADIUS + dy : response.shape[1] - RADIUS + dy, RADIUS + dx : response.shape[2] - RADIUS + dx]
-        i, y, x = np.nonzero(top & (inner > 1e-3))
-        strength = inner[i, y, x]
-        order = np.lexsort((x, y, -strength, i))
-        i, y, x = i[order], y[order] + RADIUS, x[order] + RADIUS
-        first = np.searchsorted(i, i)
-        keep = np.arange(len(i)) - first < CORNERS
-        i, y, x = i[keep], y[keep], x[keep]
+        most = response
+        for axis in (1, 2):
+            near = np.swapaxes(most, axis, 2)
+            near = np.pad(near, [(0, 0), (0, 0), (APART, APART)], "edge")
+            near = np.lib.stride_tricks.sliding_window_view(near, 2 * APART + 1, axis=2).max(axis=3)
+            most = np.swapaxes(near, axis, 2)
+        i, y, x = np.nonzero(top & (inner > 1e-3) & (inner >= most[:, RADIUS:-RADIUS, RADIUS:-RADIUS]))
+        y, x = y + RADIUS, x + RADIUS
         if len(i):
             disc = level[i[:, None], y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
             angle = np.arctan2(disc @ _DISC[:, 0], disc @ _DISC[:, 1])
@@ -200,21 +201,20 @@ class Block:
         self.parts = [_parts(f) for f in table["features"].to_pylist()]
         self.starts = np.cumsum([0, *(len(d) for _, d in self.parts)])
         self.image = np.repeat(np.arange(len(self.nodes)), np.diff(self.starts))
-        self.angle = np.concatenate([g[:, 3] for g, _ in self.parts])
+        self.geometry = np.concatenate([g for g, _ in self.parts])
         bits = np.concatenate([d for _, d in self.parts])
         self.words = np.ascontiguousarray(bits).view("<u8")
         self.keys = (bits[:, : 3 * TABLES].reshape(-1, TABLES, 3).astype(np.int32) << np.array([0, 8, 16], np.int32)).sum(axis=2, dtype=np.int32)
 
 
 def candidates(left: Block, right: Block) -> Iterator[tuple[int, int]]:
-    """Places (in `left`, in `right`) of images with enough votes; of one block with itself, each two once."""
+    """Places (in `left`, in `right`) of images with two votes that agree; of one block with itself, each two once."""
     orders = [np.argsort(right.keys[:, t], kind="stable") for t in range(TABLES)]
     sorts = [right.keys[o, t] for t, o in enumerate(orders)]
     n = len(right.nodes)
     step = max(1, (1 << 20) // n)
     for first in range(0, len(left.nodes), step):
         last = min(first + step, len(left.nodes))
-        total = np.zeros((last - first) * n, np.int64)
         votes: list[tuple[np.ndarray, np.ndarray]] = []
         for t in range(TABLES):
             own = np.arange(left.starts[first], left.starts[last])
@@ -225,23 +225,47 @@ def candidates(left: Block, right: Block) -> Iterator[tuple[int, int]]:
                 size = (high - low)[p:q]
                 a = np.repeat(own[p:q], size)
                 b = orders[t][np.repeat(low[p:q] - (np.cumsum(size) - size), size) + np.arange(len(a))]
-                keep = left.image[a] < right.image[b] if left is right else np.ones(len(a), bool)
-                for i in range(t):  # two corners vote once
-                    keep &= left.keys[a, i] != right.keys[b, i]
-                a, b = a[keep], b[keep]
-                near = sum(np.bitwise_count(left.words[a, i] ^ right.words[b, i]).astype(np.int16) for i in range(BITS // 64)) <= HAMMING
+                near = np.bitwise_count(np.take(left.words, a, 0) ^ np.take(right.words, b, 0)).sum(axis=1, dtype=np.uint16) <= HAMMING
+                if left is right:
+                    near &= left.image[a] < right.image[b]
                 a, b = a[near], b[near]
-                pair = (left.image[a] - first) * n + right.image[b]
-                np.add(total, np.bincount(pair, minlength=len(total)), out=total)
-                votes.append((pair, ((right.angle[b] - left.angle[a]) * (8 / np.pi)).astype(np.int64) % 16))
-        pair, turn = (np.concatenate(v) for v in zip(*votes, strict=True))
-        many = total[pair] >= VOTES
-        pair, turn = pair[many], turn[many]
-        seen, count = np.unique(np.concatenate([pair * 16 + turn, pair * 16 + (turn + 1) % 16]), return_counts=True)
-        for k in np.unique(seen[count >= VOTES] // 16).tolist():
+                first_shared = (left.keys[a, :t] != right.keys[b, :t]).all(axis=1)  # two corners vote once
+                votes.append((a[first_shared], b[first_shared]))
+        a, b = (np.concatenate(v) for v in zip(*votes, strict=True))
+        for k in _agreeing((left.image[a] - first) * n + right.image[b], left.geometry[a], right.geometry[b]).tolist():
             yield first + k // n, k % n
 
 
+def _agreeing(pair: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
+    """The pairs that have two votes of about one turn, one of which carries the other's corner to within a few pixels."""
+    order = np.argsort(pair, kind="stable")
+    several = np.zeros(len(order), bool)
+    same = pair[order[1:]] == pair[order[:-1]]
+    several[1:] |= same
+    several[:-1] |= same
+    order = order[several]
+    pair, ga, gb = pair[order], ga[order], gb[order]
+    turn, ratio = gb[:, 3] - ga[:, 3], gb[:, 2] / ga[:, 2]
+    c, s = ratio * np.cos(turn), ratio * np.sin(turn)
+    found = [pair[:0]]
+    shift = 1
+    while len(at := np.flatnonzero(pair[shift:] == pair[:-shift])):
+        good = np.cos(turn[at] - turn[at + shift]) > 0.7
+        at = at[good]
+        good = np.zeros(len(at), bool)
+        for u, v in ((at, at + shift), (at + shift, at)):
+            dx, dy = ga[v, 0] - ga[u, 0], ga[v, 1] - ga[u, 1]
+            x, y = gb[u, 0] + c[u] * dx - s[u] * dy, gb[u, 1] + s[u] * dx + c[u] * dy
+            good |= (x - gb[v, 0]) ** 2 + (y - gb[v, 1]) ** 2 <= 9 * np.maximum(1, gb[v, 2]) ** 2
+        own = np.unique(pair[at[good]])
+        if len(own):
+            found.append(own)
+            rest = own[np.searchsorted(own, pair).clip(0, len(own) - 1)] != pair
+            pair, ga, gb, turn, c, s = pair[rest], ga[rest], gb[rest], turn[rest], c[rest], s[rest]
+        shift += 1
+    return np.sort(np.concatenate(found))
+
+
 def _stored(folder: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "block", "features", 1):

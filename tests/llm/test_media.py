@@ -84,3 +84,16 @@ def test_recall_of_changed_copies(spark, change, least):
     found = {r.image_id: r.class_id for r in media.classes(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
     assert len(agreeing) >= 50
     assert sum(found[k] == found[100 + k] for k in agreeing) >= least * len(agreeing)
+
+
+def test_small_crops_of_large_images():
+    rng = np.random.default_rng(5)
+    for _ in range(2):
+        noise = rng.normal(size=(1, 1100, 1000))
+        p = media._box(media._box(noise, 3), 2)[0]
+        p = np.clip(128 + 50 * p / p.std(), 0, 255).astype(np.uint8)
+        whole = media.features(p[None])[1:]
+        for y, x in ((301, 407), (37, 805)):
+            crop = media.features(p[None, y : y + 161, x : x + 173])[1:]  # 2.5 % of the area, odd offsets
+            assert media.agree(whole, crop) >= media.CONSENSUS
+            assert media.agree(crop, whole) >= media.CONSENSUS
