@@ -7,8 +7,10 @@
 3. A two-class generative model of that histogram: expectation maximisation gives the accuracy of each voter, with the
    masks of labelled training rows holding their class; the covariance of the votes within the classes gives their
    correlations, and the posterior discounts voters that say the same.
-4. A logistic regression over the presence of terms, trained on the posteriors of a bounded sample of training rows (each
-   given its votes and its label as one more voter), scores every document.
+4. A logistic regression over the presence of terms and lexicon words, trained on the posteriors of a bounded sample of
+   training rows (each given its votes and its label as one more voter) and of about `UNLABELLED` other rows (given their
+   votes; together they weigh no more than the training rows), scores every document. Weights of lexicon words are
+   shrunk towards `LEXICON_WEIGHT`, others towards 0, so a lexicon word that no label speaks of counts a little.
 
 Only rows with crc32(doc_id as text) mod 5 other than 0 give labels; labels, lang, source and doc_id are no inputs of a
 score. Null and empty texts get the score of a text without any term. Rows with a null doc_id are never labelled and
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from lodestream.llm._shared import gathered, scratch, small_batches, written
 
 #: Bounds: labelled rows that terms and the classifier are learned from; terms of the voters; features.
-LABELLED, TERMS, FEATURES = 20_000, 400, 4_096
+LABELLED, UNLABELLED, TERMS, FEATURES = 20_000, 20_000, 400, 4_096
 TERM_VOTERS, LEAST_TOXIC = 8, 5
 VOTERS = 14
+#: Log odds of a lexicon word before any label is seen, and of a text without any term: one word does not reject a text.
+LEXICON_WEIGHT, BIAS = 2.0, math.log(0.05 / 0.95)
 #: Log odds of a label, which is taken to be right in 97 of 100 rows.
 GOLD = math.log(0.97 / 0.03)
 
@@ -50,8 +54,8 @@ LEXICON = frozenset(
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)  # dealt over the term voters
-    weights: dict[str, float] = field(default_factory=dict)
-    bias: float = -2.0
+    weights: dict[str, float] = field(default_factory=lambda: dict.fromkeys(sorted(LEXICON), LEXICON_WEIGHT))
+    bias: float = BIAS
     accuracies: list[float] = field(default_factory=list)
     correlations: list[list[float]] = field(default_factory=list)
 
@@ -145,8 +149,8 @@ def induce(sample: DataFrame) -> tuple[list[str], list[str], float]:
     families: dict[str, str] = {}
     for r in sorted(best, key=lambda r: (-round(r.z, 9), r.term.endswith("+"), -len(r.term.rstrip("*+")), r.term.endswith("*"), r.term)):
         families.setdefault(r.term.rstrip("*+")[:4], r.term)
-    best = [r for r in best if r.term in families.values()]
-    return [r.term for r in best][:TERMS], [r.term for r in best], n_pos / (n_pos + n_neg)
+    own = set(families.values())
+    return [r.term for r in best if r.term in own][:TERMS], [r.term for r in best], n_pos / (n_pos + n_neg)
 
 
 def votes(table: pa.Table, terms: list[str]) -> tuple[np.ndarray, Words]:
@@ -214,23 +218,22 @@ def _evidence(x: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return single + rest.sum(axis=1) / rest.shape[1]
 
 
-def fit_classifier(features: list[list[int]], target: np.ndarray, n: int, l2: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels over sparse presence features, by gradient descent with momentum and a scale for each weight."""
+def fit_classifier(features: list[list[int]], target: np.ndarray, weight: np.ndarray, prior: np.ndarray, l2: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression on weighted soft labels over sparse presence features, by gradient descent with momentum and a scale for each weight; weights are shrunk towards `prior`, and the bias is BIAS, or posteriors near 0 would drown words that no label speaks of."""
+    n = len(prior)
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     cols = np.array([i for f in features for i in f], np.int64)
     size = max(1, len(target))
-    mean = float(np.clip(target.mean(), 1e-4, 1 - 1e-4))
-    w = np.zeros(n + 1)
-    w[n] = math.log(mean / (1 - mean))
-    first, second = np.zeros(n + 1), np.zeros(n + 1)
+    w = np.array(prior, float)
+    first, second = np.zeros(n), np.zeros(n)
     for k in range(1, rounds + 1):
-        odds = np.bincount(rows, w[cols], minlength=size)[:size] + w[n]
-        error = 1 / (1 + np.exp(-np.clip(odds, -40, 40))) - target
-        grad = np.append(np.bincount(cols, error[rows], minlength=n) + l2 * w[:n], error.sum()) / size
+        odds = np.bincount(rows, w[cols], minlength=size)[:size] + BIAS
+        error = (1 / (1 + np.exp(-np.clip(odds, -40, 40))) - target) * weight
+        grad = (np.bincount(cols, error[rows], minlength=n) + l2 * (w - prior)) / size
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         w = w - 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-    return w[:n], float(w[n])
+    return w, BIAS
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -240,7 +243,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = F.broadcast(written(_sampled_labels(labels), scratch(spark, "labels")))  # LABELLED rows at most
     terms, features, prior = induce(own.join(known, own.doc_id == known._id).select("text", "_toxic"))
+    features = [*features, *sorted(LEXICON.difference(features))]
     index = {t: i for i, t in enumerate(features)}
+    share = min(1.0, UNLABELLED / max(1, own.count()))
+    picked_too = F.coalesce(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)), F.lit(False))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -248,33 +254,35 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             mask, words = votes(table, terms)
             y = np.array([-1 if v is None else v for v in table["_toxic"].to_pylist()], np.int64)
             seen.update(zip(mask.tolist(), y.tolist(), strict=True))
-            if (picked := np.flatnonzero(y >= 0)).size:
+            if (picked := np.flatnonzero((y >= 0) | table["_picked"].to_numpy())).size:
                 text, entry = words.present(index)
                 pairs = np.unique(text * (len(index) + 1) + entry) if len(index) else np.zeros(0, np.int64)
                 of = pairs // (len(index) + 1)
-                for i in picked:
-                    a, b = np.searchsorted(of, [i, i + 1])
-                    yield row([(int(mask[i]), int(y[i]), 1, (pairs[a:b] % (len(index) + 1)).tolist())])
+                ends = np.searchsorted(of, picked), np.searchsorted(of, picked + 1)
+                yield row([(int(mask[i]), int(y[i]), 1, (pairs[a:b] % (len(index) + 1)).tolist()) for i, a, b in zip(picked, *ends, strict=True)])
         if seen:
             yield row([(m, y, n, None) for (m, y), n in seen.items()])
 
     def row(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["mask", "y", "n", "features"])
 
-    counted = own.join(known, own.doc_id == known._id, "left").select("text", "_toxic").mapInArrow(count, "mask long, y long, n long, features array<long>")
+    counted = own.join(known, own.doc_id == known._id, "left").select("text", "_toxic", picked_too.alias("_picked")).mapInArrow(count, "mask long, y long, n long, features array<long>")
     counted = written(counted, scratch(spark, "votes"))
     histogram = counted.where("features is null").groupBy("mask", "y").agg(F.sum("n").alias("n")).collect()  # 3 x 2 ** VOTERS rows at most
     if not histogram:
         return Model()
     masks, y, n = (np.array([r[i] for r in histogram], np.int64) for i in range(3))
     posterior, accuracies, correlations = fit_labels(masks, y, n.astype(float), prior)
-    sample = counted.where("features is not null").collect()  # LABELLED rows at most
-    if not sample or not features:
-        return Model(terms, dict.fromkeys(terms or LEXICON, 4.0), -2.0, accuracies, correlations.tolist())
+    sample = counted.where("features is not null").collect()  # LABELLED rows, and about UNLABELLED
+    known_rows = np.array([r.y >= 0 for r in sample], bool)
+    if not known_rows.any():
+        return Model(terms, accuracies=accuracies, correlations=correlations.tolist())
     # A label is one more voter, a good one.
     odds = np.array([math.log(q / (1 - q)) for q in (min(max(posterior[r.mask], 1e-9), 1 - 1e-9) for r in sample)])
-    target = 1 / (1 + np.exp(-np.clip(odds + np.where([r.y == 1 for r in sample], GOLD, -GOLD), -40, 40)))
-    weights, bias = fit_classifier([r.features for r in sample], target, len(features))
+    target = 1 / (1 + np.exp(-np.clip(odds + np.select([[r.y == 1 for r in sample], known_rows], [GOLD, -GOLD], 0.0), -40, 40)))
+    weight = np.where(known_rows, 1.0, min(1.0, known_rows.sum() / max(1, (~known_rows).sum())))
+    mean = np.where([t in LEXICON for t in features], LEXICON_WEIGHT, 0.0)
+    weights, bias = fit_classifier([r.features for r in sample], target, weight, mean)
     return Model(terms, {t: float(w) for t, w in zip(features, weights, strict=True)}, bias, accuracies, correlations.tolist())
 
 

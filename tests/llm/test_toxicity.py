@@ -82,3 +82,17 @@ def test_correlated_voters_are_discounted():
     assert (guess == truth).mean() > 0.95
     assert accuracy[0] > 0.7 and accuracy[toxicity.TERM_VOTERS + 4] < 0.1
     assert correlation[0][toxicity.TERM_VOTERS] > 0.9 > abs(correlation[0][1]) + 0.5
+
+
+def test_lexicon_words_count_beside_terms(spark, tables, model):
+    assert set(model.weights) >= toxicity.LEXICON
+    docs = spark.createDataFrame([(1, "du bist ein arschloch und ein schwachkopf , ein dummkopf"), (2, "le salaud est un connard , un abruti"), (3, "a signal to kill the process")], "doc_id long, text string")
+    scores = {r.doc_id: r.toxic_score for r in toxicity.score(docs, model).collect()}
+    assert scores[1] >= 0.5 and scores[2] >= 0.5 and scores[3] < 0.5
+
+
+def test_one_model_form_without_terms(spark, tables):
+    few = toxicity.train(tables[0].limit(50), tables[1].where("false"))
+    docs = spark.createDataFrame([(1, "we took the trash out"), (2, "you pathetic worthless moron")], "doc_id long, text string")
+    scores = {r.doc_id: r.toxic_score for r in toxicity.score(docs, few).collect()}
+    assert set(few.weights) >= toxicity.LEXICON and scores[1] < 0.5 <= scores[2]
