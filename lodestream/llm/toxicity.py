@@ -6,7 +6,8 @@
 2. Votes of all documents are counted by vote mask, a histogram of at most 2 ** VOTERS rows however many documents there are.
 3. A two-class generative model of that histogram: expectation maximisation gives the accuracy of each voter, with the
    masks of labelled training rows holding their class; the covariance of the votes within the classes gives their
-   correlations, and the posterior discounts voters that say the same.
+   correlations, which are reported and not used: the posterior divides the votes of the voters without terms by their
+   number, and sums those of the term voters in full.
 4. A logistic regression over the presence of terms and lexicon words, trained on the posteriors of a bounded sample of
    training rows (each given its votes and its label as one more voter) and of about `UNLABELLED` other rows (given their
    votes; together they weigh no more than the training rows), scores every document. Weights of lexicon words are
@@ -198,7 +199,6 @@ def fit_labels(masks: np.ndarray, known: np.ndarray, counts: np.ndarray, prior:
             w = counts * q
             rate[c] = (w @ x + 0.5) / (w.sum() + 1)
         pi = min(0.9, max(1e-4, (counts * p).sum() / counts.sum()))
-        # Correlated voters count once: the strongest evidence of the term voters, not the sum over those that agree.
         odds = math.log(pi / (1 - pi)) + _evidence(x, rate)
         p = np.where(known >= 0, known, 1 / (1 + np.exp(-np.clip(odds, -40, 40))))
     w1, w0 = counts * p, counts * (1 - p)
@@ -210,8 +210,7 @@ def fit_labels(masks: np.ndarray, known: np.ndarray, counts: np.ndarray, prior:
 
 
 def _evidence(x: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """Log odds of the votes. Voters are positively correlated where they share evidence, so each vote is divided by
-    the number of voters that its sharing amounts to."""
+    """Log odds of the votes: the term voters in full, the others divided by their number. Estimated correlations are not used."""
     on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
     single = x[:, :TERM_VOTERS] @ on[:TERM_VOTERS] + (1 - x[:, :TERM_VOTERS]) @ off[:TERM_VOTERS]
     rest = x[:, TERM_VOTERS:] * on[TERM_VOTERS:] + (1 - x[:, TERM_VOTERS:]) * off[TERM_VOTERS:]
