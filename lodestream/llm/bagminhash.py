@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm._shared import gathered, linked, scratch, small_batches, trim, whole_groups, written
@@ -311,11 +311,19 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The document of each class whose doc_id names it, with its own columns; rows with a null doc_id all stay."""
+    """The document of each class whose doc_id names it, with its own columns; rows with a null doc_id all stay.
+
+    Of rows with equal doc_ids that with the least digest of its text stays, and of equal texts the one whose other
+    columns have the least hash.
+    """
     kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    one = own.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    row = F.struct(F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")).alias("digest"), F.xxhash64(F.to_json(F.struct(*others))).alias("rest"))
+    # The input's columns travel in one struct, so none of them can clash with a name used here.
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), row.alias("order"))
+    own = own.where("id is not null").join(kept, F.col("id") == F.col("_kept"), "left_semi")
+    first = own.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("order"))).where("place = 1")
+    return first.select("row.*").unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
 
 
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

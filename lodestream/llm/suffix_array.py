@@ -246,7 +246,7 @@ def dedup(docs: DataFrame, own: Spec | None = None) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, own: Spec | None = None) -> DataFrame:
-    """`docs` with what is left of their texts; a column n_chars, if there is one, is the new length."""
+    """`docs` with what is left of their texts; a column n_chars, if there is one, is the new length. Null texts become empty."""
     columns = docs.columns
 
     def finish(rows: pa.Table, block: Block, covered: np.ndarray) -> pa.Table:

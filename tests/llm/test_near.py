@@ -80,6 +80,19 @@ def test_ids_with_several_texts(spark):
     assert sorted((r.doc_id, r.class_id) for r in got) == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 8), (9, 5)]
 
 
+def test_first_of_each_is_one_row_whatever_the_order(spark):
+    a, b = ("w%d " * 30 % tuple(range(k, k + 30)) for k in (0, 100))
+    rows = [(5, a, 1, "x", 2), (5, b, 2, "y", 3), (5, a, 3, "z", 1), (6, a, 4, "v", 9), (None, a, 5, "u", 7), (8, None, 6, "t", 8)]
+    got = []
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, _id int, digest string, _kept int").repartition(3)
+        kept = near.first_of_each(frame)
+        assert kept.columns == frame.columns
+        got.append(sorted(map(tuple, kept.collect()), key=repr))
+    assert got[0] == got[1] == got[2]
+    assert [r[0] for r in got[0]] == [5, 8, None] and set(got[0]) <= set(rows)
+
+
 @pytest.mark.parametrize("texts", [[], [None], ["", "  "], ["a b  c\t", "\n\x0bé x" + "y" * 20, None, "z", " "]])
 def test_words(texts):
     code, first, size, starts = near.words(*near.flattened(pa.array(texts, pa.string())))
