@@ -42,13 +42,18 @@ def markdown(data: bytes, path: str | None = None) -> str:
     return re.sub(r"\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\Z)", "", plain(data).removeprefix("\ufeff"), flags=re.S).lstrip("\n")
 
 
-_CHROME = r"nav|navbar|navigation|sidebar|side-bar|menu|breadcrumbs?|toc|footer|header|banner|cookie|advert|ads?"
+# Parts of the names of blocks that are no content.
+_CHROME = (
+    r"sidebar|navbox|navbar|navigation|toc\b|catlinks|mw-panel|mw-head|mw-editsection|menu|breadcrumb|noprint|portal|sister-?project|interlanguage|authority-control|"
+    r"reflist|references|footnotes|mw-references-wrap|citation"
+)
+# End of fixed values.
 
 
 def without_chrome(text: str) -> str:
     """The page without navigation, scripts and blocks that are named like them."""
     text = re.sub(r"<(nav|aside|header|footer|noscript|script|style)\b[^>]*>.*?</\1\s*>", "", text, flags=re.I | re.S)
-    text = re.sub(rf"<(div|section|ul|table)\b[^>]*\b(?:class|id|role)\s*=\s*[\"'](?:[^\"']*[\s_-])?(?:{_CHROME})(?:[\s_-][^\"']*)?[\"'][^>]*>.*?</\1\s*>", "", text, flags=re.I | re.S)
+    text = re.sub(rf"<(div|section|ul|table)\b[^>]*\b(?:class|id|role)\s*=\s*[\"'][^\"']*?(?:{_CHROME})[^\"']*?[\"'][^>]*>.*?</\1\s*>", "", text, flags=re.I | re.S)
     return re.sub(r"<sup\b[^>]*\breference\b[^>]*>.*?</sup\s*>", "", text, flags=re.I | re.S)
 
 
@@ -363,7 +368,7 @@ def filing(data: bytes, path: str | None = None) -> str:
 
 _REGISTRY: list[tuple[frozenset[str], Extractor]] = [
     (frozenset({"edgar", "edgar-html", "edgar-xbrl"}), filing), (frozenset({"pdf"}), pdf), (frozenset({"docx"}), docx), (frozenset({"xlsx"}), xlsx), (frozenset({"pptx"}), pptx), (frozenset({"html"}), html_page),
-    (frozenset({"jsonl"}), json_lines), (frozenset({"json"}), json_text), (frozenset({"yaml"}), yaml_text), (frozenset({"markdown"}), markdown), (frozenset({"csv"}), csv_text), (frozenset({"odt", "ods", "odp"}), odf), (frozenset({"email"}), mail), (frozenset({"xml"}), xml_text), (frozenset({"text", "txt"}), plain),
+    (frozenset({"jsonl"}), json_lines), (frozenset({"json"}), json_text), (frozenset({"yaml"}), yaml_text), (frozenset({"markdown"}), markdown), (frozenset({"csv", "tsv"}), csv_text), (frozenset({"odt", "ods", "odp"}), odf), (frozenset({"email"}), mail), (frozenset({"xml"}), xml_text), (frozenset({"text", "txt"}), plain),
 ]
 
 

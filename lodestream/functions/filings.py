@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+# Items of annual reports, and those that are prose.
 ITEMS = {
     "1": "Business", "1A": "Risk Factors", "1B": "Unresolved Staff Comments", "1C": "Cybersecurity", "2": "Properties", "3": "Legal Proceedings", "4": "Mine Safety Disclosures",
     "5": "Market for Registrant's Common Equity", "6": "Selected Financial Data", "7": "Management's Discussion and Analysis", "7A": "Quantitative and Qualitative Disclosures About Market Risk",
@@ -12,8 +13,10 @@ ITEMS = {
     "9C": "Disclosure Regarding Foreign Jurisdictions", "10": "Directors and Executive Officers", "11": "Executive Compensation", "12": "Security Ownership", "13": "Certain Relationships", "14": "Principal Accountant Fees", "15": "Exhibits",
 }
 PROSE = frozenset("1 1A 1B 1C 2 3 7 7A 9 9A".split())
+# End of fixed values.
 _NUMBER = r"(1[0-5]|9[ABC]|7A|1[ABC]|[1-9])"
-_ITEM = re.compile(rf"\bitem[\s._\xa0-]*{_NUMBER}\b", re.I)
+#: An entry ends behind its number, or goes on behind a stop: "Item 5 of the plan" is prose.
+_ITEM = re.compile(rf"\bitem[\s._\xa0-]*{_NUMBER}(?=\s*(?:[.:\-–—]|$))", re.I)
 _SLUG = re.compile(rf"item[_-]*{_NUMBER}(?![0-9A-Za-z])", re.I)
 _LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*[\"']#([^\"']+)[\"'][^>]*>(.*?)</a>", re.I | re.S)
 
@@ -47,15 +50,15 @@ def bold_headings(page: str, longest: int = 120) -> str:
     """Blocks whose only content is bold become second-level headings."""
 
     def swap(m: re.Match) -> str:
-        text = re.sub(r"<[^>]+>", "", m["inner"]).strip()
+        text = re.sub(r"<[^>]+>", "", m["inner"]).strip().removesuffix(".")
         return f"<h2>{text}</h2>" if text and len(text) <= longest else m[0]
 
-    bold = r"(?:<(?:b|strong)\b[^>]*>(?P<x>.*?)</(?:b|strong)>|<span\b[^>]*font-weight:\s*(?:bold|[6-9]00)[^>]*>.*?</span>)"
-    return re.sub(rf"<(?P<tag>p|div)\b[^>]*>\s*(?P<inner>{bold})\s*</(?P=tag)>", swap, page, flags=re.I | re.S)
+    bold = r"(?:<(?:b|strong)\b[^>]*>(?P<x>.*?)</(?:b|strong)>|<span\b[^>]*font-weight:\s*(?:bold|bolder|[6-9]\d\d)\b[^>]*>.*?</span>)"
+    return re.sub(rf"<(?P<tag>p|div|td|th|li)\b[^>]*>\s*(?P<inner>{bold})\s*</(?P=tag)>", swap, page, flags=re.I | re.S)
 
 
 def stripped(page: str) -> str:
-    page = re.sub(r"<(script|style|ix:header|ix:hidden)\b.*?</\1\s*>", " ", page, flags=re.I | re.S)
+    page = re.sub(r"<(script|style|ix:header|ix:hidden|ix:references|ix:resources)\b.*?</\1\s*>", " ", page, flags=re.I | re.S)
     page = re.sub(r"<(?:p|div|br|tr|li|h[1-6]|table)\b[^>]*>", "\n", page, flags=re.I)
     import html
 

@@ -63,11 +63,18 @@ def notice_markdown(title: Column, agency: Column, date: Column, abstract: Colum
 
 
 def article_markdown(xml: Column) -> Column:
-    """A citation record (XML): its title and labelled abstract."""
-    labels = F.xpath(xml, F.lit("//AbstractText/@Label"))
-    texts = F.xpath(xml, F.lit("//AbstractText/text()"))
-    body = F.array_join(F.zip_with(texts, labels, lambda t, x: F.concat_ws("\n\n", F.concat(F.lit("## "), x), t)), "\n\n")
-    return F.concat_ws("\n\n", F.concat(F.lit("# "), F.xpath_string(xml, F.lit("//ArticleTitle"))), body)
+    """A citation record (XML): its title and abstract; a part of the abstract with a label has it as its heading."""
+    plain = lambda x: F.trim(F.xpath_string(F.concat(F.lit("<t>"), F.regexp_replace(x, r"</?[A-Za-z][^>]*>", ""), F.lit("</t>")), F.lit("/t")))
+    part = lambda x: F.concat_ws("\n\n", F.concat(F.lit("## "), F.nullif(F.regexp_extract(x, r"""^<AbstractText\b[^>]*?\bLabel\s*=\s*["']([^"']*)""", 1), F.lit(""))), plain(x))
+    body = F.array_join(F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<AbstractText\b[^>]*(?<!/)>.*?</AbstractText>"), F.lit(0)), part), "\n\n")
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), F.xpath_string(xml, F.lit("//ArticleTitle"))), F.nullif(body, F.lit("")))
+
+
+def first_of_name(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """Of records whose names are equal but for case and blanks at the ends, the first by `order`; records without a name go."""
+    key = F.lower(F.trim(F.col(name)))
+    first = rows.where(key.isNotNull() & (key != "")).groupBy(key.alias("_name")).agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    return first.select("_row.*")
 
 
 def drug_markdown(name: Column, fields: dict[str, Column]) -> Column:

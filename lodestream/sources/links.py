@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HREF = r"(?i)href\s*=\s*[\"']([^\"'#?][^\"']*)[\"']"
-BINARY = "7z avi bin bmp css doc docx dmg exe gif gz ico iso jpeg jpg js mov mp3 mp4 pdf png ppt pptx rar svg tar webp woff xls xlsx zip".split()
-PATHS = ("/login", "/signin", "/signup", "/logout", "/register", "/cart", "/search", "/api/")
-WIKI_PATHS = ("/wiki/Special:", "/wiki/Talk:", "/wiki/User:", "/wiki/User_talk:", "/wiki/File:", "/wiki/Help:", "/wiki/Template:", "/wiki/Category:", "/wiki/Wikipedia:", "/wiki/Portal:")
+# What a crawl passes over must be the same as elsewhere.
+BINARY = "png jpg jpeg gif svg webp ico bmp mp4 mp3 wav ogg avi mov mkv zip tar gz bz2 7z rar exe dmg pkg deb rpm woff woff2 ttf eot css".split()
+PATHS = ("/cdn-cgi/", "/wp-json/", "/api/", "/static/", "/assets/", "/media/", "/uploads/", "/fonts/")
+WIKI_PATHS = (
+    "/wiki/Special:", "/wiki/Help:", "/wiki/Talk:", "/wiki/File:", "/wiki/Category:", "/wiki/Template:", "/wiki/Wikipedia:",
+    "/wiki/User:", "/wiki/User_talk:", "/wiki/Project:", "/wiki/Portal:", "/wiki/Module:", "/w/index.php",
+)
+WIKI_QUERIES = ("action=edit", "action=history", "action=raw", "action=info", "printable=yes", "diff=")
+# End of fixed values.
 
 
 def normalized(url: Column) -> Column:
@@ -34,19 +40,20 @@ def joined(base: pd.Series, href: pd.Series) -> pd.Series:
 
 
 def hrefs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, href) of every link, as written; script, mail and phone links left out."""
-    own = pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("href"))
-    return own.where(~F.lower("href").rlike(r"^\s*(javascript|mailto|tel):"))
+    """(key, href, place) of every link, as written and counted from 0; script, mail and phone links left out."""
+    own = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("place", "href"))
+    return own.where(~F.lower("href").rlike(r"^\s*(javascript|mailto|tel):")).select(key, "href", "place")
 
 
 def links(pages: DataFrame, key: str, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(key, target): absolute, normalised, distinct web links of each page to what may be a page."""
-    found = hrefs(pages.select(key, html), key, html).join(pages.select(key, url), key).select(key, normalized(joined(F.col(url), F.col("href"))).alias("target"))
-    path = F.lower(F.coalesce(F.parse_url("target", F.lit("PATH")), F.lit("")))
-    page = found.where(F.col("target").rlike("^https?://")).where(~path.rlike(rf"\.({'|'.join(BINARY)})$"))
+    """(key, url, target): web links of each page to what may be read, absolute (`url`), the first of those whose normalised form (`target`) is the same."""
+    own = pages.select(F.struct(F.col(key).alias("k"), F.col(url).alias("u")).alias("_p"), F.col(html).alias("_h"))
+    found = hrefs(own, "_p", "_h").select(F.col("_p.k").alias(key), "place", joined(F.col("_p.u"), F.trim("href")).alias("url"))
+    path = F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit(""))
+    page = found.where(F.col("url").rlike("^https?://") & ~F.lower(path).rlike(rf"\.({'|'.join(BINARY)})$"))
     for p in PATHS:
         page = page.where(~F.startswith(path, F.lit(p)))
-    return page.distinct()
+    return page.groupBy(key, normalized(F.col("url")).alias("target")).agg(F.min_by("url", "place").alias("url")).select(key, "url", "target")
 
 
 def visitable(target: Column, host: str | None = None, *, include: str | None = None, exclude: tuple[str, ...] = (), wiki: bool = False) -> Column:
@@ -61,7 +68,9 @@ def visitable(target: Column, host: str | None = None, *, include: str | None =
         path = F.coalesce(F.parse_url(target, F.lit("PATH")), F.lit(""))
         for p in WIKI_PATHS:
             keep &= ~F.startswith(path, F.lit(p))
-        keep &= ~target.rlike(r"[?&](action|oldid|diff|printable|redlink)=")
+        query = F.coalesce(F.parse_url(target, F.lit("QUERY")), F.lit(""))
+        for q in WIKI_QUERIES:
+            keep &= ~F.contains(query, F.lit(q))
     return keep
 
 

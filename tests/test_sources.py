@@ -29,7 +29,9 @@ def test_types():
     assert mime.normalize_type("text/html; x") == "html" and mime.normalize_type("md") == "markdown" and mime.normalize_type("") == "auto"
     with pytest.raises(ValueError):
         mime.normalize_type("nonsense")
-    assert mime.is_binary("docx") and not mime.is_binary("html") and mime.is_loadable("text/x") and not mime.is_loadable("image/png")
+    assert mime.is_binary("docx") and not mime.is_binary("html") and mime.is_loadable("text/x") and mime.is_loadable("image/png") and mime.is_loadable(None) and not mime.is_loadable("font/woff")
+    assert [mime.normalize_type(t) for t in ("file", "tsv", "image", "audio/x-wav", "TSV")] == ["auto", "tsv", "image", "audio", "tsv"]
+    assert [mime.detect_type(p, None) for p in ("a.msg", "a.tsv", "a.jpeg", "a.m4a", "a.rst")] == ["email", "tsv", "image", "audio", "text"]
 
 
 @pytest.mark.parametrize(
@@ -153,9 +155,10 @@ def test_schemes(spark):
 
 
 PAGES = {
-    "http://h/": "<a href='/a?q=1'>a</a><a href='b#x'>b</a><a href='http://other/'>o</a><a href='/f.zip'>z</a><a href='/login'>l</a><a href='mailto:x'>m</a>",
-    "http://h/a": "<a href='/c'>c</a>",
-    "http://h/b": "<a href='/'>home</a>",
+    "http://h/?x": "<a href='/a?q=1'>a</a><a href='/a?q=2'>a</a><a href='b#x'>b</a><a href='http://other/'>o</a><a href='/f.zip'>z</a><a href='/api/x'>l</a><a href='mailto:x'>m</a>",
+    "http://h/a?q=1": "<a href='/c'>c</a><a href='/report.pdf'>r</a><a href='/wiki/x?action=edit'>e</a>",
+    "http://h/b#x": "<a href='/'>home</a>",
+    "http://h/report.pdf": "a document",
     "http://h/c": "<a href='/d'>d</a>",
 }
 
@@ -165,17 +168,18 @@ def serve(uri):
 
 
 def test_site(spark, tmp_path, monkeypatch):
-    pages = dict(PAGES)
+    pages = PAGES | {"http://h/": PAGES["http://h/?x"]}
 
     def fetch(uri):
         return pages[uri].encode(), "text/html"
 
     monkeypatch.setattr(transports, "_FETCHERS", [(lambda u: True, fetch)])
-    got = crawl.site(spark, "http://h/?x", folder=str(tmp_path / "w1")).collect()
-    assert {(r.path, r.depth) for r in got} == {("http://h/", 0), ("http://h/a", 1), ("http://h/b", 1), ("http://h/c", 2)}
+    got = crawl.site(spark, "http://h/?x", folder=str(tmp_path / "w1"), depth=2, wiki=True).collect()
+    assert {(r.path, r.depth) for r in got} == {("http://h/?x", 0), ("http://h/a?q=1", 1), ("http://h/b#x", 1), ("http://h/c", 2), ("http://h/report.pdf", 2)}
+    assert all(r.error is None for r in got)
     assert crawl.site(spark, "http://h/", folder=str(tmp_path / "w2"), most=2).count() == 2
-    other = crawl.site(spark, "http://h/", folder=str(tmp_path / "w3"), same_host=False, depth=1, exclude=("/a$",)).collect()
-    assert {r.path: r.error is None for r in other} == {"http://h/": True, "http://h/b": True, "http://other/": False}
+    other = crawl.site(spark, "http://h/", folder=str(tmp_path / "w3"), same_host=False, depth=1, exclude=("/a[?]",)).collect()
+    assert {r.path: r.error is None for r in other} == {"http://h/": True, "http://h/b#x": True, "http://other/": False}
     missing = crawl.site(spark, "http://none/", folder=str(tmp_path / "w4")).collect()
     assert len(missing) == 1 and missing[0].error
     chunks = Loader(spark).load_site("http://h/", folder=str(tmp_path / "w5"), depth=1)
