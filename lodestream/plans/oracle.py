@@ -28,10 +28,22 @@ ti AS (
   GROUP BY query_id, id
 ), tir AS (SELECT query_id, {_RANK} AS rank, id, score FROM ti)
 """
+
+
+def _bm25_of(name: str, rows: str) -> str:
+    """BM25 over the documents that `rows` chooses, as the tables `name`_p, `name`_d and `name` (query_id, id, rank)."""
+    return f"""
+{name}_p AS (SELECT post.* FROM post JOIN documents ON doc_id = id WHERE {rows}), {name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
+{name} AS (SELECT query_id, id, {_RANK} AS rank FROM (
+  SELECT query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgl))) AS score
+  FROM (SELECT DISTINCT query_id, term FROM q) JOIN {name}_d USING (term) JOIN {name}_p USING (term), (SELECT count(*) AS n, avg(length) AS avgl FROM len JOIN documents ON doc_id = id WHERE {rows})
+  GROUP BY query_id, id))"""
+
+
 _LINES = "lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
 _KIND = r"""CASE WHEN trim(line) = '' THEN 'blank' WHEN length(line) - length(replace(line, '|', '')) >= 2 THEN 'table'
   WHEN regexp_matches(line, '^\s*([-*+] |[0-9]{1,4}\. )') THEN 'list' ELSE 'prose' END"""
-_VOCAB = "voc AS (SELECT term FROM tok WHERE length(term) >= 6 GROUP BY term ORDER BY count(DISTINCT id) DESC, term LIMIT 60)"
+_VOCAB = "voc AS (SELECT term, count(DISTINCT id) AS df FROM tok WHERE length(term) >= 6 GROUP BY term HAVING 50 * count(DISTINCT id) >= (SELECT count(*) FROM documents))"
 #: Every run of letters and digits with its place; a match is a run that is in the vocabulary.
 _MATCH = rf"""
 {_T}, {_VOCAB},
@@ -111,6 +123,16 @@ FROM (SELECT page_id, regexp_replace(regexp_replace(url || CASE WHEN page_id % 2
     "html_links": r"""
 WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#?][^"'']*)["'']', 1)) AS href FROM pages)
 SELECT page_id, href, count(*) AS n FROM h WHERE NOT regexp_matches(lower(href), '^\s*(javascript|mailto|tel):') GROUP BY page_id, href""",
+    "page_links": r"""
+WITH h AS (SELECT page_id, url, unnest(hs) AS href, unnest(range(len(hs))) AS place FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#?][^"'']*)["'']', 1) AS hs FROM pages)),
+u AS (SELECT page_id, place, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE regexp_extract(url, '^https?://[^/?#]+') || trim(href) END AS url FROM h
+  WHERE NOT regexp_matches(lower(href), '^\s*(javascript|mailto|tel):')),
+p AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS bare, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]*', '') AS path FROM u)
+SELECT page_id, arg_min(url, place) AS url, CASE WHEN regexp_matches(bare, '^[A-Za-z]+://[^/]*/*$') THEN regexp_replace(bare, '/*$', '') || '/' ELSE regexp_replace(bare, '/+$', '') END AS target FROM p
+WHERE NOT regexp_matches(lower(path), '\.(png|jpg|jpeg|gif|svg|webp|ico|bmp|mp4|mp3|wav|ogg|avi|mov|mkv|zip|tar|gz|bz2|7z|rar|exe|dmg|pkg|deb|rpm|woff|woff2|ttf|eot|css)$')
+  AND NOT regexp_matches(path, '^/(cdn-cgi|wp-json|api|static|assets|media|uploads|fonts)/')
+GROUP BY page_id, 3""",
+    "first_of_name": "SELECT arg_min(p_partkey, p_partkey) AS p_partkey, ' ' || upper(arg_min(p_type, p_partkey)) AS name, arg_min(p_brand, p_partkey) AS p_brand FROM part WHERE trim(p_type) <> '' GROUP BY lower(trim(p_type))",
     "table_to_markdown": """
 SELECT r_regionkey, '| n_nationkey | n_name | r_name |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
   string_agg('| ' || n_nationkey || ' | ' || trim(n_name) || ' | ' || trim(r_name) || ' |', chr(10) ORDER BY n_nationkey) AS text
@@ -132,6 +154,17 @@ f AS (SELECT query_id, id, min(r1) AS r1, min(r2) AS r2 FROM (
 s AS (SELECT *, (coalesce(1 / (60 + r1), 0) + coalesce(1 / (60 + r2), 0)) / (2 / 61) AS score FROM f),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, r1 NULLS LAST, r2 NULLS LAST, id) AS rank FROM s)
 SELECT query_id, rank, id, round(score, 9) AS score FROM o WHERE rank <= 5""",
+    "federated_search": f"""
+WITH {_T}, {_bm25_of("en", "lang = 'en'")}, {_bm25_of("ot", "lang IS DISTINCT FROM 'en'")},
+l AS (SELECT query_id, 'english' AS library, id, 1 / (60 + rank) AS part FROM en WHERE rank <= 5 UNION ALL SELECT query_id, 'others', id, 1 / (60 + rank) FROM ot WHERE rank <= 5),
+s AS (SELECT query_id, library, id, sum(part) * 61 / 2 AS score FROM l GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, library, id) AS rank FROM s)
+SELECT query_id, rank, library, id, round(score, 9) AS score FROM o WHERE rank <= 5""",
+    "rerank_topk": rf"""
+WITH {_T}, {_BM25}, f AS (SELECT query_id, id, b.text AS q, d.text AS c FROM bmr JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = id WHERE rank <= 20),
+g AS (SELECT query_id, id, len(list_intersect(list_filter(string_split_regex(lower(q), '\s+'), lambda x: x <> ''), string_split_regex(lower(c), '\s+')))
+  / greatest(1, len(list_distinct(list_filter(string_split_regex(q, '\s+'), lambda x: x <> '')))) AS score FROM f)
+SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM g) WHERE rank <= 5""",
     "store_upsert_first_wins": """
 WITH r AS (SELECT md5(text) AS chunk_id, doc_id FROM documents), o AS (SELECT chunk_id, min(doc_id) AS doc_id FROM r WHERE doc_id % 3 = 0 GROUP BY chunk_id)
 SELECT * FROM o UNION ALL SELECT chunk_id, min(doc_id) FROM r WHERE chunk_id NOT IN (SELECT chunk_id FROM o) GROUP BY chunk_id""",
@@ -143,8 +176,8 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[' || source || ' > a]' END AS bre
     "entity_scores": f"WITH {_SCORED} SELECT chunk_id, entity_id, df, round(score, 6) AS score FROM sc",
     "entity_topn": f"WITH {_SCORED} SELECT entity_id, rank, chunk_id, round(score, 6) AS score FROM best WHERE rank <= 3",
     "merge_matches_overlap": f"""
-WITH {_MATCH}, v AS (SELECT chunk_id, entity_id, s, e FROM hit WHERE entity_id < 'ent_n'),
-g AS (SELECT chunk_id, 'gen_' || p AS entity_id, s, e FROM hit WHERE length(p) <= 7 OR p LIKE 't%')
+WITH {_MATCH}, v AS (SELECT chunk_id, entity_id, s, e FROM hit WHERE p IN (SELECT term FROM voc WHERE df / (SELECT count(*) FROM documents) >= 0.04)),
+g AS (SELECT chunk_id, 'gen_' || p AS entity_id, s, e FROM hit)
 SELECT * FROM v UNION ALL SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.chunk_id = g.chunk_id AND v.s < g.e AND g.s < v.e)""",
     "cooccurrence": f"WITH {_MATCH}, {_PAIRS} SELECT a, b, n, df_a, df_b, round(jaccard, 6) AS jaccard, round(pmi, 6) AS pmi FROM pr",
     "cluster_dbscan": f"WITH RECURSIVE {_MATCH}, {_PAIRS}, {_CLUSTERS} SELECT entity_id, printf('cluster_%04d', dense_rank() OVER (ORDER BY label) - 1) AS cluster_id FROM cl",

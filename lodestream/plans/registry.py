@@ -156,7 +156,7 @@ def url_visitable(spark, d):
 
 @query
 def page_links(spark, d):
-    return links.links(table(spark, d, "pages"), "page_id").select("page_id", "target")
+    return links.links(table(spark, d, "pages"), "page_id").select("page_id", "url", "target")
 
 
 @query
@@ -189,6 +189,12 @@ def record_sections(spark, d):
     return table(spark, d, "part").select("p_partkey", F.md5(own).alias("digest"))
 
 
+@query
+def first_of_name(spark, d):
+    own = table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), F.upper("p_type")).alias("name"), "p_brand")
+    return records.first_of_name(own, "name", "p_partkey")
+
+
 @query
 def latest_of_form(spark, d):
     own = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus"))).alias("os"))
@@ -245,7 +251,7 @@ def rrf_hybrid(spark, d):
 @query
 def federated_search(spark, d):
     rows, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
-    english, others = rows.where("lang = 'en'"), rows.where("lang <> 'en'")
+    english, others = rows.where("lang = 'en'"), rows.where("not lang <=> 'en'")
     lists = {"english": search.bm25(english, queries, 5, key="doc_id", query_key="item_id"), "others": search.bm25(others, queries, 5, key="doc_id", query_key="item_id")}
     return search.federated(lists, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "library", "id", F.round("score", 9).alias("score"))
 
@@ -300,17 +306,7 @@ def breadcrumb_migration(spark, d):
     return store.with_breadcrumbs(rows).select("doc_id", "breadcrumb", F.md5("content").alias("digest"))
 
 
-# Entities. The vocabulary of the tests: the most frequent words of six letters and more.
-
-
-def vocabulary(spark, d):
-    words = search.terms(table(spark, d, "documents"), "doc_id").where(F.length("term") >= 6).groupBy("term").agg(F.count("*").alias("df"))
-    return words.orderBy(F.desc("df"), "term").limit(60).select(F.col("term").alias("surface"), F.concat(F.lit("ent_"), "term").alias("entity_id"))
-
-
-def matched(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
-    return entities.match(rows, vocabulary(spark, d))
+# Entities. The vocabulary: every word of six letters and more that stands in at least a fiftieth of the documents.
 
 
 def _kept(spark, df, name):
@@ -320,6 +316,20 @@ def _kept(spark, df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def vocabulary(spark, d):
+    docs = table(spark, d, "documents")
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z][a-z0-9]*"), F.lit(0)))
+    words = docs.select("doc_id", F.explode(F.filter(tokens, lambda t: F.length(t) >= 6)).alias("term"))
+    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
+    common = words.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).crossJoin(n).where("50 * df >= n")
+    return _kept(spark, common.select(F.col("term").alias("surface"), F.concat(F.lit("ent_"), "term").alias("entity_id"), (F.col("df") / F.col("n")).alias("share")), "vocabulary")
+
+
+def matched(spark, d, words=None):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    return entities.match(rows, vocabulary(spark, d) if words is None else words)
+
+
 @query
 def vocab_match(spark, d):
     return matched(spark, d).select("chunk_id", "entity_id", F.col("frequency").cast("long").alias("frequency"), F.element_at("positions", 1).cast("long").alias("first"), F.element_at("positions", -1).cast("long").alias("last"))
@@ -341,11 +351,11 @@ def entity_topn(spark, d):
 
 @query
 def merge_matches_overlap(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
-    own = matched(spark, d).select("chunk_id", "entity_id", F.inline("spans"))
-    short = vocabulary(spark, d).select(F.col("surface"), F.concat(F.lit("gen_"), "surface").alias("entity_id")).where("length(surface) <= 7 or surface like 't%'")
-    generic = entities.match(rows, short).select("chunk_id", "entity_id", F.inline("spans"))
-    return entities.merged(own.where("entity_id < 'ent_n'"), generic).select("chunk_id", "entity_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    """Words of a twenty-fifth of the documents are the vocabulary, all of them the other matcher's."""
+    words = vocabulary(spark, d)
+    generic = matched(spark, d, words.select("surface", F.concat(F.lit("gen_"), "surface").alias("entity_id"))).select("chunk_id", "entity_id", F.inline("spans"))
+    own = matched(spark, d, words.where("share >= 0.04")).select("chunk_id", "entity_id", F.inline("spans"))
+    return entities.merged(own, generic).select("chunk_id", "entity_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
 
 
 @query
@@ -355,8 +365,8 @@ def entity_scores_after_removal(spark, d):
     return own.without(docs.where("source = 'src1'"), docs.where("source <> 'src1' or source is null").count()).scored.select("chunk_id", "entity_id", "df", F.round("score", 6).alias("score"))
 
 
-def _pairs(spark, d):
-    return entities.cooccurrence(_kept(spark, matched(spark, d), "matches"), table(spark, d, "documents").count())
+def _pairs(spark, d, words=None):
+    return entities.cooccurrence(_kept(spark, matched(spark, d, words), "matches"), table(spark, d, "documents").count())
 
 
 @query
@@ -365,8 +375,9 @@ def cooccurrence(spark, d):
 
 
 def _clustered(spark, d):
-    pairs = _kept(spark, _pairs(spark, d), "pairs")
-    nodes = vocabulary(spark, d).select("entity_id")
+    words = vocabulary(spark, d)
+    pairs = _kept(spark, _pairs(spark, d, words), "pairs")
+    nodes = words.select("entity_id")
     return pairs, _kept(spark, entities.dbscan(entities.distances(pairs, "jaccard"), nodes, 0.6, folder=folder(spark, "dbscan")), "clusters")
 
 
@@ -388,12 +399,14 @@ def cluster_neighbors(spark, d):
 
 @query
 def cluster_agglomerative(spark, d):
-    return entities.average_linkage(entities.distances(_pairs(spark, d), "jaccard"), vocabulary(spark, d).select("entity_id"), 0.7, folder=folder(spark, "linkage"))
+    words = vocabulary(spark, d)
+    return entities.average_linkage(entities.distances(_kept(spark, _pairs(spark, d, words), "pairs"), "jaccard"), words.select("entity_id"), 0.7, folder=folder(spark, "linkage"))
 
 
 @query
 def cluster_modularity(spark, d):
-    return entities.modularity(_pairs(spark, d), vocabulary(spark, d).select("entity_id"), folder=folder(spark, "modularity"))
+    words = vocabulary(spark, d)
+    return entities.modularity(_kept(spark, _pairs(spark, d, words), "pairs"), words.select("entity_id"), folder=folder(spark, "modularity"))
 
 
 # Cohorts: chunks of all documents; the queries are the first chunks of every fiftieth document.
@@ -405,10 +418,11 @@ def _prepared(spark, d):
     vectors = _kept(spark, search.hashed_vectors(chunks, "chunk_id", "content"), "vectors")
     number = F.regexp_extract("chunk_id", r"^doc_(-?\d+)_0$", 1)
     queries = vectors.where(number != "").select(number.cast("long").alias("query_id"), "embedding").where("query_id % 50 = 0")
-    matches = _kept(spark, entities.match(chunks, vocabulary(spark, d)), "matches")
-    scored = _kept(spark, entities.associations(matches, chunks.count()), "scored")
-    pairs = _kept(spark, entities.cooccurrence(matches, chunks.count()), "pairs")
-    clusters = _kept(spark, entities.dbscan(entities.distances(pairs, "jaccard"), vocabulary(spark, d).select("entity_id"), 0.6, folder=folder(spark, "dbscan")), "clusters")
+    words, n_chunks = vocabulary(spark, d), chunks.count()
+    matches = _kept(spark, entities.match(chunks, words), "matches")
+    scored = _kept(spark, entities.associations(matches, n_chunks), "scored")
+    pairs = _kept(spark, entities.cooccurrence(matches, n_chunks), "pairs")
+    clusters = _kept(spark, entities.dbscan(entities.distances(pairs, "jaccard"), words.select("entity_id"), 0.6, folder=folder(spark, "dbscan")), "clusters")
     ids = chunks.select("chunk_id", F.xxhash64("chunk_id").alias("n"))
     found = search.nearest(vectors.join(ids, "chunk_id").select("n", "embedding"), queries, 15, key="n", query_key="query_id")
     seeds = _kept(spark, found.join(ids, found.id == ids.n).select("query_id", "rank", F.col("chunk_id").alias("id"), "score"), "seeds")
