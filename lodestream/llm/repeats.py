@@ -252,7 +252,50 @@ def _rows(name: str, parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-ROWS = "bucket int, block string, kind int, data binary"
+#: Messages of one task to one slot lie in one row. Their number is that of the shuffle's own segments.
+MESSAGES = "slot int, entries array<struct<bucket: int, block: string, kind: int, data: binary>>"
+#: Bytes of messages that a task holds before it sends them.
+HELD = 32 << 20
+
+
+def block_slot(name: str, n: int) -> int:
+    """The partition of a block; consecutive blocks of one task and blocks of consecutive tasks lie in different ones."""
+    part, piece = name.split("-")
+    return (5 * int(part) + int(piece)) % n
+
+
+def _addressed(tables: list[pa.Table], slot_of: Callable[[pa.Table], np.ndarray]) -> pa.RecordBatch:
+    table = pa.concat_tables(tables)
+    slots = slot_of(table).astype(np.int32)
+    order = np.argsort(slots, kind="stable")
+    values, first = np.unique(slots[order], return_index=True)
+    own = table.take(pa.array(order)).combine_chunks().to_batches()[0]
+    entries = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.StructArray.from_arrays(own.columns, names=own.schema.names))
+    return pa.RecordBatch.from_arrays([pa.array(values), entries], ["slot", "entries"])
+
+
+def sent(tables: Iterator[pa.Table], slot_of: Callable[[pa.Table], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """MESSAGES of tables of (bucket, block, kind, data)."""
+    held: list[pa.Table] = []
+    size = 0
+    for table in tables:
+        held.append(table)
+        size += table.nbytes
+        if size >= HELD:
+            yield _addressed(held, slot_of)
+            held, size = [], 0
+    if held:
+        yield _addressed(held, slot_of)
+
+
+def received(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The messages of one partition by bucket or by block."""
+    held = [pa.Table.from_batches([pa.RecordBatch.from_struct_array(b.column("entries").flatten())]) for b in batches if b.num_rows]
+    if held:
+        table = pa.concat_tables(held)
+        values = table[key].combine_chunks().dictionary_encode()
+        for i in range(len(values.dictionary)):
+            yield table.filter(pc.equal(values.indices, i)).combine_chunks()
 
 
 def _save(folder: str, name: str, **arrays) -> None:
@@ -283,8 +326,8 @@ def _bounds(values: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(values, np.arange(buckets + 1))
 
 
-def _blocks(spec: Spec, folder: str, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(spec: Spec, folder: str, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Table]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         part = TaskContext.get().partitionId()
         for piece, table in enumerate(gathered(batches, "text", spec.block_bytes)):
             name = f"{part:06d}-{piece:05d}"
@@ -299,11 +342,11 @@ def _blocks(spec: Spec, folder: str, buckets: int) -> Callable[[Iterator[pa.Reco
             _save(folder, name, rows=_ipc(table))
             _save(folder, f"{name}-anchors", at=at.astype(np.uint32 if block.n < 1 << 32 else np.int64), new_key=np.packbits(new_key), new_entry=np.packbits(new_entry))
             keys = key[new_key]
-            counts = np.minimum(np.add.reduceat(new_entry, np.flatnonzero(new_key)), 255).astype(np.uint8) if len(key) else np.zeros(0, np.uint8)
+            counts = np.minimum(np.add.reduceat(new_entry, np.flatnonzero(new_key)), 65535).astype(np.uint16) if len(key) else np.zeros(0, np.uint16)
             bounds = _bounds(bucket_of(keys, buckets), buckets)
             prints = keys >> U(16)
             parts = [(i, 0, squeeze(np.diff(prints[a:b], prepend=U(0)).tobytes() + counts[a:b].tobytes())) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-            out = _rows(name, parts or [(xxhash.xxh32_intdigest(name) % buckets, 0, squeeze(b""))])
+            out = pa.Table.from_batches([_rows(name, parts or [(xxhash.xxh32_intdigest(name) % buckets, 0, squeeze(b""))])])
             del block, at, key, around, ids, order, table
             trim()
             yield out
@@ -318,9 +361,9 @@ def _repeated(table: pa.Table) -> pa.Table:
     prints, counts = [], []
     for data in datas:
         data = loosen(data)
-        n = len(data) // 9
+        n = len(data) // 10
         prints.append(np.cumsum(np.frombuffer(data, np.uint64, n), dtype=np.uint64))
-        counts.append(np.frombuffer(data, np.uint8, n, 8 * n))
+        counts.append(np.frombuffer(data, np.uint16, n, 8 * n))
     joined = np.concatenate(prints)
     values, inverse, times = np.unique(joined, return_inverse=True, return_counts=True)
     total = np.bincount(inverse, np.concatenate(counts), minlength=len(values))
@@ -511,16 +554,26 @@ def repeats(docs: DataFrame, spec: Spec, finish: Callable[[pa.Table, Block, np.n
     folder = scratch(spark, spec.name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def trimmed(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
-        def run(table: pa.Table) -> pa.Table:
-            out = work(table)
-            trim()
-            return out
+    def to_bucket(table: pa.Table) -> np.ndarray:
+        return table["bucket"].to_numpy()
+
+    def to_block(table: pa.Table) -> np.ndarray:
+        names = table["block"].combine_chunks().dictionary_encode()
+        return np.array([block_slot(x, n) for x in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()]
 
-        return run
+    def each(work: Callable[[pa.Table], pa.Table], batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+        for table in received(batches, key):
+            yield work(table)
+            trim()
 
-    first = docs.mapInArrow(_blocks(spec, folder, n), ROWS)
-    told = first.repartition(n, "bucket").groupBy("bucket").applyInArrow(trimmed(_repeated), ROWS)
-    sent = told.repartition(n, "block").groupBy("block").applyInArrow(trimmed(_surroundings(spec, folder, n)), ROWS)
-    resolved = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(trimmed(_resolved(spec)), ROWS)
-    return resolved.repartition(n, "block").groupBy("block").applyInArrow(trimmed(_applied(spec, folder, finish)), schema)
+    def hop(messages: DataFrame, work: Callable[[pa.Table], pa.Table], key: str, slot_of: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+        return messages.repartitionById(n, "slot").mapInArrow(lambda batches: sent(each(work, batches, key), slot_of), MESSAGES)
+
+    blocks = _blocks(spec, folder, n)
+    first = docs.mapInArrow(lambda batches: sent(blocks(batches), to_bucket), MESSAGES)
+    told = hop(first, _repeated, "bucket", to_block)
+    around = hop(told, _surroundings(spec, folder, n), "block", to_bucket)
+    resolved = hop(around, _resolved(spec), "bucket", to_block)
+    work = _applied(spec, folder, finish)
+    last = resolved.repartitionById(n, "slot")
+    return last.mapInArrow(lambda batches: (b for t in each(work, batches, "block") for b in t.to_batches()), schema)

@@ -9,7 +9,8 @@ front of their groups. No names are given and nothing recurs.
 `dedup` removes each byte that a `length`-byte string covers which also starts in a document with a smaller doc_id
 (`lodestream.llm.repeats` says how the places are found). Strings are judged on the input; matches do not cross
 documents. Null texts count as empty. What is left of a text may be cut within a character: `op6` digests the bytes,
-`deduplicated` drops the rest of such a character. Rows with a null doc_id are returned as they are.
+`deduplicated` drops the rest of such a character. Very long texts are one block of their own size. Rows with a null
+doc_id are returned as they are; repeated rows and rows with one doc_id are one document, which removes nothing from itself.
 """
 
 from __future__ import annotations

@@ -152,3 +152,40 @@ def test_window_classes(seed):
             assert seen.setdefault(int(cls[at + i]), t[i : i + 3]) == t[i : i + 3]
         at += len(t) + 1
     assert len(seen) == len({t[i : i + 3] for t in texts for i in range(len(t) - 2)})
+
+
+@pytest.mark.parametrize("group", [4096, 3])
+@pytest.mark.parametrize("seed", range(4))
+def test_maximal_repeats(seed, group, monkeypatch):
+    """Against all repeats of all lengths: one is maximal if its places differ in the word before and in the word behind."""
+    monkeypatch.setattr(suffix_tree, "GROUP", group)
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 4, 30)
+    sequences = [np.concatenate([rng.integers(1, 4, rng.integers(0, 6)), base[rng.integers(0, 10) : rng.integers(12, 30)], rng.integers(1, 4, rng.integers(0, 6))]).astype(np.uint64) for _ in range(9)]
+    sequences += [sequences[0].copy(), np.full(20, 7, np.uint64), np.zeros(0, np.uint64)]
+    length = 5
+    places = {}
+    for i, s in enumerate(sequences):
+        for a in range(len(s)):
+            for b in range(a + length, len(s) + 1):
+                places.setdefault(tuple(s[a:b].tolist()), []).append((i, a))
+    expected = []
+    for words, at in places.items():
+        before = {int(sequences[i][a - 1]) if a else (i, a) for i, a in at}
+        behind = {int(sequences[i][a + len(words)]) if a + len(words) < len(sequences[i]) else (i, a) for i, a in at}
+        if len(at) > 1 and len(before) > 1 and len(behind) > 1:
+            expected.append((words, sorted(at)))
+    assert sorted(suffix_tree.maximal_repeats(sequences, length)) == sorted(expected)
+
+
+def test_messages_lie_in_one_row_for_a_slot():
+    import pyarrow as pa
+
+    names = [f"{part:06d}-{piece:05d}" for part in range(32) for piece in range(4)]
+    held = np.bincount([repeats.block_slot(x, 51) for x in names], minlength=51)
+    assert held.max() <= 4 and held.min() >= 1
+    tables = [pa.Table.from_batches([repeats._rows(x, [(i, 0, b"x" * i) for i in range(7)])]) for x in names]
+    rows = list(repeats.sent(iter(tables), lambda t: t["bucket"].to_numpy()))
+    assert sum(b.num_rows for b in rows) == 7
+    back = list(repeats.received(iter(rows), "block"))
+    assert sorted(t["block"][0].as_py() for t in back) == names and all(t.num_rows == 7 for t in back)
