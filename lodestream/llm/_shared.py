@@ -54,6 +54,13 @@ def get_file(uri: str) -> bytes:
         return source.read()
 
 
+def ranged(uri: str) -> Callable[[int, int], bytes]:
+    """Reads of (place, size) from a file that stays open."""
+    system, path = _open(uri)
+    source = system.open_input_file(path)
+    return lambda at, n: source.read_at(n, at)
+
+
 def trim() -> None:
     """Give memory that arrays have freed back to the system; workers live on and share the executor's limit."""
     pa.default_memory_pool().release_unused()

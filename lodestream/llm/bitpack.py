@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, written
+from lodestream.llm._shared import gathered, put_file, ranged, scratch, small_batches, written
 from lodestream.llm._tokens import encoder, table_path, with_end
 
 HEAD = struct.Struct("<4sHHIQQQ")
@@ -78,28 +78,34 @@ def build(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, bits:
 
 
 class PackedFile:
-    """Random access to the ids of one file."""
+    """Random access to the ids of one file: its bytes, or its path, of which only the index and the blocks asked for are read."""
 
-    def __init__(self, data: bytes):
-        magic, version, self.bits, self.block, n, self.n_ids, blocks = HEAD.unpack_from(data)
+    def __init__(self, source: bytes | str):
+        self.read_at = ranged(source) if isinstance(source, str) else lambda at, n: source[at : at + n]
+        magic, version, self.bits, self.block, n, self.n_ids, blocks = HEAD.unpack(self.read_at(0, HEAD.size))
         if magic != b"LDBP" or version != 1:
             raise ValueError("not a token-id file of version 1")
-        at = HEAD.size
-        self.doc_ids = np.frombuffer(data, "<i8", n, at)
-        self.nulls = np.frombuffer(data, np.uint8, n, at + 8 * n).astype(bool)
-        self.counts = np.frombuffer(data, "<u8", n, at + 9 * n).astype(np.int64)
-        self.places = np.frombuffer(data, "<u8", blocks + 1, at + 17 * n).astype(np.int64)
-        self.data = memoryview(data)[at + 17 * n + 8 * (blocks + 1) :]
+        self.body = HEAD.size + 17 * n + 8 * (blocks + 1)
+        index = self.read_at(HEAD.size, self.body - HEAD.size)
+        self.doc_ids = np.frombuffer(index, "<i8", n)
+        self.nulls = np.frombuffer(index, np.uint8, n, 8 * n).astype(bool)
+        self.counts = np.frombuffer(index, "<u8", n, 9 * n).astype(np.int64)
+        self.places = np.frombuffer(index, "<u8", blocks + 1, 17 * n).astype(np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.counts)))
 
+    @property
+    def data(self) -> bytes:
+        """All blocks."""
+        return self.read_at(self.body, int(self.places[-1]))
+
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids from `first` up to `last`, reading only their blocks."""
         if first >= last:
             return np.zeros(0, np.uint32)
         low, high = first // self.block, (last - 1) // self.block
         held = min((high + 1) * self.block, self.n_ids) - low * self.block
-        ids = unpack(self.data[self.places[low] : self.places[high + 1]], self.bits, held)
-        return ids[first - low * self.block : last - low * self.block]
+        data = self.read_at(self.body + int(self.places[low]), int(self.places[high + 1] - self.places[low]))
+        return unpack(data, self.bits, held)[first - low * self.block : last - low * self.block]
 
 
 MANIFEST = "part int, piece int, file string, n_docs long, n_tokens long"
@@ -129,15 +135,17 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
 def read(manifest: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32."""
     spark = manifest.sparkSession
-    # One row per file, so one task can hold the running sum.
-    base = F.sum("n_tokens").over(Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.withColumn("base", F.coalesce(base, F.lit(0))).select("file", "base")
+    # Running sums within the parts of the write, and over the parts: a row for each of its partitions in one task.
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("first"))
+    within = manifest.withColumn("base", before(Window.partitionBy("part").orderBy("piece")))
+    files = within.join(parts, "part").select("file", (F.col("first") + F.col("base")).alias("base"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch["file"].to_pylist(), batch["base"].to_pylist(), strict=True):
-                packed = PackedFile(get_file(name))
+                packed = PackedFile(name)
                 sums = np.empty(len(packed.counts), np.int64)
                 step = 1 << 20
                 i = 0

@@ -1,7 +1,7 @@
 """WARC archives, one Zstandard frame a record, with a dictionary in a leading skippable frame.
 
-The dictionary is trained once on a bounded sample of the pages (`SAMPLE` of them, none over `SAMPLE_BYTES`, chosen by a
-hash of their id) and stored compressed in the first frame of every file, so a file can be read without anything else.
+The dictionary is trained once on a bounded sample of the pages (`SAMPLE` of them, at most the first `SAMPLE_CHARS`
+characters of each, chosen by a hash of id and html; where that picks none, any) and stored compressed in the first frame of every file, so a file can be read without anything else.
 
 Of pages with equal payloads of at least `min_bytes`, the one with the largest page_id is a response and the others are
 revisits that refer to it; pages with smaller payloads are responses. Null html is an empty payload. A null page_id is
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, written
 
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 32_768, 112_640
+SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 32_768, 112_640
 SKIPPABLE = struct.Struct("<II")
 MAGIC = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
@@ -135,9 +135,11 @@ def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_bytes: int
     small_batches(pages.sparkSession)
     # Every task would send its SAMPLE best pages to the driver, so a hash leaves about twice SAMPLE of all of them first.
     share = min(1.0, 2 * SAMPLE / max(1, pages.count()))
-    small = pages.select("page_id", "html").where(F.octet_length("html") <= SAMPLE_BYTES)
-    picked = small.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000_007)) < int(share * 1_000_000_007)).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE)
-    dictionary = train([record(r.page_id, None, (r.html or "").encode(), None, False) for r in picked.collect()])
+    pieces = pages.select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    hashed = F.xxhash64("page_id", "html")
+    picked = pieces.where(F.pmod(hashed, F.lit(1_000_000_007)) < int(share * 1_000_000_007)).orderBy(hashed, "page_id", "html").limit(SAMPLE).collect()
+    picked = picked or pieces.limit(SAMPLE).collect()
+    dictionary = train([record(r.page_id, None, (r.html or "").encode(), None, False) for r in picked])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

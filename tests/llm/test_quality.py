@@ -93,3 +93,16 @@ def test_archive_files():
 @pytest.mark.parametrize("i", [None, 0, 1, -1, 2**63 - 1, -(2**63), 65536])
 def test_record_ids(i):
     assert warc.page_of(warc.record_id(i)) == i
+
+
+@pytest.mark.parametrize("ids", [range(3000), [None] * 3000, [7] * 3000])
+def test_every_archive_has_a_dictionary(spark, tmp_path, ids):
+    """Also of large pages only, and where all ids are null or equal."""
+    page = "<p>" + "some words that all pages have " * 1500
+    frame = spark.createDataFrame([(i, "http://x/", f"{page}{k}") for k, i in enumerate(ids)][:700], "page_id long, url string, html string").repartition(3)
+    files = warc.write(frame, f"file://{tmp_path}/w").collect()
+    assert sum(r.n_records for r in files) == 700
+    for r in files:
+        data = (tmp_path / "w" / r.file.rsplit("/", 1)[-1]).read_bytes()
+        magic, size = warc.SKIPPABLE.unpack(data[:8])
+        assert magic == warc.MAGIC and size > 0

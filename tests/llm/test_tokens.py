@@ -51,6 +51,23 @@ def test_pack_round_trip(bits):
     assert len(file.data) <= (1000 + 64) * bits / 8
 
 
+def test_only_the_blocks_asked_for_are_read(tmp_path, monkeypatch):
+    ids = np.random.default_rng(0).integers(0, 1 << 13, 100_000, dtype=np.uint64).astype(np.uint32)
+    (tmp_path / "f").write_bytes(bitpack.build([1, 2], np.array([40_000, 60_000]), ids, 13, block=1024))
+    sizes = []
+    real = bitpack.ranged
+
+    def counted(uri):
+        own = real(uri)
+        return lambda at, n: (sizes.append(n), own(at, n))[1]
+
+    monkeypatch.setattr(bitpack, "ranged", counted)
+    file = bitpack.PackedFile(f"file://{tmp_path}/f")
+    sizes.clear()
+    assert (file.ids(50_000, 50_100) == ids[50_000:50_100]).all()
+    assert sizes and sum(sizes) <= 2 * 1024 * 13 / 8
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bitpack.token_files(empty).count() == 0
