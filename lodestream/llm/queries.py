@@ -12,8 +12,8 @@ from lodestream.llm.bpe import op9_bpe
 from lodestream.llm.media import op4_media
 from lodestream.llm.packing import op10_packing
 from lodestream.llm.quality import OP1_SQL, op1_quality
-from lodestream.llm.suffix_array import op6_suffix_array
-from lodestream.llm.suffix_tree import op3_suffix_tree
+from lodestream.llm.suffix_array import OP6_SQL, op6_suffix_array
+from lodestream.llm.suffix_tree import OP3_SQL, op3_suffix_tree
 from lodestream.llm.toxicity import op7_toxicity
 from lodestream.llm.warc import OP8_SQL, op8_warc
 
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {"op1_quality": OP1_SQL, "op5_bagminhash": OP5_SQL, "op8_warc": OP8_SQL}
+ORACLE: dict[str, str] = {"op1_quality": OP1_SQL, "op3_suffix_tree": OP3_SQL, "op5_bagminhash": OP5_SQL, "op6_suffix_array": OP6_SQL, "op8_warc": OP8_SQL}

@@ -265,3 +265,15 @@ def deduplicated(docs: DataFrame, own: Spec | None = None) -> DataFrame:
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Texts as hexadecimal digits, two a byte. Rows with a null doc_id take no part.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT k, doc_id, h, unnest(range(length(h) // 2)) AS i FROM d),
+w AS (SELECT k, i, doc_id > min(doc_id) OVER (PARTITION BY substr(h, 2 * i + 1, 100)) AS again FROM b WHERE 2 * i + 100 <= length(h) AND doc_id IS NOT NULL),
+c AS (SELECT b.k, b.i, substr(h, 2 * i + 1, 2) AS byte, coalesce(bool_or(again) OVER (PARTITION BY b.k ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM b LEFT JOIN w USING (k, i)),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY k ORDER BY i), false) AS rises FROM c),
+a AS (SELECT k, count(*) FILTER (gone) AS n_removed, count(*) FILTER (rises) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY k)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (k)
+"""

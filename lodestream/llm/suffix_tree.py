@@ -213,3 +213,13 @@ def kept_words(docs: DataFrame, own: Spec | None = None) -> DataFrame:
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT k, doc_id, ws, unnest(range(len(ws))) AS i FROM d),
+w AS (SELECT k, i, doc_id > min(doc_id) OVER (PARTITION BY array_to_string(ws[i + 1:i + 50], ' ')) AS again FROM b WHERE i + 50 <= len(ws) AND doc_id IS NOT NULL),
+c AS (SELECT b.k, b.i, ws[i + 1] AS word, coalesce(bool_or(again) OVER (PARTITION BY b.k ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM b LEFT JOIN w USING (k, i)),
+a AS (SELECT k, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (k)
+"""
