@@ -78,6 +78,12 @@ def merged(vocabulary: DataFrame, generic: DataFrame) -> DataFrame:
     return vocabulary.unionByName(g.join(v, overlap, "left_anti")).groupBy("chunk_id", "entity_id", "s").agg(F.max("e").alias("e"))
 
 
+def merged_matches(vocabulary: DataFrame, generic: DataFrame) -> DataFrame:
+    """Matches (chunk_id, entity_id, frequency, positions) of `merged` spans: frequencies count what is left of each entity in each chunk."""
+    spans = merged(vocabulary, generic).groupBy("chunk_id", "entity_id").agg(F.sort_array(F.collect_list("s")).alias("positions"))  # of one entity in one chunk
+    return spans.select("chunk_id", "entity_id", F.size("positions").alias("frequency"), "positions")
+
+
 def stripped(spans: DataFrame, text: str = "surface", marks: str = " \t\n.,;:!?\"'()[]{}<>*_-–—/\\|") -> DataFrame:
     """Spans without the blanks and punctuation at their ends; nothing left: no row."""
     bare = F.btrim(text, F.lit(marks))
@@ -272,7 +278,12 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return own.select(F.coalesce("id", slug(F.col("name"))).alias("entity_id"), "name", F.coalesce("display_name", "name").alias("display_name"), "type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
 
 
-def found_by(chunks: DataFrame, find: Callable[[str], list[tuple[int, int, str]]], *, labels: frozenset[str] | None = None, numeric: bool = False, key: str = "chunk_id", text: str = "content") -> DataFrame:
+# Labels of the common English recognisers.
+LABELS = frozenset("CARDINAL DATE EVENT FAC GPE LANGUAGE LAW LOC MONEY NORP ORDINAL ORG PERCENT PERSON PRODUCT QUANTITY TIME WORK_OF_ART".split())
+# End of fixed values.
+
+
+def found_by(chunks: DataFrame, find: Callable[[str], list[tuple[int, int, str]]], *, labels: frozenset[str] | None = LABELS, numeric: bool = False, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """Spans (chunk_id, entity_id, surface, label, s, e) of a recogniser: a function of a text that gives (start, end, label).
 
     Ends are stripped of punctuation; spans without letters are left out unless `numeric`; equal slugs are one entity.

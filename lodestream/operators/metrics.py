@@ -82,6 +82,18 @@ def quality_index(scores: DataFrame, *, category: str = "category") -> DataFrame
     return per.unionByName(total)
 
 
+def cumulative(rows: DataFrame, scales: list[int], *, key: str) -> DataFrame:
+    """`rows` with ``scale``, the least of `scales` whose sample has them; a larger sample holds the smaller ones. Rows beyond all are left out.
+
+    The order is that of a hash of the key, so samples are the same in every run.
+    """
+    sizes = sorted(scales)
+    first = rows.orderBy(F.xxhash64(key), key).limit(sizes[-1])  # a top-k of each task
+    place = F.row_number().over(Window.orderBy(F.xxhash64(key), key))
+    scale = F.coalesce(*[F.when(F.col("_place") <= n, F.lit(n)) for n in sizes])
+    return first.withColumn("_place", place).withColumn("scale", scale).drop("_place")
+
+
 def stratified(rows: DataFrame, n: int, *, stratum: str, key: str) -> DataFrame:
     """About n rows in proportion to the strata, one of each at least; the largest stratum takes the remainder."""
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))

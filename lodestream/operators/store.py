@@ -1,13 +1,14 @@
 """The chunk store: a Parquet table of chunks with vectors, and one of entities and their links.
 
-An addition is a folder of its own with the new rows only; a deletion rewrites what stays. A small pointer file in the store
-lists the folders of the current version, so a reader never sees half a write.
+An addition is a folder of its own with the new rows only; a deletion rewrites what stays. A small file for each version lists
+its folders; it is renamed into place when it is whole, so a reader never sees half a write.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,20 +53,42 @@ def entities_of(links: DataFrame, entities: DataFrame, chunk: str | None = None)
     return own.join(entities, "entity_id")
 
 
+@runtime_checkable
+class VectorBackend(Protocol):
+    """What a store of chunks with vectors does; `Store` is one, and others can stand in for it."""
+
+    def add(self, chunks: DataFrame) -> int: ...
+
+    def search(self, query: list[float], limit: int = 5) -> DataFrame: ...
+
+    def hybrid(self, queries: DataFrame, limit: int = 5) -> DataFrame: ...
+
+    def all_chunks(self) -> DataFrame: ...
+
+    def delete_document(self, name: str) -> int: ...
+
+    def clear(self) -> None: ...
+
+    def count(self) -> int: ...
+
+
 class Versions:
-    """Rows at a path that Spark can write, as folders; a pointer file lists those of the current version."""
+    """Rows at a path that Spark can write, as folders; the file with the highest number lists those of the current version."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, *, read_only: bool = False):
         self.spark, self.path, self.schema, self.read_only = spark, path.rstrip("/"), schema, read_only
         self.names = [c.split()[0] for c in schema.split(", ")]
 
-    def _pointer(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _versions(self):
+        """(file system, folder, numbers of the versions)."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return fs, folder, sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
 
     def parts(self) -> list[str]:
-        path, fs = self._pointer()
-        return json.loads(self.spark.read.text(str(path), wholetext=True).first()[0]) if fs.exists(path) else []
+        _, folder, numbers = self._versions()
+        return json.loads(self.spark.read.text(f"{folder}/{numbers[-1]:012d}.json", wholetext=True).first()[0]) if numbers else []
 
     def rows(self) -> DataFrame:
         parts = self.parts()
@@ -79,12 +102,17 @@ class Versions:
             raise PermissionError("the store is read-only")
         part = f"part-{uuid.uuid4().hex}"
         rows.select(*self.names).write.parquet(f"{self.path}/{part}")
-        path, fs = self._pointer()
-        out = fs.create(path, True)
+        fs, folder, numbers = self._versions()
+        # A version has a number, and its file gets its name when it is whole; the highest number counts.
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        own = Path(f"{folder}/.{part}")
+        out = fs.create(own, True)
         try:
             out.write(bytearray(json.dumps([*kept, part]).encode()))
         finally:
             out.close()
+        if not fs.rename(own, Path(f"{folder}/{(numbers[-1] if numbers else 0) + 1:012d}.json")):
+            raise OSError("another writer has published this version")
 
     def append(self, rows: DataFrame) -> None:
         self.publish(rows, self.parts())

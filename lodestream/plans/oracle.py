@@ -43,6 +43,48 @@ def _bm25_of(name: str, rows: str) -> str:
 _LINES = "lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
 _KIND = r"""CASE WHEN trim(line) = '' THEN 'blank' WHEN length(line) - length(replace(line, '|', '')) >= 2 THEN 'table'
   WHEN regexp_matches(line, '^\s*([-*+] |[0-9]{1,4}\. )') THEN 'list' ELSE 'prose' END"""
+def _chunks(name: str, most: int, ceiling: int, crumb: str) -> str:
+    """The chunks of documents without headings and blank lines, as table `name`; both folds step through paragraphs and through their parts."""
+    n = name
+    return rf"""
+{n}_f AS (
+  SELECT doc_id, p, CASE WHEN length(para) <= {ceiling} THEN length(para) ELSE 0 END AS held, p AS first, length(para) > {ceiling} AS alone FROM paras WHERE p = 1
+  UNION ALL
+  SELECT b.doc_id, b.p, CASE WHEN fits THEN grown ELSE 0 END, CASE WHEN fits AND f.held > 0 THEN f.first ELSE b.p END, NOT fits
+  FROM {n}_f f JOIN paras b ON b.doc_id = f.doc_id AND b.p = f.p + 1, LATERAL (SELECT f.held + CASE WHEN f.held > 0 THEN 1 ELSE 0 END + length(b.para) AS grown), LATERAL (SELECT grown <= {ceiling} AS fits)
+), {n}_g AS (
+  SELECT f.doc_id, f.first AS p, 0 AS piece, 1 AS pieces, string_agg(para, chr(10) ORDER BY b.p) AS body, 'text' AS block_type FROM {n}_f f JOIN paras b USING (doc_id, p) WHERE NOT alone GROUP BY f.doc_id, f.first
+), {n}_t AS (
+  SELECT doc_id, p, kind, ps, unnest(ps) AS part, unnest(range(len(ps))) AS k FROM (
+    SELECT doc_id, p, kind, CASE WHEN length(para) <= {most} THEN [para] WHEN kind = 'prose' THEN string_split(regexp_replace(para, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE string_split(para, chr(10)) END AS ps
+    FROM {n}_f JOIN paras USING (doc_id, p) WHERE alone)
+), {n}_q AS (
+  SELECT doc_id, p, k, length(part) AS n, 0 AS piece FROM {n}_t WHERE k = 0
+  UNION ALL
+  SELECT t.doc_id, t.p, t.k, CASE WHEN q.n + 1 + length(t.part) <= {most} THEN q.n + 1 + length(t.part) ELSE length(t.part) END, q.piece + CASE WHEN q.n + 1 + length(t.part) <= {most} THEN 0 ELSE 1 END
+  FROM {n}_q q JOIN {n}_t t ON t.doc_id = q.doc_id AND t.p = q.p AND t.k = q.k + 1
+), {n}_s AS (
+  SELECT doc_id, p, piece, count(*) OVER (PARTITION BY doc_id, p) AS pieces, body, kind AS block_type FROM (
+    SELECT doc_id, p, piece, kind, CASE WHEN kind = 'prose' THEN string_agg(part, ' ' ORDER BY k) ELSE string_agg(part, chr(10) ORDER BY k) END AS body FROM {n}_q JOIN {n}_t USING (doc_id, p, k) GROUP BY doc_id, p, piece, kind)
+), {n}_m AS (
+  SELECT doc_id, p, piece, block_type, CASE WHEN pieces = 1 THEN body ELSE '[' || mark || ':' || CASE WHEN piece = 0 THEN 'start' ELSE 'cont' END || ']' || chr(10) || body || chr(10) || '[' || mark || ':' || CASE WHEN piece = pieces - 1 THEN 'end' ELSE 'cont' END || ']' END AS body
+  FROM (SELECT *, CASE block_type WHEN 'table' THEN 'TABLE' WHEN 'list' THEN 'LIST' ELSE 'PARA' END AS mark FROM (SELECT * FROM {n}_g UNION ALL SELECT * FROM {n}_s))
+), {n} AS (
+  SELECT m.doc_id, 'doc_' || m.doc_id AS document_name, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.p, piece) - 1 AS chunk_index, block_type, body, {crumb} AS content,
+    CAST(octet_length(encode({crumb})) AS BIGINT) AS source_length, octet_length(encode(substr(text, 1, strpos(text, para) - 1))) AS source_offset
+  FROM {n}_m m JOIN paras b USING (doc_id, p) JOIN documents d ON d.doc_id = m.doc_id
+)"""
+
+
+_CRUMB = "'[doc_' || m.doc_id || ']' || chr(10) || chr(10) || body"
+#: Paragraphs: neighbouring lines of tables and of lists are one.
+_PARAS = f"""
+{_LINES}, ki AS (SELECT doc_id, pos, line, {_KIND} AS kind FROM lines),
+st AS (SELECT *, CASE WHEN kind IN ('table', 'list') AND lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) = kind THEN 0 ELSE 1 END AS starts FROM ki),
+bl AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM st),
+paras AS (SELECT doc_id, any_value(kind) AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS p, trim(string_agg(line, chr(10) ORDER BY pos)) AS para FROM bl WHERE kind <> 'blank' GROUP BY doc_id, block)
+"""
+_STRATEGIES = {"naive_small": (300, 345, "body"), "naive_medium": (800, 919, "body"), "naive_large": (1600, 1840, "body"), "context_small": (300, 345, _CRUMB), "context_medium": (800, 919, _CRUMB), "context_large": (1600, 1840, _CRUMB), "context_wide": (1200, 1380, _CRUMB)}
 _VOCAB = "voc AS (SELECT term, count(DISTINCT id) AS df FROM tok WHERE length(term) >= 6 GROUP BY term HAVING 50 * count(DISTINCT id) >= (SELECT count(*) FROM documents))"
 #: Every run of letters and digits with its place; a match is a run that is in the vocabulary.
 _MATCH = rf"""
@@ -108,6 +150,18 @@ SELECT doc_id, block, any_value(kind) AS kind, count(*) AS n_lines, min(pos) AS
 WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g')), ' ') AS ts FROM documents),
 w AS (SELECT doc_id, ts, unnest(range(0, len(ts), 224)) AS a FROM t WHERE ts[1] <> '')
 SELECT doc_id, a // 224 AS "window", least(256, len(ts) - a) AS n_tokens, md5(array_to_string(ts[a + 1:a + 256], ' ')) AS digest FROM w""",
+    "chunk_documents": f"""
+WITH RECURSIVE {_PARAS}, {_chunks("c", 1200, 1380, _CRUMB)}
+SELECT document_name, chunk_index, CAST(NULL AS VARCHAR) AS section, '[doc_' || doc_id || ']' AS breadcrumb, content, block_type, source_offset, source_length FROM c""",
+    "chunk_size_histogram": f"""
+WITH RECURSIVE {_PARAS}, {_chunks("c", 1200, 1380, _CRUMB)}
+SELECT length(body) // 200 AS size_class, block_type, count(*) AS n, CAST(sum(source_length) AS BIGINT) AS bytes FROM c GROUP BY ALL""",
+    "strategy_matrix": f"""
+WITH RECURSIVE {_PARAS}, {", ".join(_chunks(k, *v) for k, v in _STRATEGIES.items())}
+{" UNION ALL ".join(f"SELECT '{k}' AS strategy, count(*) AS n_chunks, CAST(sum(source_length) AS BIGINT) AS bytes, CAST(max(length(body)) AS BIGINT) AS longest FROM {k}" for k in _STRATEGIES)}""",
+    "json_outline": """
+SELECT event_id, md5(CASE WHEN props IS NULL THEN '' ELSE array_to_string(list_transform(json_keys(props), lambda k: '# ' || k || chr(10) || chr(10) || json_extract_string(props, '$."' || k || '"')), chr(10) || chr(10)) END) AS digest,
+  CAST(NULL AS VARCHAR) AS error FROM events""",
     "enrich_prefix": f"""
 SELECT doc_id, md5('Document: ' || source || chr(10) || CASE WHEN lang <> 'en' THEN 'Section: ' || lang || chr(10) ELSE '' END || chr(10) || {_CONTEXT}) AS digest FROM documents""",
     "enrich_inline": f"SELECT doc_id, md5('[' || source || CASE WHEN lang <> 'en' THEN ' > ' || lang ELSE '' END || '] ' || {_CONTEXT}) AS digest FROM documents",

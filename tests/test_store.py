@@ -158,3 +158,30 @@ def test_cohort(spark, tmp_path):
     assert pooled == {"d0_0": (0, None, None), "d0_1": (1, None, None), "d2_8": (2, "x", None), "d2_7": (3, "y", "x")}
     with pytest.raises(ValueError):
         cohort.CohortOptions(k=0)
+
+
+def test_cumulative_samples_hold_the_smaller(spark):
+    from lodestream.operators import metrics
+
+    got = {r.id: r.scale for r in metrics.cumulative(spark.range(1000), [50, 10, 200], key="id").collect()}
+    assert [sum(v == n for v in got.values()) for n in (10, 50, 200)] == [10, 40, 150]
+    again = {r.id for r in metrics.cumulative(spark.range(1000).repartition(7), [10], key="id").collect()}
+    assert again == {i for i, n in got.items() if n == 10}
+
+
+def test_store_is_a_backend_and_versions_are_whole(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path / "s"), width=2)
+    assert isinstance(own, store.VectorBackend)
+    rows = spark.createDataFrame([("a", 0, "x", [1.0, 0.0]), ("b", 0, "y", [0.0, 1.0])], "document_name string, chunk_index int, content string, embedding array<float>")
+    assert own.add(rows) == 2 and own.delete_document("a") == 1 and own.count() == 1
+    names = sorted(f.name for f in (tmp_path / "s" / "versions").iterdir() if not f.name.startswith("."))
+    assert names == ["000000000001.json", "000000000002.json"]
+
+
+def test_merged_matches_count_what_is_left(spark):
+    from lodestream.operators import entities
+
+    v = spark.createDataFrame([("c", "v", 0, 4)], "chunk_id string, entity_id string, s int, e int")
+    g = spark.createDataFrame([("c", "g", 2, 5), ("c", "g", 9, 12), ("c", "g", 20, 22), ("d", "g", 0, 3)], "chunk_id string, entity_id string, s int, e int")
+    got = {(r.chunk_id, r.entity_id): (r.frequency, r.positions) for r in entities.merged_matches(v, g).collect()}
+    assert got == {("c", "v"): (1, [0]), ("c", "g"): (2, [9, 20]), ("d", "g"): (1, [0])}
