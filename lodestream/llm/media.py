@@ -4,23 +4,17 @@ Images are binary PGM (P5, 8 bits). Each level of a pyramid (`STEP` apart) gives
 within `APART` pixels of, placed between pixels, so their number grows with the area and a crop has those of the whole; the
 intensity centroid of the surrounding disc is the orientation; `BITS` comparisons of smoothed places, turned by it, are the
 descriptor.
-
-A key of a Hamming table is a 16-bit part of a corner's descriptor, the same part of that of one of its `NEIGHBOURS`
-nearest corners, and where that lies and how it is turned as seen from the first: two corners that agree, so that even
-descriptors that many images have make few candidates.
-
-1. Equal files are one node, named by the smallest image_id. Nodes lie in blocks of about `CELL`, as files in the shared
-   folder.
-2. Of each key of the first table the smallest node is compared with the others (a star), if the two share two keys.
-3. Nodes that share a key of any table and are not yet linked are compared too.
-
-Two images are copies if at least `CONSENSUS` matched corners, at most `HAMMING` bits apart, agree on one scale, turn and
-shift. Pairs are dealt by the blocks of their nodes; only ids travel with them. Keys travel packed; a bucket of keys is
-held by one task, and a key that many unlike images share costs the square of their number there.
-
-Null, empty, damaged or tiny images have no corners and are alone unless another file is equal; null images are alone.
-Rows with a null image_id have a null class. Rows with equal ids are one image. Very large images are described one at a
-time. Other columns are ignored.
+Each of the first `TABLES` 24-bit parts of a descriptor is a key of a Hamming table. Two corners that share a key and differ
+in at most `HAMMING` bits are a vote for their images; images with two votes that one transform explains are candidates, and a
+candidate pair is a copy if at least `CONSENSUS` matched corners agree on one scale, turn and shift. Images lie in blocks
+of about `CELL`, as files in the shared folder, and every two blocks meet in one task, which keeps the tables in memory
+and returns one link for each two components that it joins: no pair is shuffled, but the number of tasks grows with
+the square of the number of images. Keys of two corners instead, dealt by shuffles, were tried: they found 0.37 of the copies
+at 0.75 of the size and 0.85 of those turned by 30 degrees, where these find all but 1 of 60.
+
+Equal files are one node, named by the smallest image_id. Null, empty, damaged or tiny images have no corners and are
+alone unless another file is equal; null images are alone. Rows with a null image_id have a null class. Rows with equal
+ids are one image. Other columns are ignored.
 
 The driver's tables hold no images: `rendered` makes an image of each embedding, its 64 numbers taken as the coefficients
 of a texture, with a cropped, a dimmed and a turned copy of the first of every ten. That is a stand-in for data, not a part of the operator.
@@ -28,21 +22,24 @@ of a texture, with a cropped, a dimmed and a turned copy of the first of every t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, trim, whole_groups, written
+from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, whole_groups, written
 from lodestream.llm.bagminhash import components, same_ids
-from lodestream.llm.repeats import MESSAGES, U, _rows, bucket_of, loosen, mix, received, sent, squeeze
 
-BITS, TABLES, NEIGHBOURS, RADIUS = 256, 3, 4, 8
+BITS, TABLES, RADIUS = 256, 10, 8
+#: Levels of the pyramid are this factor apart.
 STEP = 2**0.5
 APART = 2  # pixels of a level
 HAMMING, CONSENSUS = 48, 5
+#: Matches agree if the cosine of the difference of their turns exceeds ALIKE; images are no copies if CHANCE or more such pairs come about by chance.
+ALIKE, CHANCE = 0.85, 1e-8
 #: Images and bytes of features of a block.
 CELL, CELL_BYTES = 4096, 8 << 20
 _RNG = np.random.default_rng(7)
@@ -154,47 +151,6 @@ def features(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return image[order], geometry[order], bits[order]
 
 
-def pair_keys(image: np.ndarray, geometry: np.ndarray, bits: np.ndarray, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, image) of each corner with each of its nearest ones, for each table; `image` ascends from 0."""
-    n = np.bincount(image) if len(image) else np.zeros(0, np.int64)
-    starts = np.cumsum(n) - n
-    order = np.argsort(n, kind="stable")
-    order = order[n[order] > 1]
-    keys, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    parts = bits.view("<u2").astype(np.uint64)
-    low = 0
-    while low < len(order):  # images of about as many corners together
-        high = low + 1
-        while high < len(order) and (high + 1 - low) * int(n[order[high]]) ** 2 <= 1 << 20:
-            high += 1
-        some = order[low:high]
-        low = high
-        m = int(n[some].max())
-        at = starts[some][:, None] + np.minimum(np.arange(m), n[some][:, None] - 1)
-        there = np.arange(m) < n[some][:, None]
-        x, y, scale, angle = (geometry[at][..., k] for k in range(4))
-        step = max(1, (1 << 20) // (len(some) * m))
-        for r in range(0, m, step):
-            rows = slice(r, r + step)
-            dx, dy = x[:, None, :] - x[:, rows, None], y[:, None, :] - y[:, rows, None]
-            far = np.hypot(dx, dy) / scale[:, rows, None]
-            far[~there[:, None, :] | (far <= APART)] = np.inf
-            near = np.argsort(far, axis=2, kind="stable")[:, :, :NEIGHBOURS]
-            of = lambda v, near=near: np.take_along_axis(np.broadcast_to(v[:, None, :], (*near.shape[:2], m)), near, 2)
-            distance = np.take_along_axis(far, near, 2)
-            good = there[:, rows, None] & np.isfinite(distance)
-            place = np.arctan2(np.take_along_axis(dy, near, 2), np.take_along_axis(dx, near, 2)) - angle[:, rows, None]
-            eighth = lambda v: np.floor(v / (np.pi / 4)).astype(np.int64) & 7
-            seen = eighth(place) | eighth(of(angle) - angle[:, rows, None]) << 3
-            seen |= (np.floor(np.log2(np.where(good, distance, 1.0))).astype(np.int64) & 7) << 6
-            seen |= (np.rint(np.log2(of(scale) / scale[:, rows, None])).astype(np.int64) & 7) << 9
-            one, two = np.broadcast_to(at[:, rows, None], near.shape)[good], of(at)[good]
-            for t in range(tables):
-                keys.append(mix(parts[one, t] | parts[two, t] << U(16) | seen[good].astype(np.uint64) << U(32) | U(t << 44)))
-                own.append(image[one])
-    return np.concatenate(keys), np.concatenate(own)
-
-
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in gathered(batches, "image", 4 << 20):
         pixels = [decode(d) for d in table["image"].to_pylist()]
@@ -238,127 +194,122 @@ def _nearest(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """The most matched corners that one similarity transform explains; each side is (geometry, descriptors)."""
+    """The most matched corners that one similarity transform explains, or 0 if so many may do so by chance; each side is (geometry, descriptors)."""
     (ga, da), (gb, db) = a, b
     best, distance, back = _nearest(da, db)
     mutual = (back[best] == np.arange(len(da))) & (distance <= HAMMING)
-    if mutual.sum() < CONSENSUS:
+    n = int(mutual.sum())
+    if n < CONSENSUS:
         return 0
+    sides = np.ptp(gb[:, :2], axis=0)
     ga, gb = ga[mutual], gb[best[mutual]]
     ratio = gb[:, 2] / ga[:, 2]
     turn = gb[:, 3] - ga[:, 3]
     c, s = ratio * np.cos(turn), ratio * np.sin(turn)
-    # Each match proposes a transform; a corner agrees that it carries to within a few pixels.
+    # Each match proposes a transform; a match agrees that has about its turn and scale, and whose corner it carries to within a few pixels.
     tx, ty = gb[:, 0] - (c * ga[:, 0] - s * ga[:, 1]), gb[:, 1] - (s * ga[:, 0] + c * ga[:, 1])
-    most, step = 0, max(1, (1 << 20) // len(ga))
-    for k in range(0, len(ga), step):
+    reach = 9 * np.maximum(1, gb[:, 2]) ** 2
+    most, step = 0, max(1, (1 << 20) // n)
+    for k in range(0, n, step):
         own = np.s_[k : k + step, None]
         x = c[own] * ga[:, 0] - s[own] * ga[:, 1] + tx[own]
         y = s[own] * ga[:, 0] + c[own] * ga[:, 1] + ty[own]
-        near = (x - gb[:, 0]) ** 2 + (y - gb[:, 1]) ** 2 <= 9 * np.maximum(1, gb[:, 2]) ** 2
+        near = (x - gb[:, 0]) ** 2 + (y - gb[:, 1]) ** 2 <= reach
+        near &= (np.cos(turn[own] - turn) > ALIKE) & (np.abs(np.log(ratio[own] / ratio)) < 0.8 * np.log(2))
         most = max(most, int(near.sum(axis=1).max()))
-    return most
+    # Matches that agree with one by chance: a place, a sixth of all turns, about half of the ratios.
+    rate = n * min(0.5, float(np.pi * reach.mean() / max(1.0, sides[0] * sides[1]))) / 12
+    return most if n * _tail(rate, most - 1) < CHANCE else 0
+
+
+def _tail(rate: float, least: int) -> float:
+    """The probability of at least `least` events where `rate` are expected."""
+    term = math.exp(-rate)
+    below = 0.0
+    for k in range(least):
+        below += term
+        term *= rate / (k + 1)
+    if below < 0.999:
+        return 1 - below
+    total = 0.0
+    for k in range(least, least + 60):
+        total += term
+        term *= rate / (k + 1)
+    return total
 
 
 class Block:
-    """Images of one file: nodes in ascending order, and their corners."""
+    """Images of one file: nodes in ascending order, and their corners one behind the other."""
 
     def __init__(self, data: bytes):
         table = pa.ipc.open_stream(data).read_all()
         self.nodes = table["node"].to_numpy()
         self.parts = [_parts(f) for f in table["features"].to_pylist()]
-
-    def of(self, node: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.parts[int(np.searchsorted(self.nodes, node))]
-
-
-def _keyed(tables: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Table]]:
-    """Messages of the keys of nodes (node, label, features), dealt over buckets."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        for table in gathered(batches, "features", 4 << 20):
-            parts = [_parts(f) for f in table["features"].to_pylist()]
-            nodes, labels = table["node"].to_numpy(), table["label"].to_numpy()
-            image = np.repeat(np.arange(len(parts)), [len(d) for _, d in parts])
-            keys, own = pair_keys(image, np.concatenate([g for g, _ in parts]), np.concatenate([d for _, d in parts]), tables)
-            order = np.lexsort((own, keys))
-            keys, own = keys[order], own[order]
-            new = np.append(True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))[: len(keys)]
-            keys, own = keys[new], own[new]
-            bounds = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-            rows = []
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if b > a:
-                    used, place = np.unique(own[a:b], return_inverse=True)
-                    head = np.array([b - a, len(used)], np.int64).tobytes()
-                    rows.append((i, 0, head + squeeze(np.diff(keys[a:b] >> U(16), prepend=U(0)).tobytes() + place.astype(np.uint32).tobytes() + nodes[used].tobytes() + labels[used].tobytes())))
-            yield pa.Table.from_batches([_rows("", rows)])
-            del table, parts, keys, own
-            trim()
-
-    return work
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, node, label) of all messages of a partition, sorted by these."""
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for table in received(batches, "bucket"):
-        for data in table["data"].to_pylist():
-            n, m = np.frombuffer(data, np.int64, 2).tolist()
-            own = loosen(data[16:])
-            place = np.frombuffer(own, np.uint32, n, 8 * n)
-            held = np.frombuffer(own, np.int64, 2 * m, 12 * n)
-            found.append((np.cumsum(np.frombuffer(own, np.uint64, n), dtype=np.uint64), held[:m][place], held[m:][place]))
-    key, node, label = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((node, label, key))
-    return key[order], node[order], label[order]
-
-
-def star_pairs(key: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first node of each key with every other; sorted by key, label and node."""
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    lead = node[first][np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1] if len(key) else node
-    other = lead != node
-    return lead[other], node[other]
-
-
-def cross_pairs(key: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of one key and of two labels; sorted by key, label and node."""
-    new = np.append(True, key[1:] != key[:-1])[: len(key)]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key)) - 1
-    mixed = (label[first] != label[last])[np.cumsum(new) - 1] if len(key) else new
-    key, node, label = key[mixed], node[mixed], label[mixed]
+        self.starts = np.cumsum([0, *(len(d) for _, d in self.parts)])
+        self.image = np.repeat(np.arange(len(self.nodes)), np.diff(self.starts))
+        self.geometry = np.concatenate([g for g, _ in self.parts])
+        bits = np.concatenate([d for _, d in self.parts])
+        self.words = np.ascontiguousarray(bits).view("<u8")
+        self.keys = (bits[:, : 3 * TABLES].reshape(-1, TABLES, 3).astype(np.int32) << np.array([0, 8, 16], np.int32)).sum(axis=2, dtype=np.int32)
+
+
+def candidates(left: Block, right: Block) -> Iterator[tuple[int, int]]:
+    """Places (in `left`, in `right`) of images with two votes that agree; of one block with itself, each two once."""
+    orders = [np.argsort(right.keys[:, t], kind="stable") for t in range(TABLES)]
+    sorts = [right.keys[o, t] for t, o in enumerate(orders)]
+    n = len(right.nodes)
+    step = max(1, (1 << 20) // n)
+    for first in range(0, len(left.nodes), step):
+        last = min(first + step, len(left.nodes))
+        votes: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in range(TABLES):
+            own = np.arange(left.starts[first], left.starts[last])
+            low, high = (np.searchsorted(sorts[t], left.keys[own, t], side) for side in ("left", "right"))
+            sums = np.cumsum(high - low)
+            cuts = np.unique(np.searchsorted(sums, np.arange(0, int(sums[-1]) + (1 << 20), 1 << 20), "left").clip(0, len(own)))
+            for p, q in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                size = (high - low)[p:q]
+                a = np.repeat(own[p:q], size)
+                b = orders[t][np.repeat(low[p:q] - (np.cumsum(size) - size), size) + np.arange(len(a))]
+                near = np.bitwise_count(np.take(left.words, a, 0) ^ np.take(right.words, b, 0)).sum(axis=1, dtype=np.uint16) <= HAMMING
+                if left is right:
+                    near &= left.image[a] < right.image[b]
+                a, b = a[near], b[near]
+                first_shared = (left.keys[a, :t] != right.keys[b, :t]).all(axis=1)  # two corners vote once
+                votes.append((a[first_shared], b[first_shared]))
+        a, b = (np.concatenate(v) for v in zip(*votes, strict=True))
+        for k in _agreeing((left.image[a] - first) * n + right.image[b], left.geometry[a], right.geometry[b]).tolist():
+            yield first + k // n, k % n
+
+
+def _agreeing(pair: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
+    """The pairs that have two votes of about one turn, one of which carries the other's corner to within a few pixels."""
+    order = np.argsort(pair, kind="stable")
+    several = np.zeros(len(order), bool)
+    same = pair[order[1:]] == pair[order[:-1]]
+    several[1:] |= same
+    several[:-1] |= same
+    order = order[several]
+    pair, ga, gb = pair[order], ga[order], gb[order]
+    turn, ratio = gb[:, 3] - ga[:, 3], gb[:, 2] / ga[:, 2]
+    c, s = ratio * np.cos(turn), ratio * np.sin(turn)
+    found = [pair[:0]]
     shift = 1
-    at = np.arange(max(0, len(key) - 1))
-    while len(at := at[at + shift < len(key)]):
-        at = at[key[at] == key[at + shift]]
-        pairs = at[label[at] != label[at + shift]]
-        if len(pairs):
-            yield node[pairs], node[pairs + shift]
+    while len(at := np.flatnonzero(pair[shift:] == pair[:-shift])):
+        good = np.cos(turn[at] - turn[at + shift]) > 0.7
+        at = at[good]
+        good = np.zeros(len(at), bool)
+        for u, v in ((at, at + shift), (at + shift, at)):
+            dx, dy = ga[v, 0] - ga[u, 0], ga[v, 1] - ga[u, 1]
+            x, y = gb[u, 0] + c[u] * dx - s[u] * dy, gb[u, 1] + s[u] * dx + c[u] * dy
+            good |= (x - gb[v, 0]) ** 2 + (y - gb[v, 1]) ** 2 <= 9 * np.maximum(1, gb[v, 2]) ** 2
+        own = np.unique(pair[at[good]])
+        if len(own):
+            found.append(own)
+            rest = own[np.searchsorted(own, pair).clip(0, len(own) - 1)] != pair
+            pair, ga, gb, turn, c, s = pair[rest], ga[rest], gb[rest], turn[rest], c[rest], s[rest]
         shift += 1
-
-
-def _paired(cross: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, n): pairs of nodes and how many keys of the partition they share."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _runs(batches)
-        held: list[np.ndarray] = []
-        for a, b in cross_pairs(*own) if cross else [star_pairs(*own)]:
-            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            if sum(map(len, held)) > 1 << 20:
-                yield counted(held)
-                held = []
-        if held:
-            yield counted(held)
-        trim()
-
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, times = np.unique(np.concatenate(held), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(times)], ["a", "b", "n"])
-
-    return work
+    return np.sort(np.concatenate(found))
 
 
 def _stored(folder: str):
@@ -376,33 +327,27 @@ def _stored(folder: str):
     return work
 
 
-def _verified(folder: str, count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of the pairs (cell, a, b), sorted by cell; of the pairs of a cell that are linked already by others none is compared."""
-
+def _met(folder: str, blocks: list[int]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "cell", "a", 1):
-            cells = table["cell"].to_numpy()
-            for cell in np.unique(cells).tolist():
-                own = table.filter(pa.array(cells == cell))
-                g, h = divmod(cell, count)
-                left = Block(get_file(f"{folder}/block-{g}"))
-                right = left if g == h else Block(get_file(f"{folder}/block-{h}"))
-                above: dict[int, int] = {}
-
-                def top(x: int, above: dict[int, int] = above) -> int:
-                    while (up := above.get(x, x)) != x:
-                        above[x] = above.get(up, up)
-                        x = up
-                    return x
-
-                found = []
-                for a, b, swapped in zip(*(own[c].to_pylist() for c in ("a", "b", "swapped")), strict=True):
-                    x, y = top(a), top(b)
-                    if x != y and agree((right if swapped else left).of(a), (left if swapped else right).of(b)) >= CONSENSUS:
-                        above[max(x, y)] = min(x, y)
-                        found.append((a, b))
+        for batch in batches:
+            for cell in batch["id"].to_pylist():
+                h = int((np.sqrt(8 * cell + 1) - 1) / 2)
+                h += (h + 1) * (h + 2) // 2 <= cell
+                g = cell - h * (h + 1) // 2
+                left = Block(get_file(f"{folder}/block-{blocks[g]}"))
+                right = left if g == h else Block(get_file(f"{folder}/block-{blocks[h]}"))
+                part = np.arange(len(left.nodes) + (0 if g == h else len(right.nodes)))
+                shift = 0 if g == h else len(left.nodes)
+                found: list[tuple[int, int]] = []
+                for i, j in candidates(left, right):
+                    if part[i] == part[shift + j]:
+                        continue
+                    a, b = int(left.nodes[i]), int(right.nodes[j])
+                    sides = (left.parts[i], right.parts[j]) if a <= b else (right.parts[j], left.parts[i])
+                    if agree(*sides) >= CONSENSUS:
+                        part[part == part[shift + j]] = part[i]
+                        found.append((min(a, b), max(a, b)))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-                trim()
 
     return work
 
@@ -413,26 +358,11 @@ def links(nodes: DataFrame, folder: str) -> DataFrame:
     own = nodes.where("features is not null").select("node", "features")
     n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.length("features")), F.lit(0))).first()
     count = max(1, -(-n // CELL), -(-size // CELL_BYTES))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(count))
-    stored = own.withColumn("block", block("node")).repartition(count, "block").sortWithinPartitions("block", "node").mapInArrow(_stored(f"{folder}/blocks"), "block long")
-    written(stored, f"{folder}/stored")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def pairs(labelled: DataFrame, tables: int, least: int, cross: bool) -> DataFrame:
-        keyed = _keyed(tables, parts)
-        messages = labelled.mapInArrow(lambda batches: sent(keyed(batches), lambda t: t["bucket"].to_numpy()), MESSAGES)
-        shared = messages.repartitionById(parts, "slot").mapInArrow(_paired(cross), "a long, b long, n long")
-        return shared.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b")
-
-    def verified(found: DataFrame, name: str) -> DataFrame:
-        low, high = F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))
-        dealt = found.select("a", "b", (low * count + high).alias("cell"), (block("a") > block("b")).alias("swapped"))
-        return written(dealt.repartition(parts, "cell").sortWithinPartitions("cell", "a", "b").mapInArrow(_verified(f"{folder}/blocks", count), "a long, b long"), f"{folder}/{name}")
-
-    first = verified(pairs(own.withColumn("label", F.col("node")), 1, 2, cross=False), "star")
-    labels = components(first, f"{folder}/star-labels")
-    marked = own.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "features")
-    return first.unionByName(verified(pairs(marked, TABLES, 1, cross=True), "links"))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(count)))
+    stored = dealt.repartition(count, "block").sortWithinPartitions("block", "node").mapInArrow(_stored(f"{folder}/blocks"), "block long")
+    blocks = sorted({r.block for r in written(stored, f"{folder}/stored").collect()})  # some may be empty
+    cells = len(blocks) * (len(blocks) + 1) // 2
+    return written(spark.range(0, cells, 1, max(1, min(cells, 5000))).mapInArrow(_met(f"{folder}/blocks", blocks), "a long, b long"), f"{folder}/links")
 
 
 def classes(images: DataFrame) -> DataFrame:

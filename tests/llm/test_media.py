@@ -86,6 +86,34 @@ def test_recall_of_changed_copies(spark, change, least):
     assert sum(found[k] == found[100 + k] for k in agreeing) >= least * len(agreeing)
 
 
+def wave_image(seed, side=96, turn=0.0, scale=1.0, noise=0.0):
+    """A texture drawn at any turn and size about its middle."""
+    rng = np.random.default_rng(seed)
+    waves = zip(rng.uniform(-9, 9, 24), rng.uniform(-9, 9, 24), rng.uniform(0, 6.28, 24), rng.normal(size=24), strict=True)
+    y, x = (np.mgrid[0:side, 0:side] - (side - 1) / 2) / scale
+    u, v = np.cos(turn) * x - np.sin(turn) * y, np.sin(turn) * x + np.cos(turn) * y
+    p = 128 + 20 * sum(np.cos(2 * np.pi * (a * u + b * v) / 64 + c) * w for a, b, c, w in waves)
+    return np.clip(np.rint(p + rng.normal(0, noise, p.shape) if noise else p), 0, 255).astype(np.uint8)
+
+
+CHANGES = {
+    "turned 5": {"turn": np.radians(5)}, "turned 15": {"turn": np.radians(15)}, "turned 30": {"turn": np.radians(30)}, "0.9 as large": {"scale": 0.9},
+    "0.75 as large": {"scale": 0.75}, "1.25 as large": {"scale": 1.25}, "noise": {"noise": 30.0}, "middle half": {},
+}
+
+
+def test_recall_against_the_truth(spark):
+    """Copies that were made, found by classes: at least 0.9 of each change; images that are no copies stay apart."""
+    n = 30
+    rows = [(k, wave_image(k)) for k in range(n)]
+    for c, (name, own) in enumerate(CHANGES.items(), 1):
+        rows += [(1000 * c + k, wave_image(k)[24:72, 24:72] if name == "middle half" else wave_image(k, **own)) for k in range(n)]
+    got = {r.image_id: r.class_id for r in media.classes(spark.createDataFrame([(i, bytearray(media.pgm(p))) for i, p in rows], "image_id long, image binary").repartition(4)).collect()}
+    found = {name: sum(got[1000 * c + k] == got[k] for k in range(n)) / n for c, name in enumerate(CHANGES, 1)}
+    assert min(found.values()) >= 0.9, found
+    assert len({got[k] for k in range(n)}) == n
+
+
 def test_small_crops_of_large_images():
     rng = np.random.default_rng(5)
     for _ in range(2):
