@@ -403,11 +403,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     counted = own.join(known, own.doc_id == known._id, "left").select("text", "_toxic", picked_too.alias("_picked")).mapInArrow(count, "mask long, y long, n long, features array<long>")
     counted = written(counted, scratch(spark, "votes"))
-    histogram = counted.where("features is null").groupBy("mask", "y").agg(F.sum("n").alias("n")).orderBy("mask", "y").collect()  # 3 x 2 ** VOTERS rows at most
-    sample = counted.where("features is not null").orderBy("mask", "y", "features").collect()  # LABELLED rows, and about UNLABELLED
+    histogram = counted.where("features is null").groupBy("mask", "y").agg(F.sum("n").alias("n")).collect()  # 3 x 2 ** VOTERS rows at most
+    sample = counted.where("features is not null").collect()  # LABELLED rows, and about UNLABELLED
     if not histogram or not sample:
         return Model(voters)
-    return fitted(voters, index, prior, histogram, sample)
+    # In one order whatever tasks came first, so that sums and weights are the same in every run.
+    return fitted(voters, index, prior, sorted(tuple(r) for r in histogram), sorted(tuple(r) for r in sample))
 
 
 def fitted(voters: list[list[str]], index: dict[str, int], prior: float, histogram: list[tuple], sample: list[tuple]) -> Model:
