@@ -4,12 +4,12 @@ Images are binary PGM (P5, 8 bits). Each level of a pyramid (`STEP` apart) gives
 within `APART` pixels of, placed between pixels, so their number grows with the area and a crop has those of the whole; the
 intensity centroid of the surrounding disc is the orientation; `BITS` comparisons of smoothed places, turned by it, are the
 descriptor.
-Each of the first `TABLES` 24-bit parts of a descriptor is a key of a Hamming table. Two corners that share a key and differ
+Each of `TABLES` random choices of `KEY` bits of a descriptor is a key of a Hamming table. Two corners that share a key and differ
 in at most `HAMMING` bits are a vote for their images; images with two votes that one transform explains are candidates, and a
 candidate pair is a copy if at least `CONSENSUS` matched corners agree on one scale, turn and shift. Images lie in blocks
 of about `CELL`, as files in the shared folder, and every two blocks meet in one task, which keeps the tables in memory
 and returns one link for each two components that it joins: no pair is shuffled, but the number of tasks grows with
-the square of the number of images. Keys of two corners instead, dealt by shuffles, were tried: they found 0.37 of the copies
+the square of the number of images. Within a task, images of a component that fills much of a block meet only the others. Keys of two corners instead, dealt by shuffles, were tried: they found 0.37 of the copies
 at 0.75 of the size and 0.85 of those turned by 30 degrees, where these find all but 1 of 60.
 
 Equal files are one node, named by the smallest image_id. Null, empty, damaged or tiny images have no corners and are
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, whole_groups, written
+from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, trim, whole_groups, written
 from lodestream.llm.bagminhash import components, same_ids
 
-BITS, TABLES, RADIUS = 256, 10, 8
+BITS, TABLES, KEY, RADIUS = 256, 32, 40, 8
 #: Levels of the pyramid are this factor apart.
 STEP = 2**0.5
 APART = 2  # pixels of a level
@@ -42,8 +42,11 @@ HAMMING, CONSENSUS = 48, 5
 ALIKE, CHANCE = 0.85, 1e-8
 #: Images and bytes of features of a block.
 CELL, CELL_BYTES = 4096, 8 << 20
+#: Pairs of corners with an equal key that a task counts votes of at once, and of which it compares the bits at once.
+TOGETHER, COMPARED = 4 << 20, 1 << 18
 _RNG = np.random.default_rng(7)
 _TESTS = np.clip(_RNG.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
+_PICKED = np.stack([_RNG.choice(BITS, KEY, replace=False) for _ in range(TABLES)])
 _DISC = np.array([(y, x) for y in range(-RADIUS + 1, RADIUS) for x in range(-RADIUS + 1, RADIUS) if x * x + y * y < RADIUS * RADIUS])
 
 
@@ -239,51 +242,98 @@ def _tail(rate: float, least: int) -> float:
 
 
 class Block:
-    """Images of one file: nodes in ascending order, and their corners one behind the other."""
-
-    def __init__(self, data: bytes):
+    """Images: nodes in ascending order, and their corners one behind the other."""
+
+    def __init__(self, nodes: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]):
+        self.nodes, self.parts = nodes, parts
+        self.starts = np.cumsum([0, *(len(d) for _, d in parts)])
+        self.image = np.repeat(np.arange(len(nodes)), np.diff(self.starts))
+        self.geometry = np.concatenate([g for g, _ in parts]).astype(np.float32)
+        bits = np.ascontiguousarray(np.concatenate([d for _, d in parts]))
+        self.words = bits.view("<u8")
+        self.bits = np.ascontiguousarray(np.unpackbits(bits, axis=1).T)
+
+    @classmethod
+    def stored(cls, data: bytes) -> Block:
         table = pa.ipc.open_stream(data).read_all()
-        self.nodes = table["node"].to_numpy()
-        self.parts = [_parts(f) for f in table["features"].to_pylist()]
-        self.starts = np.cumsum([0, *(len(d) for _, d in self.parts)])
-        self.image = np.repeat(np.arange(len(self.nodes)), np.diff(self.starts))
-        self.geometry = np.concatenate([g for g, _ in self.parts])
-        bits = np.concatenate([d for _, d in self.parts])
-        self.words = np.ascontiguousarray(bits).view("<u8")
-        self.keys = (bits[:, : 3 * TABLES].reshape(-1, TABLES, 3).astype(np.int32) << np.array([0, 8, 16], np.int32)).sum(axis=2, dtype=np.int32)
-
-
-def candidates(left: Block, right: Block) -> Iterator[tuple[int, int]]:
-    """Places (in `left`, in `right`) of images with two votes that agree; of one block with itself, each two once."""
-    orders = [np.argsort(right.keys[:, t], kind="stable") for t in range(TABLES)]
-    sorts = [right.keys[o, t] for t, o in enumerate(orders)]
-    n = len(right.nodes)
-    step = max(1, (1 << 20) // n)
-    for first in range(0, len(left.nodes), step):
-        last = min(first + step, len(left.nodes))
-        votes: list[tuple[np.ndarray, np.ndarray]] = []
+        return cls(table["node"].to_numpy(), [_parts(f) for f in table["features"].to_pylist()])
+
+    def taken(self, images: np.ndarray) -> Block:
+        return Block(self.nodes[images], [self.parts[i] for i in images.tolist()])
+
+    def keys(self, table: int) -> np.ndarray:
+        out = np.zeros((len(self.image), 8), np.uint8)
+        for k in range(0, KEY, 8):
+            for shift, bit in enumerate(_PICKED[table, k : k + 8]):
+                out[:, k // 8] |= self.bits[bit] << shift
+        return out.view("<u8")[:, 0]
+
+
+def _equal_keys(left: Block, right: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each table the order of right corners, and of each left corner the first in that order with its key and how many have it."""
+    orders = np.empty((TABLES, len(right.image)), np.int32)
+    low, size = (np.empty((TABLES, len(left.image)), np.int32) for _ in range(2))
+    for t in range(TABLES):
+        own, other = left.keys(t), right.keys(t)
+        orders[t] = np.argsort(other, kind="stable")
+        other = other[orders[t]]
+        by = np.argsort(own)
+        own = own[by]
+        first = np.searchsorted(other, own, "left")
+        low[t, by], size[t, by] = first, np.searchsorted(other, own, "right") - first
+    return orders, low, size
+
+
+def candidates(left: Block, right: Block, part: np.ndarray, of_left: np.ndarray, of_right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places (in `left`, in `right`) of images with two votes that agree; of one block with itself, each two once.
+
+    part: the component of each image of the task, which the caller changes as pairs are found to be copies; `of_left` and
+    `of_right` are the places there. Images of one component do not vote.
+    """
+    orders, low, size = _equal_keys(left, right)
+    sums = np.cumsum(np.add.reduceat(size.sum(axis=0, dtype=np.int64), left.starts[:-1]))
+    n, corners = len(right.nodes), len(right.image)
+    first = 0
+    while first < len(left.nodes):
+        last = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + TOGETHER, "right")))
+        begin, end = left.starts[first], left.starts[last]
+        votes = []
         for t in range(TABLES):
-            own = np.arange(left.starts[first], left.starts[last])
-            low, high = (np.searchsorted(sorts[t], left.keys[own, t], side) for side in ("left", "right"))
-            sums = np.cumsum(high - low)
-            cuts = np.unique(np.searchsorted(sums, np.arange(0, int(sums[-1]) + (1 << 20), 1 << 20), "left").clip(0, len(own)))
-            for p, q in zip(cuts, [*cuts[1:], len(own)], strict=True):
-                size = (high - low)[p:q]
-                a = np.repeat(own[p:q], size)
-                b = orders[t][np.repeat(low[p:q] - (np.cumsum(size) - size), size) + np.arange(len(a))]
-                near = np.bitwise_count(np.take(left.words, a, 0) ^ np.take(right.words, b, 0)).sum(axis=1, dtype=np.uint16) <= HAMMING
+            ends = np.cumsum(size[t, begin:end], dtype=np.int64)
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), COMPARED), "right"), end - begin))
+            for p, q in zip(cuts[:-1] + begin, cuts[1:] + begin, strict=True):
+                m = size[t, p:q].astype(np.int64)
+                a = np.repeat(np.arange(p, q), m)
+                b = orders[t][np.repeat(low[t, p:q] - (np.cumsum(m) - m), m) + np.arange(len(a))].astype(np.int64)
+                i, j = left.image[a], right.image[b]
+                apart = part[of_left[i]] != part[of_right[j]]
                 if left is right:
-                    near &= left.image[a] < right.image[b]
-                a, b = a[near], b[near]
-                first_shared = (left.keys[a, :t] != right.keys[b, :t]).all(axis=1)  # two corners vote once
-                votes.append((a[first_shared], b[first_shared]))
-        a, b = (np.concatenate(v) for v in zip(*votes, strict=True))
+                    apart &= i < j
+                a, b = a[apart], b[apart]
+                near = np.bitwise_count(np.take(left.words, a, 0) ^ np.take(right.words, b, 0)).sum(axis=1, dtype=np.uint16) <= HAMMING
+                votes.append((a[near] - begin) * corners + b[near])
+        vote = np.sort(np.concatenate([np.zeros(0, np.int64), *votes]))
+        vote = vote[np.append(True, vote[1:] != vote[:-1])[: len(vote)]]  # two corners vote once
+        a, b = vote // corners + begin, vote % corners
         for k in _agreeing((left.image[a] - first) * n + right.image[b], left.geometry[a], right.geometry[b]).tolist():
             yield first + k // n, k % n
+        first = last
+        # Many copies of one image would go on to share all their keys: those to come meet the images outside of their component.
+        large, count = np.unique(part[of_right], return_counts=True)
+        large = large[count.argmax()]
+        inside = np.flatnonzero(part[of_left[first:]] == large) + first
+        if count.max() * 8 >= n and len(inside) * 8 >= len(left.nodes):
+            outside = np.flatnonzero(part[of_right] != large)
+            rest = np.setdiff1d(np.arange(first, len(left.nodes)), inside)
+            for lefts, rights in ((inside, outside), (rest, np.arange(n))):
+                if len(lefts) and len(rights):
+                    for i, j in candidates(left.taken(lefts), right.taken(rights), part, of_left[lefts], of_right[rights]):
+                        yield int(lefts[i]), int(rights[j])
+            return
 
 
 def _agreeing(pair: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
-    """The pairs that have two votes of about one turn, one of which carries the other's corner to within a few pixels."""
+    """The pairs that have two votes of about one turn and scale, one of which carries the other's corner to within a few pixels."""
     order = np.argsort(pair, kind="stable")
     several = np.zeros(len(order), bool)
     same = pair[order[1:]] == pair[order[:-1]]
@@ -296,8 +346,7 @@ def _agreeing(pair: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
     found = [pair[:0]]
     shift = 1
     while len(at := np.flatnonzero(pair[shift:] == pair[:-shift])):
-        good = np.cos(turn[at] - turn[at + shift]) > 0.7
-        at = at[good]
+        at = at[(np.cos(turn[at] - turn[at + shift]) > ALIKE) & (np.abs(np.log(ratio[at] / ratio[at + shift])) < 0.8 * np.log(2))]
         good = np.zeros(len(at), bool)
         for u, v in ((at, at + shift), (at + shift, at)):
             dx, dy = ga[v, 0] - ga[u, 0], ga[v, 1] - ga[u, 1]
@@ -312,6 +361,22 @@ def _agreeing(pair: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(found))
 
 
+def copies(left: Block, right: Block) -> list[tuple[int, int]]:
+    """Links (a, b), a < b, that join the copies among the images of two blocks, or of one with itself."""
+    shift = 0 if left is right else len(left.nodes)
+    part = np.arange(shift + len(right.nodes))
+    found = []
+    for i, j in candidates(left, right, part, np.arange(len(left.nodes)), shift + np.arange(len(right.nodes))):
+        if part[i] == part[shift + j]:
+            continue
+        a, b = int(left.nodes[i]), int(right.nodes[j])
+        sides = (left.parts[i], right.parts[j]) if a <= b else (right.parts[j], left.parts[i])
+        if agree(*sides) >= CONSENSUS:
+            part[part == part[shift + j]] = part[i]
+            found.append((min(a, b), max(a, b)))
+    return found
+
+
 def _stored(folder: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "block", "features", 1):
@@ -334,19 +399,11 @@ def _met(folder: str, blocks: list[int]):
                 h = int((np.sqrt(8 * cell + 1) - 1) / 2)
                 h += (h + 1) * (h + 2) // 2 <= cell
                 g = cell - h * (h + 1) // 2
-                left = Block(get_file(f"{folder}/block-{blocks[g]}"))
-                right = left if g == h else Block(get_file(f"{folder}/block-{blocks[h]}"))
-                part = np.arange(len(left.nodes) + (0 if g == h else len(right.nodes)))
-                shift = 0 if g == h else len(left.nodes)
-                found: list[tuple[int, int]] = []
-                for i, j in candidates(left, right):
-                    if part[i] == part[shift + j]:
-                        continue
-                    a, b = int(left.nodes[i]), int(right.nodes[j])
-                    sides = (left.parts[i], right.parts[j]) if a <= b else (right.parts[j], left.parts[i])
-                    if agree(*sides) >= CONSENSUS:
-                        part[part == part[shift + j]] = part[i]
-                        found.append((min(a, b), max(a, b)))
+                left = Block.stored(get_file(f"{folder}/block-{blocks[g]}"))
+                right = left if g == h else Block.stored(get_file(f"{folder}/block-{blocks[h]}"))
+                found = copies(left, right)
+                del left, right
+                trim()
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     return work

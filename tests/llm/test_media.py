@@ -125,3 +125,28 @@ def test_small_crops_of_large_images():
             crop = media.features(p[None, y : y + 161, x : x + 173])[1:]  # 2.5 % of the area, odd offsets
             assert media.agree(whole, crop) >= media.CONSENSUS
             assert media.agree(crop, whole) >= media.CONSENSUS
+
+
+def test_many_copies_of_one_image(monkeypatch):
+    """A third of a block is one image with noise: its members go on to meet only the others, and classes stay the same."""
+    rng = np.random.default_rng(3)
+    pixels = [np.clip(texture(7) + rng.normal(0, 8, (64, 64)), 0, 255).astype(np.uint8) for _ in range(40)] + [texture(100 + k // 2) for k in range(80)]
+    parts = [media.features(p[None])[1:] for p in pixels]
+    order = rng.permutation(120)
+    blocks = [media.Block(np.sort(own), [parts[k] for k in np.sort(own)]) for own in (order[:60], order[60:])]
+
+    def found():
+        parent = list(range(120))
+        for left, right in ((blocks[0], blocks[0]), (blocks[1], blocks[1]), (blocks[0], blocks[1])):
+            for a, b in media.copies(left, right):
+                assert a < b
+                parent = [parent[a] if p == parent[b] else p for p in parent]
+        return [parent.index(p) for p in parent]
+
+    meetings = []
+    whole = media.Block.taken
+    monkeypatch.setattr(media.Block, "taken", lambda self, images: meetings.append(len(images)) or whole(self, images))
+    expected = [0] * 40 + [40 + k // 2 * 2 for k in range(80)]
+    assert found() == expected and not meetings
+    monkeypatch.setattr(media, "TOGETHER", 1)
+    assert found() == expected and meetings
