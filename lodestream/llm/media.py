@@ -44,6 +44,8 @@ ALIKE, CHANCE = 0.85, 1e-8
 CELL, CELL_BYTES = 4096, 8 << 20
 #: Pairs of corners with an equal key that a task counts votes of at once, and of which it compares the bits at once.
 TOGETHER, COMPARED = 4 << 20, 1 << 18
+#: Distances of corners that are held at once; less than 65,536, because the places of corners share a number with them.
+MATRIX = 32_000
 _RNG = np.random.default_rng(7)
 _TESTS = np.clip(_RNG.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
 _PICKED = np.stack([_RNG.choice(BITS, KEY, replace=False) for _ in range(TABLES)])
@@ -285,7 +287,7 @@ def _equal_keys(left: Block, right: Block) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def candidates(left: Block, right: Block, part: np.ndarray, of_left: np.ndarray, of_right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Places (in `left`, in `right`) of images with two votes that agree; of one block with itself, each two once.
+    """Places (in `left`, in `right`) of images with two votes that agree and that `agree` may accept; of one block with itself, each two once.
 
     part: the component of each image of the task, which the caller changes as pairs are found to be copies; `of_left` and
     `of_right` are the places there. Images of one component do not vote.
@@ -315,8 +317,10 @@ def candidates(left: Block, right: Block, part: np.ndarray, of_left: np.ndarray,
         vote = np.sort(np.concatenate([np.zeros(0, np.int64), *votes]))
         vote = vote[np.append(True, vote[1:] != vote[:-1])[: len(vote)]]  # two corners vote once
         a, b = vote // corners + begin, vote % corners
-        for k in _agreeing((left.image[a] - first) * n + right.image[b], left.geometry[a], right.geometry[b]).tolist():
-            yield first + k // n, k % n
+        pairs = _agreeing((left.image[a] - first) * n + right.image[b], left.geometry[a], right.geometry[b])
+        i, j = first + pairs // n, pairs % n
+        good = _promising(left, right, i, j)
+        yield from zip(i[good].tolist(), j[good].tolist(), strict=True)
         first = last
         # Many copies of one image would go on to share all their keys: those to come meet the images outside of their component.
         large, count = np.unique(part[of_right], return_counts=True)
@@ -377,6 +381,59 @@ def copies(left: Block, right: Block) -> list[tuple[int, int]]:
     return found
 
 
+def _matched(left: Block, i: int, right: Block, js: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in `js`, left corner, right corner): what `agree` matches of image `i` and of each of `js`."""
+    begin, end = left.starts[i], left.starts[i + 1]
+    n = right.starts[js + 1] - right.starts[js]
+    starts = np.cumsum(n) - n
+    b = np.repeat(right.starts[js] - starts, n) + np.arange(int(n.sum()))
+    own, other = left.words[begin:end], np.ascontiguousarray(right.words[b].T)
+    distance = np.zeros((end - begin, len(b)), np.int32)
+    for w in range(BITS // 64):
+        distance += np.bitwise_count(own[:, w, None] ^ other[w])
+    distance <<= 16
+    best = np.minimum.reduceat(distance | np.arange(len(b), dtype=np.int32), starts, axis=1)  # the first of equal ones
+    back = (distance | np.arange(end - begin, dtype=np.int32)[:, None]).min(axis=0) & 0xFFFF
+    mutual = (back[best & 0xFFFF] == np.arange(end - begin)[:, None]) & (best >> 16 <= HAMMING)
+    place, k = np.nonzero(mutual.T)
+    return place, begin + k, b[best[k, place] & 0xFFFF]
+
+
+def _promising(left: Block, right: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of images (`i` ascending) `agree` may accept: `CONSENSUS` of their matches go with one of them. Chance is left to `agree`."""
+    good = np.zeros(len(i), bool)
+    corners = left.starts[i + 1] - left.starts[i], right.starts[j + 1] - right.starts[j]
+    large = corners[0] * corners[1] > MATRIX
+    good[large] = True  # `agree` takes them in pieces
+    rest = np.flatnonzero(~large)
+    if not len(rest):
+        return good
+    cells = np.cumsum(corners[0][rest] * corners[1][rest]) // MATRIX
+    cuts = np.flatnonzero(np.append(True, (np.diff(i[rest]) > 0) | (np.diff(cells) > 0)))
+    found = []
+    for p, q in zip(cuts, [*cuts[1:], len(rest)], strict=True):
+        place, a, b = _matched(left, int(i[rest[p]]), right, j[rest[p:q]])
+        found.append((rest[p + place], a, b))
+    pair, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    swapped = (left.nodes[i] > right.nodes[j])[pair, None]
+    ga, gb = left.geometry[a].astype(np.float64), right.geometry[b].astype(np.float64)
+    ga, gb = np.where(swapped, gb, ga), np.where(swapped, ga, gb)
+    turn, ratio = gb[:, 3] - ga[:, 3], gb[:, 2] / ga[:, 2]
+    c, s = ratio * np.cos(turn), ratio * np.sin(turn)
+    reach = 9 * np.maximum(1, gb[:, 2]) ** 2 + 1e-6  # a little more than `agree` allows, whose sums round otherwise
+    with_it = np.ones(len(pair), np.int64)
+    shift = 1
+    while len(at := np.flatnonzero(pair[shift:] == pair[:-shift])):
+        at = at[(np.cos(turn[at] - turn[at + shift]) > ALIKE - 1e-9) & (np.abs(np.log(ratio[at] / ratio[at + shift])) < 0.8 * np.log(2) + 1e-9)]
+        for u, v in ((at, at + shift), (at + shift, at)):
+            dx, dy = ga[v, 0] - ga[u, 0], ga[v, 1] - ga[u, 1]
+            x, y = gb[u, 0] + c[u] * dx - s[u] * dy, gb[u, 1] + s[u] * dx + c[u] * dy
+            with_it[u] += (x - gb[v, 0]) ** 2 + (y - gb[v, 1]) ** 2 <= reach[v]
+        shift += 1
+    good[pair[with_it >= CONSENSUS]] = True
+    return good
+
+
 def _stored(folder: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "block", "features", 1):
@@ -472,7 +529,8 @@ def rendered(embeddings: DataFrame) -> DataFrame:
     copied = F.pmod("vec_id", F.lit(10)).isin(1, 2, 3)
     source = own.where("pmod(vec_id, 10) = 0").select(F.col("vec_id").alias("_s"), F.col("embedding").alias("_e")).dropDuplicates(["_s"])
     joined = own.join(source, copied & (F.col("vec_id") - F.pmod("vec_id", F.lit(10)) == F.col("_s")), "left")
-    return joined.select("vec_id", F.coalesce("_e", "embedding").alias("source")).mapInArrow(_drawn, "image_id long, image binary")
+    n = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many: tasks must not be joined
+    return joined.select("vec_id", F.coalesce("_e", "embedding").alias("source")).repartition(n).mapInArrow(_drawn, "image_id long, image binary")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

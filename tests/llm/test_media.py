@@ -150,3 +150,18 @@ def test_many_copies_of_one_image(monkeypatch):
     assert found() == expected and not meetings
     monkeypatch.setattr(media, "TOGETHER", 1)
     assert found() == expected and meetings
+
+
+@pytest.mark.parametrize("matrix", [32_000, 3_000])
+def test_screening_loses_no_pair_that_agrees(monkeypatch, matrix):
+    """All pairs of two blocks: what `agree` accepts is promising, whichever side has the smaller id, screened or too large for it."""
+    monkeypatch.setattr(media, "MATRIX", matrix)
+    sides = []
+    for turn, nodes in ((0.0, range(0, 60, 2)), (0.3, range(1, 61, 2))):
+        sides.append(media.Block(np.array(nodes)[:: -1 if turn else 1], [media._parts(g.astype("<f4").tobytes() + b.tobytes()) for _, g, b in (media.features(wave_image(k, 64, turn=turn)[None]) for k in range(30))]))
+    left, right = sides
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(30), indexing="ij"))
+    good = media._promising(left, right, i, j)
+    agreeing = np.array([media.agree(*((left.parts[a], right.parts[b]) if left.nodes[a] <= right.nodes[b] else (right.parts[b], left.parts[a]))) >= media.CONSENSUS for a, b in zip(i, j, strict=True)])
+    assert agreeing.sum() >= 25 and (agreeing <= good).all()
+    assert matrix < 32_000 or good.sum() < 2 * agreeing.sum()
