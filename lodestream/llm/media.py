@@ -43,7 +43,7 @@ ALIKE, CHANCE = 0.85, 1e-8
 #: Images and bytes of features of a block.
 CELL, CELL_BYTES = 4096, 8 << 20
 #: Pairs of corners with an equal key that a task counts votes of at once, and of which it compares the bits at once.
-TOGETHER, COMPARED = 4 << 20, 1 << 18
+TOGETHER, COMPARED = 2 << 20, 1 << 17
 #: Distances of corners that are held at once; less than 65,536, because the places of corners share a number with them.
 MATRIX = 32_000
 _RNG = np.random.default_rng(7)
@@ -157,7 +157,7 @@ def features(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in gathered(batches, "image", 4 << 20):
+    for table in gathered(batches, "image", 1 << 20):
         pixels = [decode(d) for d in table["image"].to_pylist()]
         out: list[bytes | None] = [None] * len(pixels)
         shapes: dict[tuple[int, int], list[int]] = {}
@@ -165,7 +165,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p is not None:
                 shapes.setdefault(p.shape, []).append(k)
         for shape, own in shapes.items():
-            step = max(1, (1 << 20) // (shape[0] * shape[1]))
+            step = max(1, (1 << 18) // (shape[0] * shape[1]))
             for c in range(0, len(own), step):
                 part = own[c : c + step]
                 image, geometry, bits = features(np.stack([pixels[k] for k in part]))
@@ -175,6 +175,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if b > a:
                         out[k] = geometry[a:b].astype("<f4").tobytes() + bits[a:b].tobytes()
         yield pa.RecordBatch.from_arrays([table["image_id"].combine_chunks(), table["digest"].combine_chunks(), pa.array(out, pa.binary())], ["image_id", "digest", "features"])
+        trim()
 
 
 def _parts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +254,6 @@ class Block:
         self.geometry = np.concatenate([g for g, _ in parts]).astype(np.float32)
         bits = np.ascontiguousarray(np.concatenate([d for _, d in parts]))
         self.words = bits.view("<u8")
-        self.bits = np.ascontiguousarray(np.unpackbits(bits, axis=1).T)
 
     @classmethod
     def stored(cls, data: bytes) -> Block:
@@ -263,20 +263,22 @@ class Block:
     def taken(self, images: np.ndarray) -> Block:
         return Block(self.nodes[images], [self.parts[i] for i in images.tolist()])
 
-    def keys(self, table: int) -> np.ndarray:
-        out = np.zeros((len(self.image), 8), np.uint8)
-        for k in range(0, KEY, 8):
-            for shift, bit in enumerate(_PICKED[table, k : k + 8]):
-                out[:, k // 8] |= self.bits[bit] << shift
-        return out.view("<u8")[:, 0]
+    def keys(self) -> Iterator[np.ndarray]:
+        """The keys of all corners in one table after the other."""
+        bits = np.ascontiguousarray(np.unpackbits(self.words.view(np.uint8), axis=1).T)
+        for picked in _PICKED:
+            out = np.zeros((len(self.image), 8), np.uint8)
+            for k in range(0, KEY, 8):
+                for shift, bit in enumerate(picked[k : k + 8]):
+                    out[:, k // 8] |= bits[bit] << shift
+            yield out.view("<u8")[:, 0]
 
 
 def _equal_keys(left: Block, right: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each table the order of right corners, and of each left corner the first in that order with its key and how many have it."""
     orders = np.empty((TABLES, len(right.image)), np.int32)
     low, size = (np.empty((TABLES, len(left.image)), np.int32) for _ in range(2))
-    for t in range(TABLES):
-        own, other = left.keys(t), right.keys(t)
+    for t, (own, other) in enumerate(zip(left.keys(), right.keys(), strict=True)):
         orders[t] = np.argsort(other, kind="stable")
         other = other[orders[t]]
         by = np.argsort(own)
