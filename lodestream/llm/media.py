@@ -4,7 +4,7 @@ Images are binary PGM (P5, 8 bits). Each level of a pyramid (`STEP` apart) gives
 within `APART` pixels of, placed between pixels, so their number grows with the area and a crop has those of the whole; the
 intensity centroid of the surrounding disc is the orientation; `BITS` comparisons of smoothed places, turned by it, are the
 descriptor.
-Each of `TABLES` random choices of `KEY` bits of a descriptor is a key of a Hamming table. Two corners that share a key and differ
+Each of the first `TABLES` parts of `KEY` bits of a descriptor is a key of a Hamming table. Two corners that share a key and differ
 in at most `HAMMING` bits are a vote for their images; images with two votes that one transform explains are candidates, and a
 candidate pair is a copy if at least `CONSENSUS` matched corners agree on one scale, turn and shift. Images lie in blocks
 of about `CELL`, as files in the shared folder, and every two blocks meet in one task, which keeps the tables in memory
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, trim, whole_groups, written
 from lodestream.llm.bagminhash import components, same_ids
 
-BITS, TABLES, KEY, RADIUS = 256, 32, 40, 8
+BITS, TABLES, KEY, RADIUS = 256, 10, 24, 8
 #: Levels of the pyramid are this factor apart.
 STEP = 2**0.5
 APART = 2  # pixels of a level
@@ -48,7 +48,7 @@ TOGETHER, COMPARED = 2 << 20, 1 << 17
 MATRIX = 32_000
 _RNG = np.random.default_rng(7)
 _TESTS = np.clip(_RNG.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
-_PICKED = np.stack([_RNG.choice(BITS, KEY, replace=False) for _ in range(TABLES)])
+_PICKED = np.arange(TABLES * KEY).reshape(TABLES, KEY)
 _DISC = np.array([(y, x) for y in range(-RADIUS + 1, RADIUS) for x in range(-RADIUS + 1, RADIUS) if x * x + y * y < RADIUS * RADIUS])
 
 
@@ -339,7 +339,7 @@ def candidates(left: Block, right: Block, part: np.ndarray, of_left: np.ndarray,
 
 
 def _agreeing(pair: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
-    """The pairs that have two votes of about one turn and scale, one of which carries the other's corner to within a few pixels."""
+    """The pairs that have two votes of about one turn, one of which carries the other's corner to within a few pixels."""
     order = np.argsort(pair, kind="stable")
     several = np.zeros(len(order), bool)
     same = pair[order[1:]] == pair[order[:-1]]
@@ -352,7 +352,7 @@ def _agreeing(pair: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
     found = [pair[:0]]
     shift = 1
     while len(at := np.flatnonzero(pair[shift:] == pair[:-shift])):
-        at = at[(np.cos(turn[at] - turn[at + shift]) > ALIKE) & (np.abs(np.log(ratio[at] / ratio[at + shift])) < 0.8 * np.log(2))]
+        at = at[np.cos(turn[at] - turn[at + shift]) > 0.7]
         good = np.zeros(len(at), bool)
         for u, v in ((at, at + shift), (at + shift, at)):
             dx, dy = ga[v, 0] - ga[u, 0], ga[v, 1] - ga[u, 1]
