@@ -40,7 +40,7 @@ from lodestream.llm.repeats import GOLDEN, U, flattened, mix, words
 BANDS, ROWS, SHINGLE = 30, 5, 5
 CELL, CELL_BYTES = 2048, 4 << 20
 #: Bytes of text that a worker holds at once, many times over in arrays.
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: Texts that are cut into shingles together: 12 bits of a sort key name the text, 52 the shingle.
 TOGETHER = 4096
 #: Points that are made at once.

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm._shared import gathered, small_batches
-from lodestream.llm._tokens import encoder, table_path, with_end
+from lodestream.llm._shared import gathered, small_batches, trim
+from lodestream.llm._tokens import WordEncoder, encoder, table_path, with_end
 
 CLASSES = 64
+#: Bytes of text that are encoded at once.
+ENCODED = 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -135,6 +137,16 @@ def pack(lengths: np.ndarray, window: int = 2048, depth: int = 3) -> tuple[np.nd
     return tuple(np.array(out, np.int64).reshape(-1, 5).T)
 
 
+def encoded(own: WordEncoder, table: pa.Table, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts and where each text's start, made of about `limit` bytes of text at a time: their words take many times that."""
+    ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+    for part in gathered(iter(table.select(["text"]).to_batches()), "text", limit):
+        found, starts = own.encode(part["text"])
+        ids.append(found)
+        sizes.append(np.diff(starts))
+    return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, window: int = 2048, task_bytes: int = 16 << 20) -> DataFrame:
     """One row for each piece of `docs` (doc_id, text). `window` is a power of two; sequence ids are unique, not dense."""
     if window & (window - 1) or window < CLASSES:
@@ -146,7 +158,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int
         own = encoder(path, spaces_count=False)
         sequence = TaskContext.get().partitionId() << 33
         for table in gathered(batches, "text", task_bytes):
-            ids, starts = with_end(*own.encode(table["text"]), end_id)
+            ids, starts = with_end(*encoded(own, table, ENCODED), end_id)
             counts = np.diff(starts)
             d, start, length, seq, offset = pack(counts, window)
             view = memoryview(ids.astype("<u4").tobytes())
@@ -155,6 +167,8 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int
             doc_id = table["doc_id"].combine_chunks().take(pa.array(d))
             yield pa.RecordBatch.from_arrays([doc_id, *map(pa.array, (start, length, np.array(sums, np.int64), counts[d], sequence + seq, offset))], [x.split()[0] for x in PIECES.split(", ")])
             sequence += int(seq.max()) + 1 if len(seq) else 0
+            del table, ids, starts, view
+            trim()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, PIECES)
 

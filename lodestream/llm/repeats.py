@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 
 from lodestream.llm._shared import gathered, get_file, put_file, scratch, small_batches, trim
 
-CHUNK = 1 << 20
+#: Units whose hashes are made at once; each takes a dozen arrays of eight bytes.
+CHUNK = 1 << 18
 #: More surroundings than this of one gram make it hot.
 HOT = 2_000
 #: Words or bytes of surroundings that `resolve` gets at once.
@@ -50,14 +51,15 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_TABLES: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers of each base and of its inverse modulo 2 ** 64."""
-    if n not in _TABLES:
-        _TABLES[n] = [(_powers(b, n), _powers(U(pow(int(b), -1, 1 << 64)), n)) for b in _BASES]
-    return _TABLES[n]
+    """The first `n` powers, or more, of each base and of its inverse modulo 2 ** 64; a worker keeps one set."""
+    if not _TABLES or len(_TABLES[0][0]) < n:
+        n = 1 << (n - 1).bit_length()
+        _TABLES[:] = [(_powers(b, n), _powers(U(pow(int(b), -1, 1 << 64)), n)) for b in _BASES]
+    return _TABLES
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,6 +105,13 @@ def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return code, start, size, np.searchsorted(start, ends)
 
 
+def before(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of `mask` are set before each of the places `at`."""
+    sums = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, out=sums[1:])
+    return sums[at].astype(np.int64)
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(1).compress(data)
 
@@ -207,8 +216,9 @@ class Block:
         """The hashes of given anchors, in their order."""
         order = np.argsort(at, kind="stable")
         key, around = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        ordered = at[order]
         for c in range(0, self.n, CHUNK):
-            own = order[np.searchsorted(at[order], c) : np.searchsorted(at[order], c + CHUNK)]
+            own = order[np.searchsorted(ordered, c) : np.searchsorted(ordered, c + CHUNK)]
             if len(own):
                 a, b = max(0, c - self.spec.length), min(self.n, c + CHUNK + 2 * self.spec.length)
                 key[own], around[own] = self.hashes(at[own], self._sums(a, b), a)
@@ -223,8 +233,9 @@ class Block:
         start = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         out = np.zeros(len(start), np.uint64)
         order = np.argsort(start, kind="stable")
+        ordered = start[order]
         for c in range(0, self.n, CHUNK):
-            own = order[np.searchsorted(start[order], c) : np.searchsorted(start[order], c + CHUNK)]
+            own = order[np.searchsorted(ordered, c) : np.searchsorted(ordered, c + CHUNK)]
             if len(own):
                 b = min(self.n, c + CHUNK + length)
                 (s1, i1), (s2, i2) = self._sums(c, b)
@@ -532,7 +543,7 @@ def covered_units(block: Block, entries: Entries, sent: np.ndarray, hot: np.ndar
             on = low[(bits >> U(a) & U(1)) == 1] + a
             np.add.at(edge, on, 1)
             np.add.at(edge, on + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], out=edge[:-1]) > 0
 
 
 def _applied(spec: Spec, folder: str, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table]) -> Callable[[pa.Table], pa.Table]:

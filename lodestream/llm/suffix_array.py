@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.repeats import Block, Spec, U, _tables, mix, repeats
+from lodestream.llm.repeats import Block, Spec, U, _tables, before, mix, repeats
 
 LENGTH = 50
 #: Bytes of surroundings that are looked at together; their shared stretches make one suffix array.
@@ -116,7 +116,7 @@ def suffix_array(s: list[int]) -> list[int]:
 
 
 def _window_hashes(flat: np.ndarray, length: int) -> np.ndarray:
-    (power, inverse), (power2, inverse2) = _tables(max(1 << 20, len(flat) + 1))
+    (power, inverse), (power2, inverse2) = _tables(len(flat) + 1)
     code = mix(flat.astype(np.uint64) + U(1))
     out = np.zeros(max(0, len(flat) - length + 1), np.uint64)
     for p, q in ((power, inverse), (power2, inverse2)):
@@ -229,12 +229,12 @@ def _runs(block: Block, covered: np.ndarray) -> np.ndarray:
     rise = covered & ~np.append(False, covered[:-1])
     inner = block.starts[1:-1]
     rise[inner[inner < block.n]] |= covered[inner[inner < block.n]]
-    return np.diff(np.concatenate(([0], np.cumsum(rise)))[block.starts])
+    return np.diff(before(rise, block.starts))
 
 
 def _digests(rows: pa.Table, block: Block, covered: np.ndarray) -> pa.Table:
     kept = block.raw[~covered].tobytes()
-    gone = np.concatenate(([0], np.cumsum(covered)))[block.starts]
+    gone = before(covered, block.starts)
     ends = block.starts - gone
     sums = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     return pa.Table.from_arrays([rows["doc_id"], pa.array(np.diff(block.starts)), pa.array(np.diff(gone)), pa.array(_runs(block, covered).astype(np.int64)), pa.array(sums, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -252,7 +252,7 @@ def deduplicated(docs: DataFrame, own: Spec | None = None) -> DataFrame:
 
     def finish(rows: pa.Table, block: Block, covered: np.ndarray) -> pa.Table:
         kept = block.raw[~covered].tobytes()
-        ends = block.starts - np.concatenate(([0], np.cumsum(covered)))[block.starts]
+        ends = block.starts - before(covered, block.starts)
         texts = [kept[a:b].decode("utf-8", "ignore") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())}
         return pa.table({c: new.get(c, rows[c]) for c in columns})
