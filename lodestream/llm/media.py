@@ -338,33 +338,38 @@ def candidates(left: Block, right: Block, part: np.ndarray, of_left: np.ndarray,
             return
 
 
+def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending numbers: which run of equal ones each place lies in, and how many of its run follow it."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+    sizes = np.diff(np.append(first, len(group)))
+    return np.repeat(np.arange(len(first)), sizes), np.repeat(first + sizes - 1, sizes) - np.arange(len(group))
+
+
 def _agreeing(pair: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
     """The pairs that have two votes of about one turn, one of which carries the other's corner to within a few pixels."""
-    order = np.argsort(pair, kind="stable")
-    several = np.zeros(len(order), bool)
-    same = pair[order[1:]] == pair[order[:-1]]
-    several[1:] |= same
-    several[:-1] |= same
-    order = order[several]
-    pair, ga, gb = pair[order], ga[order], gb[order]
-    turn, ratio = gb[:, 3] - ga[:, 3], gb[:, 2] / ga[:, 2]
+    bits = max(1, len(pair)).bit_length()
+    order = np.sort(pair << bits | np.arange(len(pair))) & (1 << bits) - 1  # a stable order
+    run, behind = _runs(pair[order])
+    several = behind > 0
+    several[1:] |= several[:-1]  # the last of a run follows one that has it behind
+    order, run, behind = order[several], run[several], behind[several]
+    pair = pair[order]
+    ax, ay, a_scale, a_turn = ga[order].T.copy()
+    bx, by, b_scale, b_turn = gb[order].T.copy()
+    turn, ratio = b_turn - a_turn, b_scale / a_scale
     c, s = ratio * np.cos(turn), ratio * np.sin(turn)
-    found = [pair[:0]]
-    shift = 1
-    while len(at := np.flatnonzero(pair[shift:] == pair[:-shift])):
-        at = at[np.cos(turn[at] - turn[at + shift]) > 0.7]
-        good = np.zeros(len(at), bool)
-        for u, v in ((at, at + shift), (at + shift, at)):
-            dx, dy = ga[v, 0] - ga[u, 0], ga[v, 1] - ga[u, 1]
-            x, y = gb[u, 0] + c[u] * dx - s[u] * dy, gb[u, 1] + s[u] * dx + c[u] * dy
-            good |= (x - gb[v, 0]) ** 2 + (y - gb[v, 1]) ** 2 <= 9 * np.maximum(1, gb[v, 2]) ** 2
-        own = np.unique(pair[at[good]])
-        if len(own):
-            found.append(own)
-            rest = own[np.searchsorted(own, pair).clip(0, len(own) - 1)] != pair
-            pair, ga, gb, turn, c, s = pair[rest], ga[rest], gb[rest], turn[rest], c[rest], s[rest]
+    reach = 9 * np.maximum(1, b_scale) ** 2
+    done = np.zeros(int(run[-1]) + 1 if len(run) else 0, bool)
+    at, shift = np.flatnonzero(behind), 1
+    while len(at):
+        near = at[np.cos(turn[at] - turn[at + shift]) > 0.7]
+        for u, v in ((near, near + shift), (near + shift, near)):
+            dx, dy = ax[v] - ax[u], ay[v] - ay[u]
+            x, y = bx[u] + c[u] * dx - s[u] * dy, by[u] + s[u] * dx + c[u] * dy
+            done[run[near[(x - bx[v]) ** 2 + (y - by[v]) ** 2 <= reach[v]]]] = True
+        at = at[(behind[at] > shift) & ~done[run[at]]]
         shift += 1
-    return np.sort(np.concatenate(found))
+    return np.unique(pair[done[run]])
 
 
 def copies(left: Block, right: Block) -> list[tuple[int, int]]:
@@ -383,22 +388,41 @@ def copies(left: Block, right: Block) -> list[tuple[int, int]]:
     return found
 
 
-def _matched(left: Block, i: int, right: Block, js: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in `js`, left corner, right corner): what `agree` matches of image `i` and of each of `js`."""
+def _near(left: Block, i: int, right: Block, js: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(place in `js`, left corner, right corner, distance) of the corners of image `i` and of each of `js` within `HAMMING`, by left corner, then right one."""
     begin, end = left.starts[i], left.starts[i + 1]
     n = right.starts[js + 1] - right.starts[js]
-    starts = np.cumsum(n) - n
-    b = np.repeat(right.starts[js] - starts, n) + np.arange(int(n.sum()))
+    b = np.repeat(right.starts[js] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    shape = end - begin, len(b)
     own, other = left.words[begin:end], np.ascontiguousarray(right.words[b].T)
-    distance = np.zeros((end - begin, len(b)), np.int32)
+    differing, bits = (x[: shape[0] * shape[1]].reshape(shape) for x in held)
+    distance = np.zeros(shape, np.uint8)
     for w in range(BITS // 64):
-        distance += np.bitwise_count(own[:, w, None] ^ other[w])
-    distance <<= 16
-    best = np.minimum.reduceat(distance | np.arange(len(b), dtype=np.int32), starts, axis=1)  # the first of equal ones
-    back = (distance | np.arange(end - begin, dtype=np.int32)[:, None]).min(axis=0) & 0xFFFF
-    mutual = (back[best & 0xFFFF] == np.arange(end - begin)[:, None]) & (best >> 16 <= HAMMING)
-    place, k = np.nonzero(mutual.T)
-    return place, begin + k, b[best[k, place] & 0xFFFF]
+        np.bitwise_xor(own[:, w, None], other[w], out=differing)
+        np.bitwise_count(differing, out=bits)
+        if w == 3:
+            np.minimum(bits, 63, out=bits)  # 256 bits are one more than a byte holds, and 255 is no match either
+        distance += bits
+    at = np.flatnonzero(distance <= HAMMING)
+    k, column = np.divmod(at, len(b))
+    return np.repeat(np.arange(len(js)), n)[column], begin + k, b[column], distance.reshape(-1)[at]
+
+
+def _mutual(pair: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `agree` matches, by pair, then left corner: each other's nearest, the first of equal ones. `pair` ascends by left image."""
+    wide = int(max(a.max(initial=0), b.max(initial=0))) + 1
+    close = distance.astype(np.int64) * wide
+    best = np.ones(len(pair), bool)
+    for own, other in ((a, b), (b, a)):
+        key = pair * wide + own
+        order = np.argsort(key)
+        run, _ = _runs(key[order])
+        if len(order):
+            least = np.minimum.reduceat((close + other)[order], np.flatnonzero(np.diff(run, prepend=-1)))
+            best[order] &= (close + other)[order] == least[run]
+    best = np.flatnonzero(best)
+    best = best[np.lexsort((a[best], pair[best]))]
+    return pair[best], a[best], b[best]
 
 
 def _promising(left: Block, right: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -412,21 +436,26 @@ def _promising(left: Block, right: Block, i: np.ndarray, j: np.ndarray) -> np.nd
         return good
     cells = np.cumsum(corners[0][rest] * corners[1][rest]) // MATRIX
     cuts = np.flatnonzero(np.append(True, (np.diff(i[rest]) > 0) | (np.diff(cells) > 0)))
+    held = np.empty(2 * MATRIX, np.uint64), np.empty(2 * MATRIX, np.uint8)  # a cut may exceed MATRIX by one pair
     found = []
     for p, q in zip(cuts, [*cuts[1:], len(rest)], strict=True):
-        place, a, b = _matched(left, int(i[rest[p]]), right, j[rest[p:q]])
-        found.append((rest[p + place], a, b))
-    pair, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        place, a, b, distance = _near(left, int(i[rest[p]]), right, j[rest[p:q]], held)
+        found.append((rest[p + place], a, b, distance))
+    pair, a, b = _mutual(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    enough = np.bincount(pair, minlength=len(i))[pair] >= CONSENSUS
+    pair, a, b = pair[enough], a[enough], b[enough]
     swapped = (left.nodes[i] > right.nodes[j])[pair, None]
     ga, gb = left.geometry[a].astype(np.float64), right.geometry[b].astype(np.float64)
     ga, gb = np.where(swapped, gb, ga), np.where(swapped, ga, gb)
     turn, ratio = gb[:, 3] - ga[:, 3], gb[:, 2] / ga[:, 2]
-    c, s = ratio * np.cos(turn), ratio * np.sin(turn)
+    cos, sin, size = np.cos(turn), np.sin(turn), np.log(ratio)
+    c, s = ratio * cos, ratio * sin
     reach = 9 * np.maximum(1, gb[:, 2]) ** 2 + 1e-6  # a little more than `agree` allows, whose sums round otherwise
     with_it = np.ones(len(pair), np.int64)
     shift = 1
     while len(at := np.flatnonzero(pair[shift:] == pair[:-shift])):
-        at = at[(np.cos(turn[at] - turn[at + shift]) > ALIKE - 1e-9) & (np.abs(np.log(ratio[at] / ratio[at + shift])) < 0.8 * np.log(2) + 1e-9)]
+        to = at + shift
+        at = at[(cos[at] * cos[to] + sin[at] * sin[to] > ALIKE - 1e-9) & (np.abs(size[at] - size[to]) < 0.8 * np.log(2) + 1e-9)]
         for u, v in ((at, at + shift), (at + shift, at)):
             dx, dy = ga[v, 0] - ga[u, 0], ga[v, 1] - ga[u, 1]
             x, y = gb[u, 0] + c[u] * dx - s[u] * dy, gb[u, 1] + s[u] * dx + c[u] * dy

@@ -1,5 +1,7 @@
 """Copies of images against all pairs, and shapes that must not break anything."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -165,3 +167,47 @@ def test_screening_loses_no_pair_that_agrees(monkeypatch, matrix):
     agreeing = np.array([media.agree(*((left.parts[a], right.parts[b]) if left.nodes[a] <= right.nodes[b] else (right.parts[b], left.parts[a]))) >= media.CONSENSUS for a, b in zip(i, j, strict=True)])
     assert agreeing.sum() >= 25 and (agreeing <= good).all()
     assert matrix < 32_000 or good.sum() < 2 * agreeing.sum()
+
+
+def test_matches_are_those_of_agree():
+    """Corners that are each other's nearest, against `_nearest`: repeated ones, and ones that differ in all 256 bits."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (30, 32), np.uint8)
+
+    def side(k):
+        parts = []
+        for _ in range(9):
+            own = base[rng.integers(0, 30, 25)] ^ (rng.random((25, 32)) < 0.25).astype(np.uint8)
+            parts.append((np.ones((28, 4)), np.concatenate([own, own[:2], ~base[:1]])))
+        return media.Block(np.arange(9) + 100 * k, parts)
+
+    left, right = side(0), side(1)
+    held = np.empty(60_000, np.uint64), np.empty(60_000, np.uint8)
+    found = [media._near(left, i, right, np.arange(9), held) for i in range(9)]
+    got = media._mutual(*(np.concatenate(x) for x in zip(*((9 * i + own[0], *own[1:]) for i, own in enumerate(found)), strict=True)))
+    expected = []
+    for i in range(9):
+        for j in range(9):
+            best, distance, back = media._nearest(left.parts[i][1], right.parts[j][1])
+            for k in np.flatnonzero((back[best] == np.arange(28)) & (distance <= media.HAMMING)).tolist():
+                expected.append((9 * i + j, 28 * i + k, 28 * j + int(best[k])))
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == expected and len(expected) > 500
+
+
+def test_one_pair_with_many_votes():
+    """Votes of one pair that never agree do not make all other pairs be looked at again for each of them."""
+    rng = np.random.default_rng(2)
+    pair = np.repeat(np.arange(300_000), 2)
+    many = np.append(pair, np.full(1200, 300_000))
+
+    def votes(n):
+        return np.stack([rng.random(n) * 1e6, rng.random(n) * 1e6, np.ones(n), rng.random(n) * 6], 1).astype(np.float32)
+
+    def seconds(own):
+        ga, gb = votes(len(own)), votes(len(own))
+        began = time.process_time()
+        assert len(media._agreeing(own, ga, gb)) < 10
+        return time.process_time() - began
+
+    few = min(seconds(pair) for _ in range(3))
+    assert min(seconds(many) for _ in range(2)) < 6 * few
