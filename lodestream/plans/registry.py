@@ -278,7 +278,8 @@ def _shared_words(queries, contents):
 def rerank_topk(spark, d):
     rows, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
     found = search.bm25(rows, queries, 20, key="doc_id", query_key="item_id")
-    joined = found.select("query_id", "id").join(rows.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    few = F.broadcast(found.select("query_id", "id")) if 20 * queries.count() <= search.BROADCAST_TERMS else found.select("query_id", "id")
+    joined = rows.select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(few, "id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     return search.reranked(joined, _shared_words, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
