@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.functions.arrow import slices, small_batches
 from lodestream.functions.headings import SENTENCE, Promotion, promote
 
 CHUNKS = (
@@ -192,11 +193,12 @@ def chunk(documents: DataFrame, options: ChunkOptions = ChunkOptions(), *, name:
     """The chunks of `documents`; null texts have none, null names are empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [r for n, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if t for r in chunk_text(n or "", t, options)]
             columns = list(zip(*rows, strict=True)) or [()] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], [x.split()[0] for x in CHUNKS.split(", ")])
 
+    small_batches(documents.sparkSession)
     return documents.select(F.col(name).cast("string"), F.col(text).cast("string")).mapInArrow(work, CHUNKS)
 
 
