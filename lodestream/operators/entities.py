@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestream.functions.arrow import slices, small_batches
+
 MATCHES = "chunk_id string, entity_id string, frequency int, positions array<int>, spans array<struct<s:int,e:int>>, chunk_length int"
 #: Surfaces of one automaton; a larger vocabulary is matched by several passes.
 SURFACES = 200_000
@@ -33,6 +35,7 @@ def match(chunks: DataFrame, vocabulary: DataFrame, *, exact: bool = False, key:
 
     Overlapping occurrences count. The vocabulary goes to the tasks in automata of at most SURFACES surfaces.
     """
+    small_batches(chunks.sparkSession)
     n = vocabulary.count()
     parts = max(1, -(-n // SURFACES))
     out = None
@@ -55,7 +58,7 @@ def _matcher(pairs: list[tuple[str, str]], exact: bool):
             automaton.add_word(surface, (len(surface), entity))
         if pairs:
             automaton.make_automaton()
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows: list[tuple] = []
             for cid, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 if not text or not pairs:
@@ -290,11 +293,12 @@ def found_by(chunks: DataFrame, find: Callable[[str], list[tuple[int, int, str]]
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [(cid, t[a:b], label, a) for cid, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if t for a, b, label in find(t) if labels is None or label in labels]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], ["chunk_id", "surface", "label", "s"])
 
+    small_batches(chunks.sparkSession)
     spans = chunks.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(work, "chunk_id string, surface string, label string, s int")
     bare = stripped(spans.withColumn("e", F.lit(0)), "surface")
     if not numeric:
